@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op01_secrets import secrets_query
 from .op02_bpe import bpe_query
+from .op03_warc import WARC_SQL, warc_query
+from .op05_topk import TOPK_SQL, topk_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets_query,
     "op2_bpe": bpe_query,
+    "op3_warc": warc_query,
+    "op5_topk": topk_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": WARC_SQL,
+    "op5_topk": TOPK_SQL,
+}
