@@ -10,6 +10,8 @@ from .op01_secrets import secrets_query
 from .op02_bpe import bpe_query
 from .op03_warc import WARC_SQL, warc_query
 from .op05_topk import TOPK_SQL, topk_query
+from .op06_licenses import license_query
+from .op08_html import html_query
 from .op09_quality import quality_query
 from .op10_decontaminate import decontaminate_query
 
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe_query,
     "op3_warc": warc_query,
     "op5_topk": topk_query,
+    "op6_license_scan": license_query,
+    "op8_html_text": html_query,
     "op9_quality": quality_query,
     "op10_decontaminate": decontaminate_query,
 }
