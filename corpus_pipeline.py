@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``; stages are added as their operators are."""
+"""A training-data pipeline over ``documents``: quality, near duplicates, benchmark
+leaks, secrets, tokens.
+
+Each stage works on the rows that the one before kept, which are written as
+Parquet in the shared folder and read again.  All stages but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import common
 from quern.llm.op01_secrets import redact
 from quern.llm.op02_bpe import default_vocabulary, digests
+from quern.llm.op04_jaccard import one_of_each
+from quern.llm.op09_quality import fit, keep_good
+from quern.llm.op10_decontaminate import drop_contaminated
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier takes for junk or toxic."""
+    return keep_good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that links of similarity 0.8 join, that with the smallest id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +46,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
     ("BPE encoding and decoding", tokens),
 ]
 
+#: No SQL expresses these stages; tests compare them with brute-force versions.
 ORACLE_SQL: str | None = None
 
 

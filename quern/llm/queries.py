@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_secrets import secrets_query
 from .op02_bpe import bpe_query
 from .op03_warc import WARC_SQL, warc_query
+from .op04_jaccard import jaccard_query
 from .op05_topk import TOPK_SQL, topk_query
 from .op06_licenses import license_query
 from .op08_html import html_query
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets_query,
     "op2_bpe": bpe_query,
     "op3_warc": warc_query,
+    "op4_jaccard_join": jaccard_query,
     "op5_topk": topk_query,
     "op6_license_scan": license_query,
     "op8_html_text": html_query,
