@@ -12,6 +12,7 @@ from .op03_warc import WARC_SQL, warc_query
 from .op04_jaccard import jaccard_query
 from .op05_topk import TOPK_SQL, topk_query
 from .op06_licenses import license_query
+from .op07_dedup import dedup_query
 from .op08_html import html_query
 from .op09_quality import quality_query
 from .op10_decontaminate import decontaminate_query
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": jaccard_query,
     "op5_topk": topk_query,
     "op6_license_scan": license_query,
+    "op7_substring_dedup": dedup_query,
     "op8_html_text": html_query,
     "op9_quality": quality_query,
     "op10_decontaminate": decontaminate_query,
