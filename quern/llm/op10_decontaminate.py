@@ -77,22 +77,32 @@ class Benchmark:
         self.short = {n: dict(x) for n, x in short.items()}
         self.shingles = np.unique(np.array([s for c in self.counts for s in c], np.uint64))
         self.windows = sorted(set(self.sizes))
-        # block index: items whose block value is within the block's radius of the value looked up
+        # Block index, by size of item: for each block and each value it can have, the items whose
+        # value there is within the block's share of the radius.
         self.bits = 64 // blocks
         values = np.arange(1 << self.bits, dtype=np.uint64)
-        self.near = [v for v in range(1 << self.bits) if int(v).bit_count() <= radius // blocks]
-        self.index: list[list[np.ndarray]] = []
-        prints = np.array(self.prints, np.uint64)
-        for b in range(blocks):
-            part = (prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)
-            self.index.append([np.flatnonzero(np.isin(part, np.array(self.near, np.uint64) ^ v)) for v in values])
+        close = np.bitwise_count(values) <= radius // blocks
+        prints, sizes = np.array(self.prints, np.uint64), np.array(self.sizes, np.int64)
         self.table = prints
-
-    def within(self, fingerprint: int) -> list[int]:
-        """Positions of all items whose fingerprint is within the radius."""
-        mask = (1 << self.bits) - 1
-        found = np.unique(np.concatenate([x[(fingerprint >> (b * self.bits)) & mask] for b, x in enumerate(self.index)])) if len(self.table) else []
-        return [i for i in map(int, found) if (fingerprint ^ self.prints[i]).bit_count() <= self.radius]
+        self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in self.windows:
+            own = np.flatnonzero(sizes == w)
+            parts = [self._part(prints[own], b) for b in range(blocks)]
+            self.index[w] = own, np.stack([close[values[:, None] ^ part[None, :]] for part in parts])
+
+    def _part(self, fingerprints: np.ndarray, block: int) -> np.ndarray:
+        return (fingerprints >> np.uint64(block * self.bits)) & np.uint64((1 << self.bits) - 1)
+
+    def within(self, fingerprints: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a fingerprint and an item of size w within the radius, as positions."""
+        own, tables = self.index[w]
+        met = np.zeros((len(fingerprints), len(own)), bool)
+        for b, table in enumerate(tables):
+            met |= table[self._part(fingerprints, b).astype(np.intp)]
+        at, item = np.nonzero(met)
+        item = own[item]
+        good = np.bitwise_count(fingerprints[at] ^ self.table[item]) <= self.radius
+        return at[good], item[good]
 
     def match(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, end word) of the best window of each item found."""
@@ -134,12 +144,11 @@ class Benchmark:
                 starts = starts[seen[starts + n] - seen[starts] >= self.least * max(w, n) - 1e-9]
                 if not len(starts):
                     continue
-                for start, p in zip(starts.tolist(), simhash(sums[starts + n] - sums[starts]).tolist(), strict=True):
-                    for i in self.within(p):
-                        if self.sizes[i] == w:
-                            sim = weighted_similarity(Counter(part[start : start + n].tolist()), self.counts[i])
-                            if sim >= self.least:
-                                take(self.ids[i], sim, a + start, a + start + n + self.k - 1)
+                at, items = self.within(simhash(sums[starts + n] - sums[starts]), w)
+                for start, i in zip(starts[at].tolist(), items.tolist(), strict=True):
+                    sim = weighted_similarity(Counter(part[start : start + n].tolist()), self.counts[i])
+                    if sim >= self.least:
+                        take(self.ids[i], sim, a + start, a + start + n + self.k - 1)
 
 
 FOUND = "doc_id long, item_id long, similarity double, first_word long, end_word long"
