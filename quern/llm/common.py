@@ -8,9 +8,10 @@ made only where that setting is absent, as on a single machine in tests.
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,6 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more.  It does so when the driver
+    collects its garbage, which may be hours after a large shuffle has served its purpose.  Twice:
+    the first round frees what Python held, the second what that held in turn."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of any file system that Spark can reach."""
     jvm = spark.sparkContext._jvm

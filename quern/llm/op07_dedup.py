@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, stored
+from .common import documents, map_batches, released, stored
 from .suffix import permuted_prefixes, suffix_array
 
 LEAST, PIECE = 100, 32
@@ -78,8 +78,9 @@ def anchors(raw: np.ndarray, least: int = LEAST, k: int = PIECE) -> tuple[np.nda
     return (least_key & np.uint64((1 << 22) - 1)).astype(np.int64), hashes
 
 
-def runs_of(texts: list[bytes], least: int = LEAST, k: int = PIECE, together: int = TOGETHER) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(text, first string, last string, anchor's hash, bytes) of each run of each text."""
+def runs_of(texts: list[bytes], least: int = LEAST, k: int = PIECE, together: int = TOGETHER) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, first string, last string, anchor's hash, hash of the bytes) of each run of each
+    text, as arrays for about ``together`` bytes at a time."""
     group: list[tuple[int, int, bytes]] = []
     size = 0
     for i, raw in enumerate(texts):
@@ -90,19 +91,19 @@ def runs_of(texts: list[bytes], least: int = LEAST, k: int = PIECE, together: in
             group.append((i, at, part))
             size += len(part)
             if size >= together:
-                yield from _runs(group, least, k)
+                yield _runs(group, least, k)
                 group, size = [], 0
     if group:
-        yield from _runs(group, least, k)
+        yield _runs(group, least, k)
 
 
-def _runs(group: list[tuple[int, int, bytes]], least: int, k: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+def _runs(group: list[tuple[int, int, bytes]], least: int, k: int) -> tuple[np.ndarray, ...]:
     joined = b"".join(p for _, _, p in group)
     ends = np.cumsum([len(p) for _, _, p in group])
     starts = ends - [len(p) for _, _, p in group]
     anchor, hashes = anchors(np.frombuffer(joined, np.uint8), least, k)
     new = np.r_[True, anchor[1:] != anchor[:-1]]
-    new[starts] = True
+    new[starts[starts < len(new)]] = True
     valid = np.zeros(len(anchor), bool)
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         valid[a : b - least + 1] = True
@@ -111,11 +112,10 @@ def _runs(group: list[tuple[int, int, bytes]], least: int, k: int) -> Iterator[t
     # a run ends before the next begins, or where its text has no more strings
     of = np.searchsorted(ends, first, side="right")
     last = np.minimum(np.r_[first[1:] - 1, len(anchor) - 1], ends[of] - least)
-    h = hashes[anchor[first]].view(np.int64)
-    shift = np.array([at for _, at, _ in group], np.int64) - starts
-    names = [i for i, _, _ in group]
-    for a, b, j, x in zip(first.tolist(), last.tolist(), of.tolist(), h.tolist(), strict=True):
-        yield names[j], a + int(shift[j]), b + int(shift[j]), x, joined[a : b + least]
+    digest = xxhash.xxh3_64_intdigest
+    content = np.fromiter((digest(joined[a:b]) for a, b in zip(first.tolist(), (last + least).tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+    shift = (np.array([at for _, at, _ in group], np.int64) - starts)[of]
+    return np.array([i for i, _, _ in group], np.int64)[of], first + shift, last + shift, hashes[anchor[first]].view(np.int64), content
 
 
 def shard_spans(pieces: list[tuple[int, int, bytes]], least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -163,19 +163,21 @@ SPAN, COOL, HOT = 0, 1, 2
 FOUND = "kind long, anchor long, text_id long, first long, last long"
 
 
-def _local_runs(batch: pa.RecordBatch, least: int) -> pa.RecordBatch | None:
-    """Runs of the batch.  Those that repeat one of a smaller place are known to go: they
+def _local_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The runs of texts.  Those that repeat one of a smaller place nearby are known to go: they
     are dealt out by text, so copies don't meet at their anchor."""
-    ids = batch.column(0).to_pylist()
-    rows = [(h, xxhash.xxh3_64_intdigest(raw) - (1 << 63), ids[i], a, b) for i, a, b, h, raw in runs_of([t.encode() for t in batch.column(1).to_pylist()], least)]
-    if not rows:
-        return None
-    anchor, content, text_id, first, last = np.array(rows, np.int64).T
-    order = np.lexsort((first, text_id, content, anchor))
-    anchor, content, text_id, first, last = (x[order] for x in (anchor, content, text_id, first, last))
-    known = np.r_[False, (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])]
-    part = np.where(known, text_id, anchor)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (part, known.astype(np.int64), anchor, content, text_id, first, last)], names=[x.split()[0] for x in RUNS.split(", ")])
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            some = batch.slice(at, 1000)
+            ids = some.column(0).to_numpy()
+            for of, first, last, anchor, content in runs_of([t.encode() for t in some.column(1).to_pylist()], least):
+                text_id = ids[of]
+                order = np.lexsort((first, text_id, content, anchor))
+                anchor, content, text_id, first, last = (x[order] for x in (anchor, content, text_id, first, last))
+                known = np.r_[False, (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])][: len(anchor)]
+                part = np.where(known, text_id, anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, known.astype(np.int64), anchor, content, text_id, first, last)], names=names)
 
 
 def sift(batches: Iterator[list[np.ndarray]], hot_runs: int = HOT_RUNS) -> Iterator[np.ndarray]:
@@ -238,7 +240,7 @@ def dedup_spans(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BY
     unique and in order; spans may overlap."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = map_batches(docs, lambda batch: _local_runs(batch, least), RUNS).repartition(n, "part").sortWithinPartitions("known", "anchor", "content", "text_id", "first")
+    runs = docs.select("text_id", "text").mapInArrow(lambda batches: _local_runs(batches, least), RUNS).repartition(n, "part").sortWithinPartitions("known", "anchor", "content", "text_id", "first")
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +248,8 @@ def dedup_spans(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BY
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T.astype(np.int64)], names=names)
 
     found = stored(runs.mapInArrow(stream, FOUND), "dedup-runs")
+    del runs
+    released(spark)
     spans = found.where(F.col("kind") == SPAN).select("text_id", F.col("first").alias("from_byte"), (F.col("last") + least).alias("to_byte"))
 
     mixed = found.where(F.col("kind") != SPAN)
@@ -262,6 +266,8 @@ def dedup_spans(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BY
 
     bytes_of = stored(map_batches(docs.join(wanted, "text_id").select("text_id", "text", "runs"), cut, "text_id long, anchor long, kind long, first long, bytes binary"), "dedup-bytes")
 
+    released(spark)
+
     def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["text_id", "first"], kind="stable")
         gone = shard_spans(list(zip(pdf["text_id"].tolist(), pdf["first"].tolist(), pdf["bytes"], strict=True)), least)
