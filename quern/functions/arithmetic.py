@@ -170,9 +170,10 @@ def compare(scope, op: str, x: Value, y: Value) -> Column:
     ra, rb = rank(ka), rank(kb)
     if 0 in (ra, rb):
         return F.lit(None).cast("boolean")
-    if isinstance(ka, T.TimestampType) and isinstance(kb, T.StringType):
+    times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    if isinstance(ka, times) and isinstance(kb, T.StringType):
         return apply(op, a, b.try_cast("timestamp"))
-    if isinstance(kb, T.TimestampType) and isinstance(ka, T.StringType):
+    if isinstance(kb, times) and isinstance(ka, T.StringType):
         return apply(op, a.try_cast("timestamp"), b)
     if ra != rb:
         told = {"=": False, "!=": True, "<": ra < rb, "<=": ra < rb, ">": ra > rb, ">=": ra > rb}[op]
@@ -210,12 +211,12 @@ def cast(scope, x: Value, to: str) -> Value:
             return Atom(F.when(F.lower(col) == "true", True).when(F.lower(col) == "false", False).otherwise(col.try_cast("double") != 0))
         return Atom(number(scope, col) != 0)
     if to in ("integer", "number"):
-        if isinstance(kind, T.TimestampType):
-            col = col.cast("double")
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            col = col.cast("timestamp").cast("double")
         col = number(scope, col).try_cast("double") if text or to == "number" else number(scope, col)
         return Atom(col.try_cast("bigint") if to == "integer" else col)
     if to == "timestamp":
-        return Atom(col.try_cast("timestamp") if text or isinstance(kind, (T.TimestampType, T.DateType)) else F.timestamp_seconds(number(scope, col)))
+        return Atom(col.try_cast("timestamp") if text or isinstance(kind, (T.TimestampType, T.DateType, T.TimestampNTZType)) else F.timestamp_seconds(number(scope, col)))
     if to == "blob":
         return Atom(col.cast("string").cast("binary"))
     if to == "path":

@@ -243,10 +243,10 @@ def scope_constants(v: Value | list) -> list:
 def tokenize(scope, x, options=None):
     words = tokens_of(x.column(), options)
     value = option(options, "value", None)
-    distinct = F.array_distinct(words)
     if value is not None:
+        distinct = F.array_distinct(words)
         return Open(F.map_from_arrays(distinct, F.transform(distinct, lambda w: F.lit(value).cast("long"))))
-    return Open(F.map_from_arrays(distinct, F.transform(distinct, lambda w: F.size(F.filter(words, lambda o: o == w)).cast("long"))))
+    return Open(udfs.count_tokens(words))
 
 
 @function("token_extract")
@@ -615,7 +615,7 @@ def slice_(scope, x, i):
     """The i-th entry of the last dimension."""
 
     def take(c, depth):
-        return F.get(c, i.column().cast("int")) if depth <= 1 else F.transform(c, lambda r: take(r, depth - 1))
+        return F.get(c, i.column().cast("int")).cast("double") if depth <= 1 else F.transform(c, lambda r: take(r, depth - 1))
 
     depth = _depth(scope.type(x))
     out = take(x.column(), depth)

@@ -89,6 +89,10 @@ class Scope:
         full = ".".join(path)
         if full in self.names:
             return self.by_name(full)
+        if len(path) > 1 and path[0] in self.names:  # a column of an open row goes before an alias
+            head = self.by_name(path[0])
+            if isinstance(head, (Open, Row)):
+                return self.field(head, ".".join(path[1:]))
         if len(path) > 1 and path[0] in self.aliases and len(self.aliases) == 1:
             return self.lookup(path[1:])
         # a whole row: its columns share the beginning
@@ -252,6 +256,8 @@ class Scope:
             inner = value if isinstance(value, Row) else Row()
             sub = Scope.over(self, inner)
             return Row(sub.items(e.key.items))
+        if isinstance(e.key, t.Ref) and isinstance(value, (Row, Open)) and not (len(e.key.path) == 1 and e.key.path[0] in self.names and isinstance(value, Open)):
+            return self.field(value, ".".join(e.key.path))
         key = self.value(e.key)
         if isinstance(key, Atom) and key.const is not None:
             return self.field(value, str(key.const))
@@ -349,7 +355,7 @@ class Scope:
             if e.what == "INTEGER" and isinstance(kind, (T.FloatType, T.DoubleType)):
                 out = col.isNotNull() & (F.floor(col) == col)
             else:
-                right = {"STRING": T.StringType, "NUMBER": (*NUMBERS, T.BooleanType), "INTEGER": (*WHOLE, T.BooleanType), "TIMESTAMP": T.TimestampType, "INTERVAL": ()}[e.what]
+                right = {"STRING": T.StringType, "NUMBER": (*NUMBERS, T.BooleanType), "INTEGER": (*WHOLE, T.BooleanType), "TIMESTAMP": (T.TimestampType, T.TimestampNTZType), "INTERVAL": ()}[e.what]
                 good = isinstance(x, Interval) if e.what == "INTERVAL" else isinstance(kind, right)
                 out = col.isNotNull() if good else F.lit(False)
         return Atom(~out if e.negated else out)

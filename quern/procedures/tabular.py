@@ -14,6 +14,7 @@ from ..operators import tables
 from ..plans import select
 from ..plans.scope import NUMBERS, Scope
 from ..plans.table import ROW, Table, q
+from ..storage import stored
 
 
 def input_table(engine, data: str) -> Table:
@@ -60,7 +61,7 @@ def _numbered(engine, table: Table, order: str, name: str) -> DataFrame:
     df = table.df.withColumns(cols)
     sort = [F.col(f"__s{i}").asc() if up else F.col(f"__s{i}").desc() for i, (_, up) in enumerate(keys)] + [F.col("__tie"), q(ROW)]
     n = int(engine.spark.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartitionByRange(n, *sort).withColumn("__part", F.spark_partition_id())
+    df = stored(df.repartitionByRange(n, *sort).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = df.groupBy("__part").count().collect()  # one row a partition
     before, at = {}, 0
     for r in sorted(sizes, key=lambda r: r["__part"]):
@@ -137,7 +138,7 @@ def summary(engine, inputData: str, outputDataset: str | None = None, top: int =
 def _quartiles(engine, counts: DataFrame, shares: list[float]) -> DataFrame:
     """From distinct values and counts: ranges of values, their totals, and the place within."""
     n = int(engine.spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id())
+    ranged = stored(counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("part").agg(F.sum("k").alias("t"))
     before = totals.alias("a").join(totals.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.t"), F.lit(0)).alias("before"))
     whole = totals.agg(F.sum("t").alias("n"))
