@@ -33,7 +33,7 @@ class Row(Value):
     fields: dict[str, Value] = field(default_factory=dict)
 
     def column(self) -> Column:
-        return F.struct(*[v.column().alias(k) for k, v in self.leaves().items()]) if self.fields else F.lit(None)
+        return F.struct(*[v.column().alias(k) for k, v in self.fields.items()]) if self.fields else F.lit(None)
 
     def leaves(self, prefix: str = "") -> dict[str, Value]:
         """Atoms and other ends by dotted name."""
