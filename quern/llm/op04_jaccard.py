@@ -6,23 +6,27 @@ share a shingle in their first |x| - ceil(t |x|) + 1.  Any order is right; count
 of shingles over all documents make a good one, since passages that many
 documents share then come last.
 
-1. Every task counts the shingles of all its documents; sums of those it saw more
-   than once give the common shingles, and the most common of them (a bounded
-   number) the order.  What is left out of that list counts as rare.
-2. Each distinct set sends its prefix; prefixes that meet link sets into
-   candidate clusters.  Links go to the smallest set of a shingle, so a shingle in
-   m sets gives m - 1 links and no pairs.
+1. One shuffle brings equal shingles together.  A shingle of a single set can't
+   match anything, so only shingles that sets share go on, with the number of
+   their sets, which gives the order.  The others stand, uncompared, at the start
+   of their sets.
+2. A set whose prefix holds no shared shingle has no link and is done; most are.
+   Shared shingles of the other prefixes link sets into candidate clusters, each
+   set to the smallest set of the shingle, so m sets give m - 1 links, not pairs.
 3. The sets of clusters are brought together once, in blocks of bounded size.  In
    a block they form a trie in the global order; a set that looks for partners
    walks it, carries the overlap so far to all sets below, and leaves a subtree as
    soon as the elements still to come, of either side, can't reach the overlap
    that the similarity asks for, or when all sets below are already in its class.
-4. A cluster of many blocks is first joined within its blocks and with its first
+4. A cluster of many blocks is first joined within its blocks and with its largest
    block.  Sets that then are outside the cluster's largest class look through all
    blocks; sets inside it need not, as their class is known.  So the work grows
    with the number of sets times blocks only for sets that have no class.
 
-Equal sets are one set from the start, whatever the number of documents.  Links
+Equal sets are one set from the start, whatever the number of documents.  Sets are
+told apart by 64-bit hashes, shingles by 64 bits within a set and by 48 between
+sets, which makes the shuffle a fifth smaller; two sets of 1,000 shingles have one
+too many in common by chance once in 10**8 pairs.  Links
 and classes are tables in the shared folder; no task holds more than two blocks.
 A set with a null doc_id takes part, but gives no row.  Documents without words
 or text have an empty set and no links.  Rows that repeat a doc_id with other
@@ -31,31 +35,31 @@ texts join that document to the classes of each.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, documents, map_batches, stored
+from .common import connected_components, documents, released, stored
 from .shingles import shingle_hashes, words_of
 
 K, PERCENT = 5, 80
-#: Shingles in the list that orders common ones; sets in a block, and shingles in it at most.
-ORDERED = 1 << 18
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 1_000_000
+#: Sets in a block, and shingles in it at most; numbers of sets beyond which shingles count alike.
+BLOCK_SETS, BLOCK_SHINGLES, MANY = 1000, 1_000_000, 1 << 16
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text), K))
 
 
-def set_key(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def set_key(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
 
 def similar(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -66,22 +70,6 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-class Order:
-    """Positions in the global order: listed shingles last, by count; others by hash."""
-
-    def __init__(self, listed: np.ndarray, counts: np.ndarray):
-        by = np.argsort(listed)
-        self.listed, self.counts = listed[by], counts[by]
-
-    def sort(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.listed):
-            return s
-        at = np.searchsorted(self.listed, s)
-        at[at == len(self.listed)] = 0
-        n = np.where(self.listed[at] == s, self.counts[at], 0)
-        return s[np.lexsort((s, n))]
-
-
 class Classes:
     """Union-find over the sets of a block pair."""
 
@@ -102,41 +90,42 @@ class Classes:
 
 
 class Trie:
-    """Ordered sets as paths; a path without branches is kept as one array."""
+    """Ordered sets as paths; a path without branches is kept as one array.  ``sizes`` are those of
+    whole sets; the items are what sets share, in the global order."""
 
-    def __init__(self, percent: int, classes: Classes):
-        self.percent, self.classes = percent, classes
-        # a node: [path, children by first element, sets that end here, least size, most size, members]
-        self.root: list = [(), {}, [], 1 << 60, 0, []]
-        self.sizes: dict[int, int] = {}
+    def __init__(self, percent: int, classes: Classes, sizes: list[int]):
+        self.percent, self.classes, self.sizes = percent, classes, sizes
+        # a node: [path, children by first element, sets that end here, least size, most size, most items, members]
+        self.root: list = [(), {}, [], 1 << 60, 0, 0, []]
+        self.items: dict[int, int] = {}
 
     def add(self, name: int, items: list[int]) -> None:
-        n, node, i = len(items), self.root, 0
+        n, m, node, i = self.sizes[name], len(items), self.root, 0
+        self.items[name] = m
         while True:
-            node[3], node[4] = min(node[3], n), max(node[4], n)
-            node[5].append(name)
+            old = node[3:6]
+            node[3], node[4], node[5] = min(node[3], n), max(node[4], n), max(node[5], m)
+            node[6].append(name)
             path = node[0]
             k = 0
-            while k < len(path) and i < n and path[k] == items[i]:
+            while k < len(path) and i < m and path[k] == items[i]:
                 k += 1
                 i += 1
             if k < len(path):  # split the path where the sets part
-                old = node[5][:-1]
-                below = [path[k:], node[1], node[2], min(self.sizes[m] for m in old), max(self.sizes[m] for m in old), old]
+                below = [path[k:], node[1], node[2], *old, node[6][:-1]]
                 node[0], node[1], node[2] = path[:k], {path[k]: below}, []
-            if i == n:
+            if i == m:
                 node[2].append(name)
                 break
             nxt = node[1].get(items[i])
             if nxt is None:
-                node[1][items[i]] = [tuple(items[i:]), {}, [name], n, n, [name]]
+                node[1][items[i]] = [tuple(items[i:]), {}, [name], n, n, m, [name]]
                 break
             node = nxt
-        self.sizes[name] = n
 
     def partners(self, name: int, items: list[int]) -> Iterator[int]:
         """Sets of the trie that are similar to this one and not yet in its class."""
-        n, p = len(items), self.percent
+        n, m, p = self.sizes[name], len(items), self.percent
         rank = {x: i for i, x in enumerate(items)}  # place in the probe
         find, least_size = self.classes.find, -(-p * n // 100)
         most_size = 100 * n // p
@@ -147,13 +136,12 @@ class Trie:
             if node[3] > most_size or node[4] < least_size:
                 continue
             own = find(name)
-            members = node[5]
-            if find(members[0]) == own and all(find(m) == own for m in members):
+            members = node[6]
+            if find(members[0]) == own and all(find(x) == own for x in members):
                 continue
             # for sets of size s >= smallest below, overlap must reach p (n + s) / (100 + p)
-            small = max(node[3], least_size)
-            need = -(-p * (n + small) // (100 + p))
-            big = min(node[4], most_size)
+            need = -(-p * (n + max(node[3], least_size)) // (100 + p))
+            big = node[5]
             dead = False
             for x in node[0]:
                 depth += 1
@@ -161,28 +149,29 @@ class Trie:
                 if j is not None:
                     common += 1
                     at = j + 1
-                elif common + min(n - at, big - depth) < need:
+                elif common + min(m - at, big - depth) < need:
                     dead = True
                     break
-            if dead or common + min(n - at, big - depth) < need:
+            if dead or common + min(m - at, big - depth) < need:
                 continue
-            for m in node[2]:
-                if similar(common, n, self.sizes[m], p) and find(m) != find(name):
-                    yield m
+            for x in node[2]:
+                if similar(common, n, self.sizes[x], p) and find(x) != find(name):
+                    yield x
             stack += [(child, common, depth, at) for child in node[1].values()]
 
 
-def join_block(sets: list[list[int]], probes: list[int], targets: list[int], percent: int = PERCENT, known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+def join_block(sets: list[list[int]], probes: list[int], targets: list[int], percent: int = PERCENT, known: list[tuple[int, int]] = (), sizes: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the classes of ``sets`` as far as probe-target pairs go; not all pairs, but
     no two sets with a link are left in different classes.  With equal lists, the pairs within."""
     classes = Classes(len(sets))
     for a, b in known:
         classes.join(a, b)
-    trie = Trie(percent, classes)
+    sizes = sizes or [len(s) for s in sets]
+    trie = Trie(percent, classes, sizes)
     out: list[tuple[int, int]] = []
     if probes == targets:
-        for i in sorted(targets, key=lambda i: (len(sets[i]), i)):
-            if trie.root[5]:
+        for i in sorted(targets, key=lambda i: (sizes[i], i)):
+            if trie.root[6]:
                 for j in trie.partners(i, sets[i]):
                     if classes.join(i, j):
                         out.append((i, j))
@@ -191,102 +180,137 @@ def join_block(sets: list[list[int]], probes: list[int], targets: list[int], per
     for j in targets:
         trie.add(j, sets[j])
     for i in probes:
-        if trie.root[5]:
+        if trie.root[6]:
             for j in trie.partners(i, sets[i]):
                 if classes.join(i, j):
                     out.append((i, j))
     return out
 
 
-def _light(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, set) of every document, and the counts of shingles that occur again."""
+ROWS = "token long, set long, n long"
+SHARED = "token long, set long, df long, n long"
 
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
 
-        def counts() -> pa.RecordBatch | None:
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            u, n = u[n > 1], n[n > 1]
-            if len(u):
-                nulls = pa.nulls(len(u), pa.int64())
-                return pa.RecordBatch.from_arrays([nulls, nulls, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["doc_id", "n", "set", "token", "count"])
-            return None
-
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ns, keys = [], []
-            for t in texts:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, set, 0) for the shingles of sets, once for sets that come again in the task, and
+    (doc_id, set, size) for each document, with size -1 for an empty set."""
+    names = ["token", "set", "n"]
+    seen: set[int] = set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            sizes, keys, parts, owners = [], [], [], []
+            for t in some.column(1).to_pylist():
                 s = shingle_set(t)
-                ns.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
-                held.append(s)
-                size += len(s)
-                if size > 8_000_000:
-                    if (out := counts()) is not None:
-                        yield out
-                    held.clear()
-                    size = 0
-            none = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), none, none], names=["doc_id", "n", "set", "token", "count"])
-        if held and (out := counts()) is not None:
-            yield out
-
-    both = stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(one, "doc_id long, n long, set binary, token long, count long"), "jaccard-light")
-    return both.where("token is null").select("doc_id", "n", "set"), both.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
-
-
-def _ordered(order, text: str | None) -> np.ndarray:
-    return order.sort(shingle_set(text))
-
-
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ordered: int = ORDERED, block_sets: int = BLOCK_SETS) -> DataFrame:
+                k = set_key(s)
+                sizes.append(len(s) or -1)
+                keys.append(k)
+                if len(s) and k not in seen:
+                    seen.add(k)
+                    parts.append((s >> np.uint64(16)).view(np.int64))
+                    owners.append(k)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=names)
+            if parts:
+                sets = np.repeat(np.array(owners, np.int64), [len(p) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(sets), pa.array(np.zeros(len(sets), np.int64))], names=names)
+
+
+def sift(batches: Iterator[tuple[np.ndarray, np.ndarray]], many: int = MANY) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From (token, set) in order to (token, set, number of sets) where a token has two sets or
+    more.  Holds the sets of one token, up to ``many``: beyond, the number is ``many``."""
+    token = last = None
+    held: list[np.ndarray] = []
+    n = 0
+    over = False
+
+    def close() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if n and (n > 1 or over):
+            s = np.concatenate(held)
+            yield np.full(len(s), token), s, np.full(len(s), many if over else min(n, many))
+
+    for t, s in batches:
+        if not len(t):
+            continue
+        fresh = np.r_[t[0] != token or s[0] != last, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
+        end, last = t[-1], s[-1]
+        t, s = t[fresh], s[fresh]
+        if not len(t):
+            continue
+        cut = int(np.searchsorted(t, token, side="right")) if token is not None and t[0] == token else 0
+        if cut:
+            held.append(s[:cut])
+            n += cut
+        if cut < len(t):
+            yield from close()
+            first = np.flatnonzero(np.r_[True, t[cut + 1 :] != t[cut:-1]]) + cut
+            size = np.diff(np.r_[first, len(t)])
+            whole = np.repeat(size, size)
+            inner = np.arange(cut, len(t)) < first[-1]
+            keep = inner & (whole > 1)
+            if keep.any():
+                yield t[cut:][keep], s[cut:][keep], np.minimum(whole[keep], many)
+            held, n, over = [s[first[-1] :]], int(size[-1]), False
+        token = end
+        if n > many or over and n:
+            over = True
+            x = np.concatenate(held)
+            yield np.full(len(x), token), x, np.full(len(x), many)
+            held, n = [], 0
+    yield from close()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["token", "set", "df", "n"]
+    light: list[pa.RecordBatch] = []
+
+    def tokens() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            is_token = pc.equal(batch.column(2), 0)
+            own = batch.filter(pc.invert(is_token))
+            if own.num_rows:
+                light.append(own)
+            batch = batch.filter(is_token)
+            yield batch.column(0).to_numpy(), batch.column(1).to_numpy()
+
+    for t, s, df in sift(tokens()):
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s), pa.array(df.astype(np.int64)), pa.array(np.zeros(len(t), np.int64))], names=names)
+        while light:
+            x = light.pop()
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.zeros(x.num_rows, np.int64)), x.column(2)], names=names)
+    while light:
+        x = light.pop()
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.zeros(x.num_rows, np.int64)), x.column(2)], names=names)
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document."""
     spark = docs.sparkSession
-    light, counts = _light(docs, key, text)
-    # the list is bounded by the parameter; it only orders, so what it leaves out is no loss
-    listed = counts.orderBy(F.desc("count"), "token").limit(ordered).toPandas()
-    order = spark.sparkContext.broadcast(Order(listed["token"].to_numpy(np.int64).view(np.uint64), listed["count"].to_numpy(np.int64)))
-    sets = light.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    # one shuffle brings equal shingles together; a stream over them needs no group as a whole
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(source.mapInArrow(_rows, ROWS).repartition(parts, "token").sortWithinPartitions("token", "set").mapInArrow(_shared, SHARED), "jaccard-shared")
+    released(spark)
+    light = found.where("df = 0").select(F.col("token").alias("doc_id"), "set", F.greatest("n", F.lit(0)).alias("n"))
+    sets = light.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
-    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, parts = [], []
-        for t in batch.column(1).to_pylist():
-            s = shingle_set(t)
-            if len(s):
-                keys.append(set_key(s))
-                parts.append(order.value.sort(s)[: prefix_length(len(s), percent)])
-        if not keys:
-            return None
-        at = np.repeat(np.arange(len(keys)), [len(x) for x in parts])
-        names = pa.array(keys, pa.binary()).take(pa.array(at))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), names], names=["token", "set"])
-
-    post = stored(map_batches(source.select("doc_id", "t"), prefixes, "token long, set binary"), "jaccard-prefixes")
-    shared = post.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("token", "low")
-    near = post.join(shared, "token").where("set <> low").select("set", "low").distinct()
-    reps = sets.select("set", "rep", "n")
-    near = near.join(reps.select("set", F.col("rep").alias("a")), "set").join(reps.select(F.col("set").alias("low"), F.col("rep").alias("b")), "low").select("a", "b")
-    clusters = stored(connected_components(near).withColumnRenamed("component", "cluster"), "jaccard-clusters")
-    members = clusters.join(reps.where("rep is not null").select(F.col("rep").alias("node"), "set", "n"), "node")
+    # sets of which enough shingles are shared to have one in the prefix, in the global order
+    items = found.where("df > 0").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
+    left = F.size("x") - (F.ceil(F.col("n") * percent / 100) - 1)  # shared ones in the prefix
+    full = items.join(sets.where("rep is not null"), "set").withColumn("prefix", left.cast("int")).where("prefix > 0")
+    full = stored(full.select(F.col("rep").alias("node"), "n", F.transform("x", lambda e: e["token"]).alias("items"), "prefix"), "jaccard-sets")
+    post = full.select("node", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("token"))
+    low = post.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b <> high").drop("high")
+    near = post.join(low, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    clusters = connected_components(near).withColumnRenamed("component", "cluster")
+    members = stored(full.drop("prefix").join(clusters, "node"), "jaccard-members")
     # one block for a small cluster; else blocks of like sizes, dealt by hash
     like = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("long")
-    members = stored(members.select("cluster", "node", "set", "n", like.alias("like")), "jaccard-members")
+    members = members.withColumn("like", like)
     needed = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("long")
     small = members.groupBy("cluster").agg(needed.alias("whole"))
     blocks = members.groupBy("cluster", "like").agg(needed.alias("blocks"))
     block = F.when(F.col("whole") == 1, F.lit(0).cast("long")).otherwise(F.shiftleft(F.col("like") + 1, 32) + F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = members.join(small, "cluster").join(blocks, ["cluster", "like"]).select("cluster", "node", "set", "n", block.alias("block"))
-
-    def bodies(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [_ordered(order.value, t).view(np.int64) for t in batch.column(1).to_pylist()]
-        keys = [set_key(np.sort(x.view(np.uint64))) for x in lists]
-        offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)))], names=["node", "set", "items"])
-
-    body = map_batches(source.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "t"), bodies, "node long, set binary, items array<long>")
-    full = stored(members.join(body, ["node", "set"]).dropDuplicates(["node"]).select("cluster", "block", "node", "n", "items"), "jaccard-sets")
+    full = stored(members.join(small, "cluster").join(blocks, ["cluster", "like"]).select("cluster", block.alias("block"), "node", "n", "items"), "jaccard-blocks")
 
     unit = T.StructType.fromDDL("a long, b long")
 
@@ -296,12 +320,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         nodes = pdf["node"].drop_duplicates().tolist()
         at = {x: i for i, x in enumerate(nodes)}
         lists: list = [None] * len(nodes)
+        ns = [0] * len(nodes)
         known: dict[int, int] = {}
         links: list[tuple[int, int]] = []
         probes, targets = [], []
-        for node, items, probe, own in zip(pdf["node"], pdf["items"], pdf["probe"], pdf["class"], strict=True):
+        for node, n, items, probe, own in zip(pdf["node"], pdf["n"], pdf["items"], pdf["probe"], pdf["class"], strict=True):
             i = at[node]
-            lists[i] = items.tolist()
+            lists[i], ns[i] = items.tolist(), n
             (probes if probe else targets).append(i)
             if own in known:
                 links.append((known[own], i))
@@ -309,7 +334,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                 known[own] = i
         if not probes:
             probes = targets
-        found = join_block(lists, probes, targets, percent, links)
+        found = join_block(lists, probes, targets, percent, links, ns)
         return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype="int64")
 
     def joined(rows: DataFrame) -> DataFrame:
@@ -321,7 +346,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     # within each block, and each block against the one with most sets
     plain = full.withColumn("class", F.col("node"))
-    sizes = stored(full.groupBy("cluster", "block").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-blocks")
+    sizes = stored(full.groupBy("cluster", "block").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-block-sizes")
     heads = sizes.groupBy("cluster").agg(F.max_by("block", F.struct("k", "block")).alias("head"), F.count("*").alias("blocks")).where("blocks > 1").select("cluster", "head")
     others = plain.join(heads, "cluster").where("block <> head")
     to_head = sizes.join(heads, "cluster").where("block <> head").select("cluster", "head", F.col("block").alias("other"))
