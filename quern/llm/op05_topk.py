@@ -14,8 +14,8 @@ Queries come in blocks of bounded size, each sent to all tasks; candidates stay
 where they are, and only k rows a query leave a task.  Vectors that are null or
 hold null or non-finite components take no part, nor do rows with a null id.
 Rows with the query's id are no candidates of it; other repeated rows count each.
-Vectors of another length than the query's are no candidates.  Scores beyond 64
-bits are cut to the range of a long.
+Vectors of another length than the query's are no candidates.  Scores beyond 63
+bits are cut to that range.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def scores_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     if most < EXACT:
         return (x @ q).astype(np.int64)
     whole = [int(t) for t in q]
-    return np.array([max(-LONG - 1, min(LONG, sum(int(a) * b for a, b in zip(r, whole, strict=True)))) for r in x], np.int64)
+    return np.array([max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(r, whole, strict=True)))) for r in x], np.int64)
 
 
 class PivotTable:
