@@ -1,0 +1,294 @@
+"""Secrets, BPE, licenses, decontamination, quality: against brute force, a library, or held-out rows."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import op01_secrets as s1
+from quern.llm import op02_bpe as s2
+from quern.llm import op06_licenses as s6
+from quern.llm import op09_quality as s9
+from quern.llm import op10_decontaminate as s10
+
+TEXT = "doc_id long, text string, n_chars long, spans string"
+
+
+# secrets
+
+
+def test_entropy_windows_equal_recomputation():
+    rng = random.Random(1)
+    for _ in range(200):
+        t = "".join(rng.choice("abcdef0123456789XYZ") for _ in range(rng.randint(0, 80)))
+        least = rng.choice([2.0, 3.0, 3.5, 4.0])
+        marks = set()
+        for i in range(len(t) - s1.WINDOW + 1):
+            c = Counter(t[i : i + s1.WINDOW])
+            if -sum(k / s1.WINDOW * math.log2(k / s1.WINDOW) for k in c.values()) >= least - 1e-9:
+                marks |= set(range(i, i + s1.WINDOW))
+        assert {k for a, b in s1.entropy_windows(t, least) for k in range(a, b)} == marks
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(2)
+    parts = ["password", "API_KEY", "apikey", "Token", "secret", ":", "=", " ", '"', "'", "abcdefgh1", "short", "AKIA", "AKIAABCDEFGHIJKL", "0" * 31, "a" * 33, "deadbeef" * 5, "é", "K", "\n"]
+    slow = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        want = [(m.start(), m.end(), "assign") for m in slow.finditer(t) if len(m[2]) >= 8] + [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert sorted(s1.base_spans(t)) == sorted(want), t
+
+
+def test_allow_list_and_prose_stay_clean():
+    for t in ("123e4567-e89b-12d3-a456-426614174000", "sha256:" + "ab12" * 16, "a/long/path/of/plain/words/here", "internationalisation_and_localisation", "abcdefghijklmnopqrstuvwxyz0123456789", "1111-2222-3333-4444-5555-6666", "ha" * 40):
+        assert not [x for x in s1.find_spans(t) if x[2].startswith("entropy")], t
+    assert [x for x in s1.find_spans("x wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY y") if x[2] == "entropy_base64"]
+
+
+def test_redact(spark):
+    rows = [(1, "plain words", 11, "x"), (2, None, None, None), (3, "", 0, None), (4, "a password=abcdefgh1 b", 22, None), (4, "a password=abcdefgh1 b", 22, None), (5, "w " * 50_000, 100_000, None)]
+    df = spark.createDataFrame(rows, TEXT)
+    out = sorted(s1.redact(df).collect(), key=str)
+    assert s1.redact(df).columns == df.columns and len(out) == 6
+    by = {r["doc_id"]: r for r in out}
+    assert by[4]["text"] == "a [SECRET] b" and by[4]["n_chars"] == len("a [SECRET] b")
+    assert by[1]["text"] == "plain words" and by[2]["text"] is None and by[5]["n_chars"] == 100_000
+    assert s1.redact(df.limit(0)).count() == 0 and s1.scan(df, into="spans").columns == ["doc_id", "text", "n_chars", "spans"]
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return s2.BpeModel(s2.default_vocabulary())
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(s2.default_vocabulary())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_ids_equal_the_library(bpe, library):
+    rng = random.Random(3)
+    parts = list("abcdefghijklmnopqrstuvwxyz'’.,!AZéßΣσςİǺ²٣漢😀\x1c\x85\xa0\t\n -_0129<|>ǅ") + ["'s", "'LL", "<|endoftext|>", "ing", "tion"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "a" * 9000, "ha" * 5000, "word " * 3000]
+    for t in texts:
+        ids = np.frombuffer(bpe.encode(t), "<u4").tolist()
+        assert ids == library.encode(t, add_special_tokens=False).ids
+        assert bpe.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_streamed_words_equal_whole_ones(bpe):
+    rng = random.Random(4)
+    for block in (1, 7, 300):
+        raw = "".join(rng.choice("aehinorst") for _ in range(6000)).encode()
+        pieces = [raw[i : i + 11] for i in range(0, len(raw), 11)]
+        got = [x for part in bpe.stream_word(pieces, block) for x in part]
+        assert got == bpe.merge([*(bpe.inner[b] for b in raw[:-1]), bpe.last[raw[-1]]])
+
+
+def test_a_small_merge_list_is_stable_within_its_lookahead():
+    merges = [("a", "b"), ("b", "c"), ("ab", "ab"), ("c", "ab"), ("abab", "c")]
+    rules = {m: i for i, m in enumerate(merges)}
+
+    def encode(word):
+        parts = list(word)
+        while True:
+            found = [(rules[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rules]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    k = s2.sufficient_lookahead(merges, "")
+    rng = random.Random(5)
+    for _ in range(2000):
+        head = "".join(rng.choice("abc") for _ in range(rng.randint(1, 20)))
+        ends = [encode(head + "".join(rng.choice("abc") for _ in range(rng.randint(0, 6)))) for _ in range(3)]
+
+        def stable(parts):
+            out, at = [], 0
+            for p in parts:
+                at += len(p)
+                if at > len(head) - k:
+                    break
+                out.append(p)
+            return out
+
+        assert stable(ends[0]) == stable(ends[1]) == stable(ends[2]) == stable(encode(head))
+
+
+def test_bytes_decode_to_the_same_text_in_any_pieces(bpe):
+    text = "naïve 漢字 test 😀 end"
+    ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
+    whole = s2.TextDecoder(bpe)
+    expected = whole.feed(ids) + whole.finish()
+    assert expected.split() == "naïve 漢字 test 😀 end".split()
+    d = s2.TextDecoder(bpe)
+    assert "".join(d.feed([i]) for i in ids) + d.finish() == expected
+
+
+def test_digests_of_odd_rows(spark, library):
+    rows = [(1, None), (2, ""), (3, "same text"), (3, "same text"), (None, "x"), (4, "long " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    out = s2.digests(df, s2.default_vocabulary(), ids=True).collect()
+    assert len(out) == 6
+    for r in out:
+        if r["doc_id"] in (1, 2):
+            assert r["n_tokens"] == 0 and r["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert next(r for r in out if r["doc_id"] == 4)["n_tokens"] == 20_000
+    assert s2.encode(df, s2.default_vocabulary()).where("doc_id = 3").first()["ids"] == library.encode("same text", add_special_tokens=False).ids
+    assert s2.digests(df.limit(0), s2.default_vocabulary()).count() == 0
+
+
+# licenses
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(60):
+        words = [rng.choice("alpha beta gamma delta the license under of".split()) for _ in range(rng.randint(0, 120))]
+        if i % 3 == 0:
+            _, t = rng.choice(s6.TEMPLATES)
+            own = t.split()
+            if len(own) > 20:
+                for _ in range(rng.randint(0, 2)):
+                    own[rng.randrange(len(own))] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        docs.append((i, " ".join(words)))
+    docs += [(100, None), (101, ""), (102, "Released under the MIT License. " * 2), (102, "Released under the MIT License. " * 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("license", F.lit("clash"))
+    got = {(r["doc_id"], r["license"]) for r in s6.scan_licenses(df).collect()}
+    want = set()
+    for i, t in docs:
+        w = s6.plain_words(t or "")
+        sh = [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))]
+        for name, tt in s6.TEMPLATES:
+            tw = s6.plain_words(tt)
+            own = {tuple(tw[j : j + 5]) for j in range(max(1, len(tw) - 4))}
+            wide = next(c for c in s6.CLASSES if c >= len(tw))
+            if any(len(own & set(sh[a : a + wide])) >= 0.8 * len(own) for a in range(len(sh))):
+                want.add((i, name))
+    assert want <= got
+    for i, name in got - want:  # a window is a little wider than the brute-force one
+        assert name in {n for n, _ in s6.TEMPLATES}
+    assert s6.scan_licenses(df.limit(0)).count() == 0 and s6.scan_licenses(df, ()).count() == 0
+
+
+def test_anchors_lose_nothing():
+    for _, t in s6.TEMPLATES:
+        words, anchors = s6.plain_words(t), set(s6.anchors_of(t))
+        n = max(1, len(words) - 4)
+        free = [i for i in range(n) if not anchors & set(words[i : i + 5])]
+        assert len(free) < 0.8 * n
+
+
+def test_the_license_plan_has_no_python(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    df.write.mode("overwrite").parquet("/tmp/quern-plan-check")
+    plan = s6.scan_licenses(spark.read.parquet("/tmp/quern-plan-check"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# decontamination
+
+
+def test_block_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(7)
+    b = s10.Benchmark([(i, " ".join(f"w{rng.integers(0, 400)}" for _ in range(30))) for i in range(50)])
+    queries = np.array([b.prints[rng.integers(0, 50)] ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 40), replace=False)) for _ in range(500)], np.uint64)
+    at, items = b.within(queries, b.windows[0])
+    want = {(i, j) for i, q in enumerate(queries.tolist()) for j, p in enumerate(b.prints) if (q ^ p).bit_count() <= b.radius}
+    assert set(zip(at.tolist(), items.tolist(), strict=True)) == want
+
+
+def test_matches_equal_brute_force(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"t{rng.randint(0, 300)}" for _ in range(rng.randint(3, 40)))) for i in range(12)] + [(50, None), (51, "")]
+    docs = []
+    for i in range(80):
+        words = [f"t{rng.randint(0, 300)}" for _ in range(rng.randint(0, 80))]
+        if i % 2:
+            own = rng.choice(items[:12])[1].split()
+            if rng.random() < 0.5 and len(own) > 12:
+                own[rng.randrange(len(own))] = "x"
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        docs.append((i, " ".join(words)))
+    docs += [(200, None), (201, ""), (None, items[0][1]), (202, "w " * 30_000)]
+
+    def brute(text):
+        w, out = s10.words_of(text), set()
+        for i, t in items:
+            own = s10.words_of(t)
+            if not own:
+                continue
+            c = Counter(s10.shingle_hashes(own).tolist())
+            n = min(len(own), len(w)) if len(own) >= 5 else len(own)
+            for a in range(len(w) - n + 1):
+                if n and s10.weighted_similarity(Counter(s10.shingle_hashes(w[a : a + n]).tolist()), c) >= 0.8:
+                    out.add(i)
+                    break
+        return out
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = s10.find_contamination(df, bench).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+    for i, t in docs:
+        assert got.get(i, set()) == (brute(t) if len(t or "") < 10_000 else set()), (i, t)
+    kept = {r["doc_id"] for r in s10.drop_contaminated(df, bench).collect()}
+    assert kept == {i for i, t in docs if not got.get(i)}
+    assert s10.find_contamination(df, bench.limit(0)).count() == 0 and s10.find_contamination(df.limit(0), bench).count() == 0
+    assert s10.drop_contaminated(df, bench).columns == df.columns
+
+
+# quality
+
+
+def test_em_recovers_rates():
+    rng = np.random.default_rng(9)
+    n, k = 20_000, len(s9.LABELLERS)
+    y = rng.random(n) < 0.2
+    acc = np.linspace(0.75, 0.95, k)
+    v = np.where(rng.random((n, k)) < acc, y[:, None], ~y[:, None]).astype(int)
+    v[rng.random((n, k)) < 0.3] = -1
+    m = s9.estimate(Counter(map(tuple, v.tolist())))
+    assert abs(m.prior - 0.2) < 0.02 and np.abs(m.rates[:, 1, 1] - acc).max() < 0.06
+    assert s9.estimate({}).prior > 0
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    train = labels.where("doc_id % 2 = 0")
+    model = s9.fit(docs, train)
+    got = s9.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert ((got.p_junk >= 0.5) == (got.quality == 0)).mean() > 0.97
+    bad = (got.quality == 0) | (got.toxic == 1)
+    assert (got.keep & ~bad).sum() >= 0.97 * (~bad).sum()
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "few words"), (4, "A plain line of words that says a thing and then stops there. " * 2), (4, "A plain line of words that says a thing and then stops there. " * 2), (None, "BUY!! NOW!! CHEAP!! STUFF!! HERE!! " * 30), (5, "word " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep", F.lit(1))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = s9.fit(df, none)
+    assert s9.score(df, model).count() == 7 and s9.keep_good(df, model).columns == df.columns
+    assert s9.score(df.limit(0), s9.fit(df.limit(0), None)).count() == 0
