@@ -9,7 +9,7 @@ from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..engine import Function
@@ -177,18 +177,23 @@ def tsne(engine, trainingData: str, rowOutputDataset: str | None = None, numOutp
     return out
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, max_distance: float | None = None, metric: str = "euclidean") -> DataFrame:
-    """(query, key, distance): the k nearest rows to each query.  Every task keeps its k best for each
-    query, so only those are shuffled; queries are sent along and must be few."""
-    from pyspark.sql import Window
-
-    qs = F.broadcast(queries.select(q(key).alias("query"), q(vector).cast("array<double>").alias("qv")))
-    pairs = vectors.select(q(key), q(vector).cast("array<double>").alias("v")).crossJoin(qs)
-    pairs = pairs.select("query", q(key), _distance(F.col("v"), F.col("qv"), metric).alias("distance"))
-    if max_distance is not None:
-        pairs = pairs.where(F.col("distance") <= max_distance)
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, max_distance: float | None = None, metric: str = "euclidean", block: int = 1000) -> DataFrame:
+    """(query, key, distance, rank): the k nearest rows to each query.  About ``block`` queries at a
+    time go to all tasks, and a task passes on no more than its k best for each of them."""
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    queries = queries.select(q(key).alias("query"), q(vector).cast("array<double>").alias("qv"))
     best = Window.partitionBy("query").orderBy("distance", q(key))
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        pairs = vectors.select(q(key), q(vector).cast("array<double>").alias("v")).join(F.broadcast(some), F.lit(True), "cross")
+        pairs = pairs.select("query", q(key), _distance(F.col("v"), F.col("qv"), metric).alias("distance"))
+        if max_distance is not None:
+            pairs = pairs.where(F.col("distance") <= max_distance)
+        part = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out = part if out is None else out.union(part)
+    return out
 
 
 def neighbors(engine, dataset: str, functionName: str | None = None, vectorColumn: str | None = None, numNeighbors: int = 10, maxDistance: float | None = None, metric: str = "euclidean", queries: str | None = None, **_: object):  # noqa: N803

@@ -81,9 +81,9 @@ query("q07_empty_aggregates", "SELECT count(*) AS n, sum(l_quantity) AS s FROM l
 query("q08_nulls_in_arithmetic", "SELECT n_nationkey, 1 / 2 AS half, 1 / 0 AS inf, n_nationkey / 4 AS quarter, null + 1 AS none, 1 = '1' AS same, n_nationkey IN (1, null) AS one, n_nationkey NOT IN (1, null) AS other FROM nation",
       "select n_nationkey, 0.5::double as half, 'infinity'::double as inf, n_nationkey / 4::double as quarter, null::double as none, false as same, n_nationkey = 1 as one, n_nationkey <> 1 as other from nation")
 query("q09_named", "SELECT n_name, n_regionkey NAMED 'r' + n_regionkey + '.' + n_name FROM nation", "select n_name, n_regionkey, 'r' || n_regionkey || '.' || n_name as \"_rowName\" from nation")
-query("q10_wildcards", "SELECT c_* EXCLUDING (c_name, c_mkt*) AS k_* FROM customer WHERE c_custkey <= 50", "select c_custkey as k_custkey, c_nationkey as k_nationkey, c_acctbal as k_acctbal from customer where c_custkey <= 50")
+query("q10_wildcards", "SELECT c_* EXCLUDING (c_name, c_mkt*) AS k_* FROM customer", "select c_custkey as k_custkey, c_nationkey as k_nationkey, c_acctbal as k_acctbal from customer")
 query("q11_column_expr", "SELECT COLUMN EXPR (AS upper(columnName()) WHERE columnName() IN ('s_acctbal', 's_name') AND rowCount() > 0 ORDER BY columnName() LIMIT 2) FROM supplier", 'select s_acctbal as "S_ACCTBAL", s_name as "S_NAME" from supplier')
-query("q12_sub_select", "SELECT x.r AS r, count(*) AS n FROM (SELECT n_regionkey AS r, n_name AS m FROM nation WHERE n_nationkey > 3) AS x GROUP BY x.r", "select n_regionkey as r, count(*) as n from nation where n_nationkey > 3 group by 1")
+query("q12_sub_select", "SELECT x.r AS r, count(*) AS n FROM (SELECT n_regionkey AS r, n_name AS m FROM nation WHERE n_name LIKE '%1%') AS x GROUP BY x.r", "select n_regionkey as r, count(*) as n from nation where n_name like '%1%' group by 1")
 query("q13_row_dataset", "SELECT column, value FROM row_dataset({a: 1, b: 2, c: {d: 4}})", "select * from (values ('a', 1), ('b', 2), ('c.d', 4)) t(\"column\", \"value\")")
 query("q14_bitwise", "SELECT p_partkey, p_size & 6 AS a, p_size | 1 AS o, p_size ^ 5 AS x, ~p_size AS n FROM part", "select p_partkey, (p_size & 6)::bigint as a, (p_size | 1)::bigint as o, xor(p_size, 5)::bigint as x, (~p_size)::bigint as n from part")
 
@@ -95,8 +95,8 @@ query("q21_join_left", "SELECT c.c_custkey AS c, o.o_orderkey AS o FROM customer
       "select c_custkey as c, o_orderkey as o from customer left join orders on c_custkey = o_custkey and o_totalprice > 400000")
 query("q22_join_right", "SELECT o.o_orderkey AS o, c.c_custkey AS c FROM orders AS o RIGHT JOIN customer AS c ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'",
       "select o_orderkey as o, c_custkey as c from orders right join customer on c_custkey = o_custkey and o_orderstatus = 'P'")
-query("q23_join_full", "SELECT s.s_suppkey AS s, n.n_nationkey AS n FROM (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey < 20) AS s OUTER JOIN nation AS n ON s.s_nationkey = n.n_nationkey",
-      "select s_suppkey as s, n_nationkey as n from (select * from supplier where s_suppkey < 20) full join nation on s_nationkey = n_nationkey")
+query("q23_join_full", "SELECT s.s_suppkey AS s, n.n_nationkey AS n FROM (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 5000) AS s OUTER JOIN nation AS n ON s.s_nationkey = n.n_nationkey",
+      "select s_suppkey as s, n_nationkey as n from (select * from supplier where s_acctbal > 5000) full join nation on s_nationkey = n_nationkey")
 query("q24_join_theta", "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation AS a JOIN region AS b ON a.n_regionkey < b.r_regionkey", "select n_nationkey as a, r_regionkey as b from nation join region on n_regionkey < r_regionkey")
 query("q25_join_cross", "SELECT a.r_name AS a, b.r_name AS b FROM region AS a JOIN region AS b", "select a.r_name as a, b.r_name as b from region a cross join region b")
 query("q26_join_chain", "SELECT r.r_name AS r, count(*) AS n, sum(c.c_acctbal) AS s FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey JOIN region AS r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
@@ -150,9 +150,9 @@ def when(e, spark, sf_dir):
     return e.sql("SELECT CAST(rowName() AS integer) AS event_id, event_type FROM timed WHEN value_timestamp() BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
 
 
-@builder("q54_temporal", "select user_id, count(value) as n, round(sum(value), 4) as s, min(value) as lo, max(value) as hi, arg_min(value, (ts, value)) as first, arg_max(value, (ts, value)) as last from events where user_id < 40 group by 1")
+@builder("q54_temporal", "select user_id, count(value) as n, round(sum(value), 4) as s, min(value) as lo, max(value) as hi, arg_min(value, (ts, value)) as first, arg_max(value, (ts, value)) as last from events group by 1")
 def temporal(e, spark, sf_dir):
-    cells = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 40").select(F.col("user_id").cast("string").alias("row"), F.lit("value").alias("column"), "value", "ts")
+    cells = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("row"), F.lit("value").alias("column"), "value", "ts")
     e.register("cells", Table.of_cells(cells, ["value"]))
     out = e.sql("SELECT CAST(rowName() AS integer) AS user_id, temporal_count(value) AS n, temporal_sum(value) AS s, temporal_min(value) AS lo, temporal_max(value) AS hi, temporal_earliest(value) AS first, temporal_latest(value) AS last FROM cells")
     return out.withColumn("s", F.round("s", 4))
@@ -204,10 +204,10 @@ query("q80_vectors", "SELECT vec_id, norm(embedding, 2) AS n2, norm(embedding, 0
       "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 4) as n2, len(list_filter(embedding, lambda x: x <> 0))::double as n0, round(list_sum(embedding::double[]), 4) as s, round(embedding[4]::double, 4) as e, round(list_dot_product(embedding::double[], embedding::double[]), 4) as sq from embeddings", n2=4, s=4, e=4, sq=4)
 
 
-@builder("q81_neighbors", "select vec_id as query, n as key, rank, round(d, 4) as distance from (select a.vec_id, b.vec_id as n, list_distance(a.embedding::double[], b.embedding::double[]) as d, row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) as rank from embeddings a join embeddings b on a.vec_id < 5) where rank <= 5")
+@builder("q81_neighbors", "select vec_id as query, n as key, rank, round(d, 4) as distance from (select a.vec_id, b.vec_id as n, list_distance(a.embedding::double[], b.embedding::double[]) as d, row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) as rank from embeddings a join embeddings b on a.vec_id % 100 = 0) where rank <= 5")
 def neighbors(e, spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    out = learning.nearest(v, "vec_id", "embedding", v.where("vec_id < 5"), 5)
+    out = learning.nearest(v, "vec_id", "embedding", v.where("vec_id % 100 = 0"), 5)
     return out.select("query", F.col("vec_id").alias("key"), "rank", F.round("distance", 4).alias("distance"))
 
 
@@ -276,12 +276,12 @@ def split(e, spark, sf_dir):
 
 
 @builder("q105_tfidf", """with w as (select doc_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 0)) as t from documents), c as (select doc_id, t, count(*) as k from w group by 1, 2),
-d as (select t, count(*) as df from c group by 1), n as (select count(*) as n from documents) select doc_id, t as term, round(k * ln(1 + n / df), 5) as weight from c join d using (t), n where df between 5 and 20""")
+d as (select t, count(*) as df from c group by 1), n as (select count(*) as n from documents) select doc_id, t as term, round(k * ln(1 + n / df), 5) as weight from c join d using (t), n""")
 def tfidf(e, spark, sf_dir):
     bags = e.query("SELECT doc_id, tokenize(lower(text), {splitChars: ' '}) AS t FROM documents").df
     e.register("bags", bags, key="doc_id")
     df = e.run("tfidf.train", trainingData="bags")
-    out = features.weigh(bags, "doc_id", "t", df.where("df between 5 and 20"), bags.count())
+    out = features.weigh(bags, "doc_id", "t", df, bags.count())
     return out.withColumn("weight", F.round("weight", 5))
 
 
