@@ -19,7 +19,7 @@ text has no votes and is scored as good.  Repeated rows count and are scored eac
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -165,21 +165,20 @@ def word_slots(word: str) -> tuple[int, ...]:
     return (_slot("w:" + w), *(_slot("p:" + w[:k]) for k in PREFIXES if len(w) > k)) if w else ()
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, dims: int = DIMS, steps: int = 300, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient steps with per-weight rates (AdaGrad)."""
+def logistic(index: np.ndarray, of: np.ndarray, y: np.ndarray, dims: int = DIMS, steps: int = 300, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias for rows whose features are ``index`` where ``of`` names the row, by
+    full-batch gradient steps with per-weight rates (AdaGrad)."""
     w, b = np.zeros(dims), 0.0
     if not len(y):
         return w, -20.0
     if y.min() == y.max():
         return w, 20.0 if y.max() > 0.5 else -20.0
-    index = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, index = np.unique(index, return_inverse=True)
     x, g2, gb = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
     # each class weighs the same
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     for _ in range(steps):
-        z = b + np.bincount(of, x[index], len(rows))
+        z = b + np.bincount(of, x[index], len(y))
         e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(index, e[of], len(used)) + l2 * x
         g2 += g * g
@@ -216,28 +215,39 @@ class QualityModel:
         return squash(z), squash(t), votes(m)
 
 
-def _screen(rows: list[list[int]], y: np.ndarray, ratio: float = 12.0, cover: int = 4) -> set[int]:
-    """Features at least ``ratio`` times as frequent in toxic rows as in others.  The most telling
-    come first; one counts only by toxic rows that fewer than ``cover`` earlier ones explain, so
-    what copies of a toxic text have in common besides its insults is left out."""
-    bad, good = Counter(), Counter()
-    sets = [set(r) for r in rows]
-    for r, t in zip(sets, y, strict=True):
-        (bad if t else good).update(r)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+def _lists(found: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """A column of lists as flat values and the row of each, without a Python object for each value."""
+    table = found.toArrow().combine_chunks()
+    lists = table.column(column).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists), dtype=np.int32), sizes), table
+
+
+def _candidates(known: DataFrame, n1: int, n0: int, ratio: float = 12.0) -> dict[int, float]:
+    """Features at least ``ratio`` times as frequent in toxic rows as in others, with how telling
+    they are.  Counted by Spark; only features of one toxic row in fifty or more come back."""
     least = max(3, round(0.02 * n1))
-    odds = {f: (k / n1) / ((good[f] + 0.5) / n0) for f, k in bad.items() if k >= least}
-    of: dict[int, list[int]] = {f: [] for f, x in odds.items() if x >= ratio}
-    for i, (r, t) in enumerate(zip(sets, y, strict=True)):
-        if t:
-            for f in r & of.keys():
-                of[f].append(i)
-    covered, out = Counter(), set()
-    for f in sorted(of, key=lambda f: (-bad[f] * np.log(odds[f]), f)):
-        if sum(covered[i] < cover for i in of[f]) >= least:
-            out.add(f)
-            covered.update(of[f])
-    return out
+    each = known.select("y", F.explode(F.array_distinct("features")).alias("f"))
+    counts = each.groupBy("f").agg(F.sum("y").alias("bad"), F.count("*").alias("all")).where(F.col("bad") >= least)
+    odds = (F.col("bad") / max(1, n1)) / ((F.col("all") - F.col("bad") + 0.5) / max(1, n0))
+    return {r["f"]: r["bad"] * math.log(r["odds"]) for r in counts.select("f", "bad", odds.alias("odds")).where(F.col("odds") >= ratio).collect()}
+
+
+def _screen(values: np.ndarray, of: np.ndarray, y: np.ndarray, telling: dict[int, float], cover: int = 4) -> np.ndarray:
+    """Of the candidates, the most telling first; one counts only by toxic rows that fewer than
+    ``cover`` earlier ones explain, so what copies of a toxic text have in common besides its
+    insults is left out."""
+    least = max(3, round(0.02 * int(y.sum())))
+    toxic = y[of] > 0.5
+    covered, out = np.zeros(len(y), np.int64), []
+    for f in sorted(telling, key=lambda f: (-telling[f], f)):
+        rows = np.unique(of[toxic & (values == f)])
+        if (covered[rows] < cover).sum() >= least:
+            out.append(f)
+            covered[rows] += 1
+    return np.array(sorted(out), np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, labelled: int = LABELLED) -> QualityModel:
@@ -274,13 +284,26 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
 
     seen = stored(map_batches(docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")), look, "pattern array<int>, n long, kind int, y int, features array<int>"), "quality-votes")
     weak = estimate({tuple(r["pattern"]): r["n"] for r in seen.where("kind = 0").groupBy("pattern").agg(F.sum("n").alias("n")).collect()})
-    own = seen.where("kind = 1").orderBy(F.xxhash64("features"), "pattern").limit(2 * sample).select("pattern", "features").collect()
-    y = np.array([weak.posterior(tuple(r["pattern"])) for r in own])
-    shape, shape_bias = logistic([r["features"] for r in own], y)
-    known = seen.where("kind = 2").limit(2 * labelled).select("y", "features").collect()
-    rows, y = [r["features"] for r in known], np.array([r["y"] for r in known], float)
-    strong = _screen(rows, y) if len(y) else set()
-    toxic, toxic_bias = logistic([[f for f in r if f in strong] for r in rows], y)
+    values, of, table = _lists(seen.where("kind = 1").orderBy(F.xxhash64("features"), "pattern").limit(2 * sample).select("pattern", "features"), "features")
+    y = np.array([weak.posterior(tuple(p)) for p in table.column("pattern").to_pylist()])
+    shape, shape_bias = logistic(values, of, y)
+    known = seen.where("kind = 2")
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    telling = _candidates(known, n.get(1, 0), n.get(0, 0))
+    some = spark.sparkContext.broadcast(np.array(sorted(telling), np.int64))
+
+    def reduce(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        values, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+        keep = np.isin(values, some.value)
+        left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        offsets = np.r_[0, np.cumsum(left)].astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[keep].astype(np.int32)))], names=["y", "features"])
+
+    values, of, table = _lists(map_batches(known.select("y", "features"), reduce, "y int, features array<int>").orderBy(F.xxhash64("features")), "features")
+    y = table.column("y").to_numpy().astype(float)
+    strong = np.isin(values, _screen(values, of, y, telling))
+    toxic, toxic_bias = logistic(values[strong], of[strong], y)
     return QualityModel(weak, shape.astype(np.float32), shape_bias, toxic.astype(np.float32), toxic_bias)
 
 
