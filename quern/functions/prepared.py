@@ -199,7 +199,57 @@ def user_agent(engine):
     return apply
 
 
+def pos_neg(engine, statsTable: str, outcomeToUse: str, numPosNeg: int = 50, minTrials: int = 50):  # noqa: N803
+    """The chances of an outcome for those words of a bag that speak most for it or most against it.
+    The dataset is what statsTable.bagOfWords.train made; no more than the asked words come back."""
+    table = engine.table(statsTable)
+    p = (F.col(outcomeToUse) / F.col("trial")).alias("p")
+    rated = table.df.where(F.col("trial") >= minTrials).select("word", p)
+    rows = rated.orderBy(F.desc("p"), "word").limit(numPosNeg).union(rated.orderBy("p", "word").limit(numPosNeg)).distinct().collect()
+    chances = F.create_map(*[F.lit(x) for r in rows for x in (r["word"], float(r["p"]))]) if rows else F.create_map().cast("map<string,double>")
+
+    def apply(scope, args):
+        v = _inputs(args).get("words", args[0])
+        words = F.map_keys(v.col) if isinstance(v, Open) else F.filter(F.array(*[F.when(x.column().isNotNull(), F.lit(k)) for k, x in v.fields.items()]), lambda k: k.isNotNull())
+        known = F.filter(words, lambda w: F.map_contains_key(chances, w))
+        return Row({"probs": Open(F.map_from_arrays(known, F.transform(known, lambda w: F.try_element_at(chances, w))))})
+
+    return apply
+
+
+def derived_columns(engine, columns: list[str], expression: str, outcomes: list[str], columnId: str = "derived"):  # noqa: N803
+    """Applies one expression over trial and outcomes to the counts of each column of a statistics table."""
+    from ..dialect.parser import parse_expr
+
+    def apply(scope, args):
+        counts = _inputs(args).get("counts", args[0])
+        fields = counts.leaves()
+        out: dict[str, Value] = {}
+        for c in columns:
+            inner = type(scope).over(scope, Row({k: fields.get(f"{k}-{c}", Atom(F.lit(None).cast("double"))) for k in ("trial", *outcomes)}))
+            out[f"{columnId}-{c}"] = inner.value(parse_expr(expression))
+        return Row(out)
+
+    return apply
+
+
+def explain(engine, classifier):
+    """What each feature adds to the score of a linear classifier, and its bias."""
+    model = classifier.model
+    if not hasattr(model, "coefficients"):
+        raise QueryError("only linear classifiers can be explained")
+    names = [c.removeprefix("features.") for c in classifier.columns]
+
+    def apply(scope, args):
+        given = _inputs(args).get("features", args[0]).leaves()
+        parts = {n: Atom(F.coalesce(given[n].column().cast("double"), F.lit(0.0)) * float(w)) for n, w in zip(names, model.coefficients.toArray(), strict=True) if n in given}
+        return Row({"bias": Atom(F.lit(float(model.intercept))), "explanation": Row(parts)})
+
+    return apply
+
+
 KINDS: dict[str, Callable] = {
     "sql.expression": sql_expression, "sql.query": sql_query, "tokensplit": token_split, "filter_stopwords": filter_stopwords, "stemmer": stemmer, "stemmerdoc": stemmerdoc,
     "pooling": pooling, "feature_hasher": feature_hasher, "http.useragent": user_agent,
+    "statsTable.bagOfWords.posneg": pos_neg, "experimental.statsTable.derivedColumnsGenerator": derived_columns, "classifier.explain": explain,
 }

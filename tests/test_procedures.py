@@ -74,6 +74,20 @@ def test_functions(engine):
     assert len(engine.apply("h", a=1, b=2)["hash"]) == 8
 
 
+def test_statistics_functions(engine, spark):
+    engine.register("w", spark.createDataFrame([("1", {"good": 1, "the": 1}, 1), ("2", {"bad": 1, "the": 1}, 0), ("3", {"good": 1}, 1)], f"{ROW} string, words map<string,bigint>, y int"))
+    engine.run("statsTable.bagOfWords.train", trainingData="w", select="words", outcomes=[("hit", "y = 1")], outputDataset="st")
+    engine.create_function("pn", "statsTable.bagOfWords.posneg", statsTable="st", outcomeToUse="hit", numPosNeg=1, minTrials=1)
+    assert engine.apply("pn", words={"good": 1, "the": 1, "bad": 2}) == {"probs": {"good": 1, "bad": 0}}
+    engine.create_function("dv", "experimental.statsTable.derivedColumnsGenerator", columns=["host"], expression="hit / trial", outcomes=["hit"], columnId="rate")
+    assert engine.apply("dv", counts={"trial-host": 4, "hit-host": 1}) == {"rate-host": 0.25}
+    engine.register("lin", spark.createDataFrame([(float(i), float(i % 3), 2.0 * i + 1) for i in range(20)], "x double, z double, label double"))
+    model = engine.run("classifier.train", trainingData="SELECT {x, z} AS features, label FROM lin", configuration={"type": "glz", "regularization_factor": 0.0}, mode="regression")
+    engine.create_function("ex", "classifier.explain", classifier=model)
+    got = engine.apply("ex", features={"x": 3.0, "z": 1.0})
+    assert got["explanation"]["x"] == pytest.approx(6, abs=1e-3) and got["bias"] == pytest.approx(1, abs=1e-3)
+
+
 def test_files(engine, spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n1,"a,b"\n2,c\n')
     df = engine.run("import.text", dataFileUrl=str(tmp_path / "a.csv"), outputDataset="csv", where="x > 1")
