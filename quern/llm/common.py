@@ -56,13 +56,6 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of any file system that Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Applies fn to each Arrow batch; a batch for which it returns None gives no rows."""
 
@@ -75,10 +68,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def text_of(value: str | None) -> str:
-    return value or ""
-
-
 def worker_memo(key: str, make: Callable[[], object]) -> object:
     """One object per Python worker process; workers are reused between tasks."""
     memo = _MEMO.get(key)

@@ -376,6 +376,20 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
 
 
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from w
+), e as (select doc_id, len(s) as n, unnest(s) as x from s),
+p as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r as (select a, b from p union select r.a, p.b from r join p on r.b = p.a)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(b) from r where r.a = s.doc_id), doc_id)) as component_id from s
+"""
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each class, that with the smallest id, with all their columns;
     of rows that repeat its id and text one stays.  Rows with a null id stay."""

@@ -350,3 +350,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
 
 def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+DEDUP_SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, md5(hex(b[i + 1 : i + 100])) as h from (select doc_id, b, unnest(range(n - 99)) as i from d where n >= 100)),
+g as (select doc_id, i from (select doc_id, i, row_number() over (partition by h order by doc_id, i) as k from w) where k > 1),
+m as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end as fresh from g)),
+s as (select doc_id, min(i) as a, max(i) + 100 as z from m group by doc_id, run),
+k as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as before from s),
+o as (select doc_id, count(*) as n_spans, sum(z - a) as n_removed, max(z) as last, list(struct_pack(f := before, t := a) order by a) as parts from k group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  case when o.doc_id is null then sha256(b) else sha256(unhex(array_to_string(list_transform(parts, lambda p: hex(b[p.f + 1 : p.t])), '') || hex(b[last + 1 : n]))) end as kept_sha256
+from d left join o using (doc_id)
+"""

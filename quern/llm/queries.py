@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_secrets import secrets_query
 from .op02_bpe import bpe_query
 from .op03_warc import WARC_SQL, warc_query
-from .op04_jaccard import jaccard_query
+from .op04_jaccard import JACCARD_SQL, jaccard_query
 from .op05_topk import TOPK_SQL, topk_query
 from .op06_licenses import license_query
-from .op07_dedup import dedup_query
+from .op07_dedup import DEDUP_SQL, dedup_query
 from .op08_html import html_query
 from .op09_quality import quality_query
 from .op10_decontaminate import decontaminate_query
@@ -32,5 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": WARC_SQL,
+    "op4_jaccard_join": JACCARD_SQL,
     "op5_topk": TOPK_SQL,
+    "op7_substring_dedup": DEDUP_SQL,
 }
