@@ -117,8 +117,10 @@ def test_jaccard_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "other words that are not the same")], "doc_id long, text string")
     assert sorted(tuple(r) for r in j.jaccard_classes(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 3, 2)]
     assert j.jaccard_classes(df.limit(0)).count() == 0
-    kept = j.one_of_each(spark.createDataFrame([(5, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+    rows = [(5, "a b c d e f", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 2), (4, None, 3), (None, "a b c d e f", 4), (None, None, None)]
+    kept = j.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, c int"))
+    assert sorted(((r["doc_id"], r["c"]) for r in kept.collect()), key=str) == [(3, 2), (4, 3), (None, 4), (None, None)]
+    assert j.one_of_each(kept.limit(0)).count() == 0
 
 
 def test_sift_counts_sets_of_a_shingle():
