@@ -8,8 +8,15 @@ optional group, a piece that follows itself a repeated group [Crescenzi et al.,
 same way, so each task learns from the pages it reads, and only wrappers, not
 pages, are brought together.
 
+A text can be constant only if it is on 3 pages at least and on more than half of
+its host's pages; pages with the same text count once, whatever their markup and
+whichever tasks read them.  All other texts are slots.  Constant texts align and
+repeat only with themselves, and a wrapper without slots has no constants.
+
 A page's text is what its article holds, or its main element; on pages with
-neither, the body without the texts that the host's wrapper found constant.
+neither, the body without the texts that the host's wrapper found constant.  If
+these outweigh the rest of a page, they stay: copies of a page that differ in a
+date are no template.
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
 styles are recognised by element, role, class and id wherever they are, and left
 out.  Character references are decoded once; white space within a block becomes
@@ -22,15 +29,17 @@ Repeated rows give repeated rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Container, Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored
@@ -61,6 +70,8 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 WIDEST = 24
+#: Pages of different text that a constant text is on, at least.
+LEAST = 3
 BROADCAST_BYTES = 16 << 20
 
 
@@ -176,15 +187,30 @@ def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset(
     best = max((lv for _, lv in blocks), default=0)
     if best:
         return "\n".join(t for t, lv in blocks if lv == best or best == 1 and lv >= 1)
-    return "\n".join(t for t, _ in blocks if t not in constant)
+    rest = [t for t, _ in blocks if t not in constant]
+    if 2 * sum(map(len, rest)) < sum(len(t) for t, _ in blocks):
+        rest = [t for t, _ in blocks]
+    return "\n".join(rest)
 
 
 # Wrappers. An item is [key, text or None, optional, items or None, pages]: a tag has its name and
-# class as key, a text has "#" (None as text: a slot), a repeated group has "+" and its items.
+# class as key, a slot "#", a constant text "=" and the text, a repeated group "+" and its items.
+
+
+def mark(text: str) -> int:
+    """64 bits that stand for a text."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
 
+def marks_of(page: str) -> tuple[int, set[int]]:
+    """The mark of a page's whole text, and those of its blocks."""
+    texts = [t for t, _ in blocks_of(page)]
+    return mark("\n".join(texts)), set(map(mark, texts))
 
-def stream(page: str) -> list[list]:
-    """The block structure of a page as items; inline tags belong to the text."""
+
+def stream(page: str, common: Container[int] = frozenset()) -> list[list]:
+    """The block structure of a page as items; inline tags belong to the text.  ``common`` has the
+    marks of the texts that can be constant."""
     out: list[list] = []
     part: list[str] = []
 
@@ -192,7 +218,7 @@ def stream(page: str) -> list[list]:
         text = " ".join(entities.unescape("".join(part)).split())
         part.clear()
         if text:
-            out.append(["#", text, False, None, 1])
+            out.append(["=" + text, text, False, None, 1] if mark(text) in common else ["#", None, False, None, 1])
 
     hidden = 0
     for kind, name, rest in tokens(page):
@@ -203,8 +229,8 @@ def stream(page: str) -> list[list]:
             hidden += 1 if kind == "open" else -1
         elif name in BLOCK:
             flush()
-            mark = attributes(rest).get("class", "") if kind == "open" else ""
-            out.append([("/" if kind == "close" else "") + name + ("." + mark if mark else ""), None, False, None, 1])
+            of = attributes(rest).get("class", "") if kind == "open" else ""
+            out.append([("/" if kind == "close" else "") + name + ("." + of if of else ""), None, False, None, 1])
     flush()
     return out
 
@@ -214,10 +240,10 @@ def _key(item: list) -> str:
 
 
 def _same(a: list, b: list) -> list:
-    """Two items with equal keys as one; differing texts become a slot."""
+    """Two items with equal keys as one."""
     if a[3] is not None:
         return [a[0], None, a[2] or b[2], [_same(x, y) for x, y in zip(a[3], b[3], strict=True)], a[4] + b[4]]
-    return [a[0], a[1] if a[1] == b[1] else None, a[2] or b[2], None, a[4] + b[4]]
+    return [a[0], a[1], a[2] or b[2], None, a[4] + b[4]]
 
 
 def repeats(items: list[list]) -> list[list]:
@@ -277,12 +303,21 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def wrapper_of(pages: Iterable[str]) -> list[list]:
+def common_of(pages: Iterable[str]) -> set[int]:
+    """The marks of the texts that can be constant, if the host has no other pages."""
+    distinct = dict(map(marks_of, pages))
+    counts = Counter(t for texts in distinct.values() for t in texts)
+    return {t for t, n in counts.items() if n >= LEAST and 2 * n > len(distinct)}
+
+
+def wrapper_of(pages: Iterable[str], common: Container[int] | None = None) -> list[list]:
     """The wrapper of some pages of a host; equal structures are aligned without a search."""
+    pages = list(pages)
+    common = common_of(pages) if common is None else common
     wrapper: list[list] | None = None
     by_shape: dict[tuple[str, ...], list[list]] = {}
     for page in pages:
-        items = repeats(stream(page))
+        items = repeats(stream(page, common))
         shape = tuple(map(_key, items))
         old = by_shape.get(shape)
         by_shape[shape] = items if old is None else [_same(x, y) for x, y in zip(old, items, strict=True)]
@@ -291,31 +326,74 @@ def wrapper_of(pages: Iterable[str]) -> list[list]:
     return wrapper or []
 
 
-def constants(wrapper: list[list], least: int = 3) -> set[str]:
-    """Texts that stayed the same on at least so many different pages."""
-    out: set[str] = set()
-    for x in wrapper:
+def texts_in(items: list[list]) -> Iterator[tuple[str, str | None]]:
+    """Keys and texts of the items and of those in groups."""
+    for x in items:
         if x[3] is not None:
-            continue
-        if x[1] is not None and x[4] >= least:
-            out.add(x[1])
-    return out
+            yield from texts_in(x[3])
+        else:
+            yield x[0], x[1]
 
 
+def constants(wrapper: list[list]) -> set[str]:
+    """The texts of the template, if anything around them varies."""
+    found = set(texts_in(wrapper))
+    return {t for _, t in found if t is not None} if ("#", None) in found else set()
+
+
+COMMON = "host string, texts array<long>"
 WRAPPER = "host string, wrapper string"
 
 
-def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper) for each host.  Pages that are byte for byte alike count once in a task."""
+def common_texts(pages: DataFrame) -> DataFrame:
+    """(host, texts): the marks of texts on ``LEAST`` pages and on more than half of those of the host.
+    Pages of one text count once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[str, int | None, int], None] = {}
+            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if h:
+                    host = host_of(u)
+                    page, texts = marks_of(h)
+                    found |= dict.fromkeys([(host, None, page), *((host, t, page) for t in texts)])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "t", "page"])
+
+    counts = stored(pages.mapInArrow(count, "host string, t long, page long").distinct().groupBy("host", "t").agg(F.count("*").alias("n")).where(f"t is null or n >= {LEAST}"), "html-counts")
+    whole = counts.where("t is null").select("host", F.col("n").alias("pages"))
+    often = counts.where("t is not null").join(whole, "host").where("2 * n > pages")
+    return stored(often.groupBy("host").agg(F.collect_list("t").alias("texts")), "html-common")
+
+
+def with_hosts(pages: DataFrame, table: DataFrame, value: str, size: Column, make: Callable, limit: int) -> tuple[DataFrame, Callable]:
+    """``pages`` and a function that gives for a batch of them what ``make`` makes of each row's host's value (of None
+    where the host has none).  The values are broadcast if they fit in ``limit`` bytes, and joined by host otherwise."""
+    if (table.agg(F.sum(size + F.octet_length("host"))).first()[0] or 0) <= limit:
+        known = pages.sparkSession.sparkContext.broadcast({r["host"]: make(r[value]) for r in table.collect()})
+        none = make(None)
+        return pages, lambda batch: [known.value.get(host_of(u), none) for u in batch.column("url").to_pylist()]
+    host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    joined = pages.withColumn("host", F.coalesce(host, F.lit(""))).join(table, "host", "left").select(*pages.columns, value)
+    return joined, lambda batch: [make(v) for v in batch.column(value).to_pylist()]
+
+
+def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, wrapper) for each host.  Pages that are byte for byte alike are aligned once in a batch."""
+    pages = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
+    pages, common_for = with_hosts(pages, common_texts(pages), "texts", 8 * F.size("texts"), lambda x: frozenset(x or ()), limit)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, dict[str, None]] = {}
-            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            common: dict[str, frozenset[int]] = {}
+            for u, h, c in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), common_for(batch), strict=True):
                 if h:
-                    by.setdefault(host_of(u), {})[h] = None
+                    host = host_of(u)
+                    by.setdefault(host, {})[h] = None
+                    common[host] = c
             if by:
-                yield pa.RecordBatch.from_pydict({"host": list(by), "wrapper": [json.dumps(wrapper_of(x), ensure_ascii=False) for x in by.values()]})
+                yield pa.RecordBatch.from_pydict({"host": list(by), "wrapper": [json.dumps(wrapper_of(x, common[k]), ensure_ascii=False) for k, x in by.items()]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         whole: list[list] = []
@@ -323,7 +401,7 @@ def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             whole = align(whole, json.loads(w)) if whole else json.loads(w)
         return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [json.dumps(whole, ensure_ascii=False)]})
 
-    parts = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(learn, WRAPPER).distinct()
+    parts = pages.mapInArrow(learn, WRAPPER).distinct()
     parts = stored(parts, "wrappers")
     # two levels, so that a host of many pages is merged in many tasks first
     parts = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(32))).applyInPandas(merge, WRAPPER)
@@ -333,28 +411,13 @@ def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 def extract(pages: DataFrame, wrappers: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each page."""
     pages = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    schema = "page_id long, url string, text string, n_chars long"
-
-    def rows(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    if size <= limit:
-        known = {r["host"]: frozenset(constants(json.loads(r["wrapper"]))) for r in wrappers.collect()}
-        sent = pages.sparkSession.sparkContext.broadcast(known)
-        none: frozenset[str] = frozenset()
+    pages, constants_for = with_hosts(pages, wrappers, "wrapper", F.octet_length("wrapper"), lambda w: frozenset(constants(json.loads(w))) if w else frozenset(), limit)
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return rows(batch, [main_text(h, sent.value.get(host_of(u), none)) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [main_text(h, c) for h, c in zip(batch.column("html").to_pylist(), constants_for(batch), strict=True)]
+        return pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-        return map_batches(pages, one, schema)
-
-    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return rows(batch, [main_text(h, constants(json.loads(w)) if w else frozenset()) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
-
-    host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    with_host = pages.withColumn("host", F.coalesce(host, F.lit("")))
-    return map_batches(with_host.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper"), joined, schema)
+    return map_batches(pages, one, "page_id long, url string, text string, n_chars long")
 
 
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,23 @@ def test_extract(spark):
     assert h.extract(df.limit(0), h.learn_wrappers(df.limit(0))).count() == 0
 
 
+def test_copies_of_div_pages_keep_their_text(spark):
+    body = "<h1>Heading</h1><p>Some words of the body.</p><blockquote>More words of it.</blockquote>"
+    menu = "<div>Home</div><div>News</div><div>About</div>"
+    rows = [(i, "http://copies.com/", f"<a href=/{i}>{body}</a><script>{i}</script>") for i in range(6)]  # one text, other links
+    rows += [(10 + i, "http://near.com/", f"<div>Day {i}</div>{body}") for i in range(6)]  # near copies
+    rows += [(20 + i, "http://tail.com/", f"<div id=s{i}>{body}{'<div>The tail.</div>' * (i > 1)}</div>") for i in range(6)]  # two texts, one with a tail
+    rows += [(30 + i, "http://menu.com/", f"{menu}<div>Article number {i} is of {i * i} words and no more.</div>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    text = "Heading\nSome words of the body.\nMore words of it."
+    for limit in (1 << 20, 0):
+        got = {r["page_id"]: r["text"] for r in h.extract(df, h.learn_wrappers(df, limit=limit), limit=limit).collect()}
+        assert [got[i] for i in range(6)] == [text] * 6
+        assert [got[10 + i] for i in range(6)] == [f"Day {i}\n{text}" for i in range(6)]
+        assert [got[20 + i] for i in range(6)] == [text] * 2 + [text + "\nThe tail."] * 4
+        assert [got[30 + i] for i in range(6)] == [f"Article number {i} is of {i * i} words and no more." for i in range(6)]
+
+
 # pipeline
 
 
