@@ -13,10 +13,14 @@ its host's pages; pages with the same text count once, whatever their markup and
 whichever tasks read them.  All other texts are slots.  Constant texts align and
 repeat only with themselves, and a wrapper without slots has no constants.
 
-A page's text is what its article holds, or its main element; on pages with
-neither, the body without the texts that the host's wrapper found constant.  If
-these outweigh the rest of a page, they stay: copies of a page that differ in a
-date are no template.
+The wrapper's slots, those in optional and repeated groups with them, choose the
+host's main region: the innermost container with nine tenths of their characters.
+A page's text is what this region holds, and the page's first-level headings,
+without the constant texts.  Tags are the check: where a page has an article or main
+element, only what lies in one counts; a region is not narrower than such an element;
+and a region with less than half of what a page has is not the page's, and all
+counts.  Constant texts that outweigh the rest of a page stay: copies of a page that
+differ in a date are no template.
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
 styles are recognised by element, role, class and id wherever they are, and left
 out.  Character references are decoded once; white space within a block becomes
@@ -72,6 +76,9 @@ ENDS = {
 WIDEST = 24
 #: Pages of different text that a constant text is on, at least.
 LEAST = 3
+#: Part of the slots' characters that the main region holds, at least, and elements that can be one.
+SHARE = 0.9
+HOLDERS = frozenset("html body main article section div center dl table tbody tr td ul ol".split())
 BROADCAST_BYTES = 16 << 20
 
 
@@ -130,20 +137,21 @@ def is_main(tag: str, attrs: str) -> int:
     return 0
 
 
-def blocks_of(page: str) -> list[tuple[str, int]]:
-    """(text, level) of the blocks that aren't left out; the level tells whether they lie in an
-    article (2), in a main element (1) or elsewhere (0)."""
-    out: list[tuple[str, int]] = []
+def walk(page: str) -> Iterator[tuple[str, str | None, int, str]]:
+    """(key, None, 0, "") of block tags and ("", text, level, path) of the blocks that aren't left out; the
+    level tells whether they lie in an article (2), in a main element (1) or elsewhere (0).  Paths have the
+    containers' names and classes, with a star for articles and main elements."""
     part: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, level
+    stack: list[tuple[str, bool, int, str]] = []  # tag, left out, level and path outside
     skip = level = 0
+    path = ""
 
-    def flush() -> None:
+    def text() -> Iterator[tuple[str, str | None, int, str]]:
         if part:
-            text = " ".join(entities.unescape("".join(part)).split())
+            found = " ".join(entities.unescape("".join(part)).split())
             part.clear()
-            if text:
-                out.append((text, level))
+            if found:
+                yield "", found, level, path
 
     for kind, name, rest in tokens(page):
         if kind == "text" or kind == "raw":
@@ -153,48 +161,75 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             if name == "br":
                 part.append(" ")
                 continue
+            key = name
             if name in BLOCK:
-                flush()
+                yield from text()
+                of = attributes(rest).get("class", "") if rest else ""
+                key = name + "." + of if of else name
+                yield key, None, 0, ""
             if name in ENDS and stack and stack[-1][0] in ENDS[name]:
-                _, was, old = stack.pop()
+                _, was, level, path = stack.pop()
                 skip -= was
-                level = old
             if name in VOID or rest.endswith("/") and name in ("path", "svg"):
                 continue
             drop = left_out(name, rest)
-            stack.append((name, drop, level))
+            stack.append((name, drop, level, path))
             skip += drop
-            if not skip:
-                level = max(level, is_main(name, rest))
+            own = 0 if skip else is_main(name, rest)
+            level = max(level, own)
+            if own or name in BLOCK and name != "p":
+                path += ">" + key + "*" * (own > 0)
         else:
             if name in BLOCK:
-                flush()
+                yield from text()
+                yield "/" + name, None, 0, ""
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, was, old in reversed(stack[k:]):
-                        skip -= was
-                        level = old
+                    skip -= sum(was for _, was, _, _ in stack[k:])
+                    level, path = stack[k][2:]
                     del stack[k:]
                     break
                 if name not in BLOCK and stack[k][0] in BLOCK:
                     break  # an inline close ends nothing outside its block
-    flush()
-    return out
+    yield from text()
+
+
+def blocks_of(page: str) -> list[tuple[str, int, str]]:
+    """(text, level, path) of the blocks that aren't left out."""
+    return [(t, level, path) for _, t, level, path in walk(page) if t is not None]
+
+
+def lies_in(path: str, region: str) -> bool:
+    return (path + ">").startswith(region + ">")
+
+
+def is_title(path: str) -> bool:
+    return path.rpartition(">")[2].partition(".")[0] == "h1"
 
 
-def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset()) -> str:
+def size_of(blocks: list[tuple[str, int, str]]) -> int:
+    return sum(len(t) for t, _, _ in blocks)
+
+
+def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset(), region: str = "") -> str:
     blocks = blocks_of(page or "")
-    best = max((lv for _, lv in blocks), default=0)
+    best = max((lv for _, lv, _ in blocks), default=0)
     if best:
-        return "\n".join(t for t, lv in blocks if lv == best or best == 1 and lv >= 1)
-    rest = [t for t, _ in blocks if t not in constant]
-    if 2 * sum(map(len, rest)) < sum(len(t) for t, _ in blocks):
-        rest = [t for t, _ in blocks]
-    return "\n".join(rest)
+        blocks = [b for b in blocks if b[1] == best or best == 1 and b[1] >= 1]
+    varied = [b for b in blocks if b[0] not in constant]
+    if 2 * size_of(varied) < size_of(blocks):
+        varied = blocks
+    inside = [b for b in varied if lies_in(b[2], region)]
+    if 2 * size_of(inside) < size_of(varied):
+        inside = varied
+    else:
+        inside = [b for b in varied if lies_in(b[2], region) or is_title(b[2])]
+    return "\n".join(t for t, _, _ in inside)
 
 
-# Wrappers. An item is [key, text or None, optional, items or None, pages]: a tag has its name and
-# class as key, a slot "#", a constant text "=" and the text, a repeated group "+" and its items.
+# Wrappers. An item is [key, text or None, optional, items or None, characters]: a tag has its name and
+# class as key, a slot "#" and its path, a constant text "=" and the text, a repeated group "+" and its items.
+# Slots count the characters of all texts in them.
 
 
 def mark(text: str) -> int:
@@ -204,7 +239,7 @@ def mark(text: str) -> int:
 
 def marks_of(page: str) -> tuple[int, set[int]]:
     """The mark of a page's whole text, and those of its blocks."""
-    texts = [t for t, _ in blocks_of(page)]
+    texts = [t for t, _, _ in blocks_of(page)]
     return mark("\n".join(texts)), set(map(mark, texts))
 
 
@@ -212,26 +247,13 @@ def stream(page: str, common: Container[int] = frozenset()) -> list[list]:
     """The block structure of a page as items; inline tags belong to the text.  ``common`` has the
     marks of the texts that can be constant."""
     out: list[list] = []
-    part: list[str] = []
-
-    def flush() -> None:
-        text = " ".join(entities.unescape("".join(part)).split())
-        part.clear()
-        if text:
-            out.append(["=" + text, text, False, None, 1] if mark(text) in common else ["#", None, False, None, 1])
-
-    hidden = 0
-    for kind, name, rest in tokens(page):
-        if kind in ("text", "raw"):
-            if not hidden:
-                part.append(rest)
-        elif name in RAW:
-            hidden += 1 if kind == "open" else -1
-        elif name in BLOCK:
-            flush()
-            of = attributes(rest).get("class", "") if kind == "open" else ""
-            out.append([("/" if kind == "close" else "") + name + ("." + of if of else ""), None, False, None, 1])
-    flush()
+    for key, text, _, path in walk(page):
+        if text is None:
+            out.append([key, None, False, None, 0])
+        elif mark(text) in common:
+            out.append(["=" + text, text, False, None, 0])
+        else:
+            out.append(["#" + path, None, False, None, len(text)])
     return out
 
 
@@ -257,7 +279,7 @@ def repeats(items: list[list]) -> list[list]:
                 while keys[j : j + width] == keys[i : i + width]:
                     group = [_same(x, y) for x, y in zip(group, items[j : j + width], strict=True)]
                     j += width
-                out.append(["+", None, False, [[*x[:4], 1] for x in group], 1])
+                out.append(["+", None, False, group, 0])
                 i = j
             else:
                 out.append(items[i])
@@ -278,7 +300,7 @@ def _fold_into(a: list[list], b: list[list]) -> tuple[list[list], list[list]]:
         while i < len(items):
             for k in sorted(groups, key=len, reverse=True):
                 if keys[i : i + len(k)] == list(k):
-                    out.append(["+", None, False, [list(x) for x in items[i : i + len(k)]], 1])
+                    out.append(["+", None, False, [list(x) for x in items[i : i + len(k)]], 0])
                     i += len(k)
                     break
             else:
@@ -326,22 +348,40 @@ def wrapper_of(pages: Iterable[str], common: Container[int] | None = None) -> li
     return wrapper or []
 
 
-def texts_in(items: list[list]) -> Iterator[tuple[str, str | None]]:
-    """Keys and texts of the items and of those in groups."""
+def single(items: list[list]) -> Iterator[list]:
+    """The tags and texts, with those in groups."""
     for x in items:
         if x[3] is not None:
-            yield from texts_in(x[3])
+            yield from single(x[3])
         else:
-            yield x[0], x[1]
+            yield x
 
 
 def constants(wrapper: list[list]) -> set[str]:
     """The texts of the template, if anything around them varies."""
-    found = set(texts_in(wrapper))
-    return {t for _, t in found if t is not None} if ("#", None) in found else set()
+    found = {x[1] for x in single(wrapper) if x[1] is not None}
+    return found if any(x[0].startswith("#") for x in single(wrapper)) else set()
+
+
+def region_of(wrapper: list[list]) -> str:
+    """The path of the innermost container with ``SHARE`` of the slots' characters.  In an article or main
+    element only another one is further in."""
+    held: Counter[str] = Counter()
+    for x in single(wrapper):
+        if x[0].startswith("#"):
+            at = x[0][1:]
+            while at:
+                held[at] += x[4]
+                at = at.rpartition(">")[0]
+            held[""] += x[4]
+    region = ""
+    for at in sorted((p for p, n in held.items() if n >= SHARE * held[""]), key=len):
+        name = at.rpartition(">")[2]
+        if name.split(".")[0].rstrip("*") in HOLDERS and (name.endswith("*") or "*" not in at):
+            region = at
+    return region
 
 
-COMMON = "host string, texts array<long>"
 WRAPPER = "host string, wrapper string"
 
 
@@ -408,13 +448,19 @@ def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html", limit
     return stored(parts.groupBy("host").applyInPandas(merge, WRAPPER), "wrappers")
 
 
+def rules(wrapper: str | None) -> tuple[frozenset[str], str]:
+    """The constant texts and the main region."""
+    items = json.loads(wrapper or "[]")
+    return frozenset(constants(items)), region_of(items)
+
+
 def extract(pages: DataFrame, wrappers: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each page."""
     pages = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    pages, constants_for = with_hosts(pages, wrappers, "wrapper", F.octet_length("wrapper"), lambda w: frozenset(constants(json.loads(w))) if w else frozenset(), limit)
+    pages, rules_for = with_hosts(pages, wrappers, "wrapper", F.octet_length("wrapper"), rules, limit)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(h, c) for h, c in zip(batch.column("html").to_pylist(), constants_for(batch), strict=True)]
+        texts = [main_text(h, *r) for h, r in zip(batch.column("html").to_pylist(), rules_for(batch), strict=True)]
         return pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     return map_batches(pages, one, "page_id long, url string, text string, n_chars long")

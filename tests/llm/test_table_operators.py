@@ -270,6 +270,21 @@ def test_copies_of_div_pages_keep_their_text(spark):
         assert [got[30 + i] for i in range(6)] == [f"Article number {i} is of {i * i} words and no more." for i in range(6)]
 
 
+def test_wrappers_decide_on_all_pages():
+    def texts(pages):
+        whole = h.wrapper_of(pages)
+        return [h.main_text(p, h.constants(whole), h.region_of(whole)) for p in pages]
+
+    words = [f"Article {i} has {i * i} words, all of its own, and a second sentence number {i + 7} that makes it long enough." for i in range(6)]
+    menu = "<div>Home</div><div>News</div><div>About</div>"
+    # a folded menu, a varying line beside the region, a title outside
+    assert texts([f"<div class=m>{menu}</div><h1>T{i}</h1><div class=c><div>{w}</div><div>More {i}</div></div><div class=x>v{i}</div>" for i, w in enumerate(words)]) == [f"T{i}\n{w}\nMore {i}" for i, w in enumerate(words)]
+    # of two articles that of the region; a constant line in it goes, its short first line stays
+    assert texts([f"<article><i>By {i}</i><p>{w}</p><p>Send us a letter</p></article><div><article>v{i}</article></div>" for i, w in enumerate(words)]) == [f"By {i}\n{w}" for i, w in enumerate(words)]
+    # the article is the check: a region outside it is not followed
+    assert texts([f"<div class=c>{w}</div><article>v{i}</article>" for i, w in enumerate(words)]) == [f"v{i}" for i in range(6)]
+
+
 # pipeline
 
 
