@@ -380,7 +380,8 @@ def experiment(engine, inputData: str, mode: str = "boolean", configuration: dic
 
 
 def forest(engine, trainingData: str, functionName: str | None = None, featureVectorSamplings: int = 5, featureSamplings: int = 20, maxDepth: int = 20, **_: object) -> Classifier:  # noqa: N803
-    return classifier(engine, trainingData, functionName, configuration={"type": "bagging", "num_bags": featureVectorSamplings * max(1, featureSamplings // 4), "max_depth": min(maxDepth, 12), "weak_learner": {"max_depth": min(maxDepth, 12)}}, mode="boolean")
+    """A tree for each sampling of rows and each of features; Spark's trees have at most 30 levels."""
+    return classifier(engine, trainingData, functionName, configuration={"type": "bagging", "num_bags": featureVectorSamplings * featureSamplings, "weak_learner": {"max_depth": min(maxDepth, 30)}}, mode="boolean")
 
 
 def svm(engine, trainingData: str, functionName: str | None = None, **_: object) -> Classifier:  # noqa: N803

@@ -54,6 +54,17 @@ def test_learning(engine, spark):
     assert engine.run("tsne.train", trainingData="SELECT x, y FROM pts", steps=5).count() == 40
 
 
+def test_forest_grows_all_trees_to_the_depth(engine, spark):
+    # bits of i at random places, so that no shallow tree tells the labels apart
+    engine.register("deep", spark.createDataFrame([(str(i), float(i), (i * 2654435761 >> 7) % 2) for i in range(600)], f"{ROW} string, x double, label int"))
+    data = "SELECT {x} AS features, label FROM deep"
+    model = engine.run("randomforest.binary.train", trainingData=data).model
+    assert model.getNumTrees == 100 and 12 < max(t.depth for t in model.trees) <= 20
+    few = engine.run("randomforest.binary.train", trainingData=data, featureVectorSamplings=2, featureSamplings=3, maxDepth=100).model
+    assert few.getNumTrees == 6 and few.getOrDefault("maxDepth") == 30
+    assert engine.run("randomforest.binary.train", trainingData=data, featureVectorSamplings=1, featureSamplings=2, maxDepth=4).model.getOrDefault("maxDepth") == 4
+
+
 def test_neighbors(engine, spark):
     engine.register("e", spark.createDataFrame([("ex1", [0.0, 0.0]), ("ex2", [0.0, 1.0]), ("ex3", [1.0, 0.0]), ("ex4", [1.0, 1.0])], f"{ROW} string, v array<double>"))
     engine.run("embedding.neighbors", dataset="e", functionName="nn")
