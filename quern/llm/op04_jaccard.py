@@ -42,7 +42,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -392,14 +392,17 @@ select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each class, that with the smallest id, with all their columns.
-    Of rows that repeat its id the one with the smallest text stays.  Rows with a null id stay."""
+    Where ids repeat, rows are told apart by id and text: of a class the least id and text stays,
+    once, and rows of an id whose texts have nothing to do with each other all stay.  Rows with a
+    null id stay."""
     found = stored(jaccard_classes(docs, key, text).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "jaccard-kept")
-    kept = found.where("doc_id = c").select(F.col("doc_id").alias("__kept"))
-    out = docs.join(kept, F.col(key) == F.col("__kept"), "left_semi")
-    if found.where("n > 1 and doc_id = c").limit(1).count():
-        again = found.where("n > 1").select(F.col("doc_id").alias("__again"))
-        same = F.col(key) == F.col("__again")
-        first = Window.partitionBy(key).orderBy(text)
-        some = out.join(again, same, "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
-        out = out.join(again, same, "left_anti").union(some)
+    if found.where("n > 1").limit(1).count():
+        pairs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
+        pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "jaccard-pairs")
+        classes = jaccard_classes(pairs, "pair", "t").select(F.col("doc_id").alias("pair"), "component_id")
+        first = pairs.join(classes, "pair").groupBy("component_id").agg(F.min(F.struct("k", "t")).alias("x")).select(F.col("x.k").alias("__k"), F.col("x.t").alias("__t"))
+        out = docs.join(stored(first, "jaccard-first"), (F.col(key) == F.col("__k")) & F.col(text).eqNullSafe(F.col("__t")), "left_semi").dropDuplicates([key, text])
+    else:
+        kept = found.where("doc_id = c").select(F.col("doc_id").alias("__kept"))
+        out = docs.join(kept, F.col(key) == F.col("__kept"), "left_semi")
     return out.union(docs.where(F.col(key).isNull()))

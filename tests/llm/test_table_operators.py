@@ -123,6 +123,13 @@ def test_jaccard_of_odd_tables(spark):
     assert j.one_of_each(kept.limit(0)).count() == 0
 
 
+def test_rows_of_an_id_with_other_texts_stay(spark):
+    a, b, c, e = ("a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x")
+    rows = [(1, a, 1), (5, b, 2), (5, a.upper(), 3), (5, b, 4), (5, c, 5), (7, c, 6), (7, e, 7), (8, None, 8), (8, b + " y", 9), (8, e, 10)]
+    kept = j.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, c int").repartition(3))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (5, c), (7, e), (8, None), (8, b + " y")], key=str)
+
+
 def test_sift_counts_sets_of_a_shingle():
     rng = random.Random(4)
     for _ in range(500):
