@@ -113,9 +113,10 @@ def search_block(ids: np.ndarray, x: np.ndarray, table: np.ndarray, pivots: Pivo
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 16, block: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score) for ``queries`` against ``vectors``, both from ``quantise``."""
+    """(query_id, rank, vec_id, score) for ``queries`` against ``vectors``, both from ``quantise``.
+    Of queries that repeat an id the one with the smallest vector is answered."""
     spark = vectors.sparkSession
-    queries = stored(queries.dropDuplicates(["id"]), "topk-queries")
+    queries = stored(queries.groupBy("id").agg(F.min(F.struct("v", "dim")).alias("q")).select("id", "q.*"), "topk-queries")
     m2 = vectors.agg(F.max("n2")).first()[0] or 0.0
     some = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("dim", "v").collect()  # as many as the parameter says
     by_dim: dict[int, PivotTable] = {}

@@ -166,6 +166,15 @@ def test_topk_equals_brute_force(spark):
     assert k.top_k(none, none).count() == 0
 
 
+def test_topk_of_queries_that_repeat_an_id(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(6)]
+    asked = [(100, [2.0, 1.0]), (100, [1.0, 2.0]), (101, [1.0, 2.0]), (101, [2.0, 1.0]), (101, [1.0, 2.0])]
+    vectors, queries = (common.stored(k.quantise(spark.createDataFrame(x, "vec_id long, embedding array<float>").coalesce(1)), "t") for x in (rows, asked))
+    got = k.top_k(vectors, queries, k=3).orderBy("query_id", "rank").collect()
+    # the smaller vector, (1, 2), is nearest to the even ones
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, i) for q in (100, 101) for i in (0, 2, 4)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     x = np.floor(rng.normal(0, 500, (300, 16)))
