@@ -42,6 +42,8 @@ from .common import documents, map_batches, released, stored
 from .suffix import permuted_prefixes, suffix_array
 
 LEAST, PIECE = 100, 32
+#: Bits of a position among bytes that are looked at together.
+PLACE_BITS = 22
 #: Bytes of texts that are looked at together; of runs in a shard; different runs of an anchor in one.
 TOGETHER, SHARD_BYTES, HOT_RUNS = 1 << 21, 2 << 20, 4000
 
@@ -65,7 +67,7 @@ def anchors(raw: np.ndarray, least: int = LEAST, k: int = PIECE) -> tuple[np.nda
     width = least - k + 1
     n = len(hashes) - width + 1
     # hash first, then place: the least is the leftmost of the least hashes
-    bits = np.uint64(22)
+    bits = np.uint64(PLACE_BITS)
     key = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     # sliding minimum: of the rest of one block and the start of the next
     blocks = -(-len(key) // width)
@@ -75,7 +77,7 @@ def anchors(raw: np.ndarray, least: int = LEAST, k: int = PIECE) -> tuple[np.nda
     ahead = np.minimum.accumulate(whole, axis=1).ravel()
     behind = np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1].ravel()
     least_key = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-    return (least_key & np.uint64((1 << 22) - 1)).astype(np.int64), hashes
+    return (least_key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), hashes
 
 
 def runs_of(texts: list[bytes], least: int = LEAST, k: int = PIECE, together: int = TOGETHER) -> Iterator[tuple[np.ndarray, ...]]:
@@ -88,6 +90,9 @@ def runs_of(texts: list[bytes], least: int = LEAST, k: int = PIECE, together: in
             part = raw[at : at + together + least - 1]
             if len(part) < least:
                 continue
+            if size + len(part) > 1 << PLACE_BITS:
+                yield _runs(group, least, k)
+                group, size = [], 0
             group.append((i, at, part))
             size += len(part)
             if size >= together:

@@ -144,6 +144,13 @@ def test_sift_counts_sets_of_a_shingle():
         assert got == sorted((t, s, min(len(v), many)) for t, v in c.items() if len(v) > 1 for s in v)
 
 
+def test_positions_of_long_texts_fit_their_bits():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (d.TOGETHER - 1, d.TOGETHER + d.LEAST - 1)]
+    of = lambda some: [x for runs in d.runs_of(some) for x in zip(*(c.tolist() for c in runs), strict=True)]
+    assert [x[1:] for x in of(texts)] == [x[1:] for t in texts for x in of([t])]
+
+
 # top-k
 
 
