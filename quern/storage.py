@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,20 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a private one only in local mode."""
+    """The folder that the cluster names in spark.checkpoint.dir; a private one, removed at the end, only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='quern-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    path = tempfile.mkdtemp(prefix="quern-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
+    return f"file://{path}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_root(spark)}/quern/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows and reads them back: what depends on how rows are dealt, such as partition
     numbers, then stays the same however often it is read, and lost executors cost no repetition."""
-    path = f"{shared_root(df.sparkSession)}/quern/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote; nothing may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
