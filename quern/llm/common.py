@@ -1,49 +1,23 @@
 """Helpers shared by the training-data operators.
 
 Intermediate tables go to the folder that the cluster names in
-``spark.checkpoint.dir``, which driver and executors share.  A private folder is
-made only where that setting is absent, as on a single machine in tests.
+``spark.checkpoint.dir``, which driver and executors share (see ``quern.storage``),
+and are deleted once their successor stands.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, shared_path, shared_root, stored
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="quern-shared-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
-    return f"file://{path}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_root(spark)}/quern/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, which cuts lineage:
-    a lost executor costs no recomputation of what lies before."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "discard", "documents", "map_batches", "released", "shared_path", "shared_root", "stored", "worker_memo"]
 
 
 def released(spark: SparkSession) -> None:
@@ -100,10 +74,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "edges")
+        large, old = stored(large, "edges"), edges
+        discard(old)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = stored(edges, "edges")
+        discard(large)
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.expr("sum(cast(xxhash64(b, a) as decimal(38,0)))")).first()
         if now == mark:
             break

@@ -1,57 +1,63 @@
-"""N-gram Jaccard join over a prefix tree.
-
-A document's set holds its distinct 5-word shingles.  All sets are ordered by one
-global order, rare shingles first, so that two sets with similarity t or more
-share a shingle in their first |x| - ceil(t |x|) + 1.  Any order is right; counts
-of shingles over all documents make a good one, since passages that many
-documents share then come last.
-
-1. One shuffle brings equal shingles together.  A shingle of a single set can't
-   match anything, so only shingles that sets share go on, with the number of
-   their sets, which gives the order.  The others stand, uncompared, at the start
-   of their sets.
-2. A set whose prefix holds no shared shingle has no link and is done; most are.
-   Shared shingles of the other prefixes link sets into candidate clusters, each
-   set to the smallest set of the shingle, so m sets give m - 1 links, not pairs.
-3. The sets of clusters are brought together once, in blocks of bounded size.  In
-   a block they form a trie in the global order; a set that looks for partners
-   walks it, carries the overlap so far to all sets below, and leaves a subtree as
-   soon as the elements still to come, of either side, can't reach the overlap
-   that the similarity asks for, or when all sets below are already in its class.
-4. A cluster of many blocks is first joined within its blocks and with its largest
-   block.  Sets that then are outside the cluster's largest class look through all
-   blocks; sets inside it need not, as their class is known.  So the work grows
-   with the number of sets times blocks only for sets that have no class.
-
-Equal sets are one set from the start, whatever the number of documents.  Sets are
-told apart by 64-bit hashes, shingles by 64 bits within a set and by 48 between
-sets, which makes the shuffle a fifth smaller; two sets of 1,000 shingles have one
-too many in common by chance once in 10**8 pairs.  Links
-and classes are tables in the shared folder; no task holds more than two blocks.
-A set with a null doc_id takes part, but gives no row.  Documents without words
-or text have an empty set and no links.  Rows that repeat a doc_id with other
-texts join that document to the classes of each.
+"""N-gram Jaccard join over prefix trees.
+
+A document's set holds its distinct 5-word shingles as 64-bit hashes.  Two sets
+with similarity t or more share a shingle among their first |x| - ceil(t |x|) + 1
+in any global order.  The order here is by class of frequency, then by hash, so
+that passages which many documents share come last.
+
+1. Each task counts its shingles in a fixed number of buckets; buckets that stand
+   out are summed over all tasks.  The class of a shingle is the logarithm of its
+   bucket's sum.  The table of classes has a fixed size, whatever the input.
+2. Only prefixes are shuffled, by shingle: (shingle, set, size, place).  A pair
+   whose first common shingle lies at places i and j overlaps in at most
+   min(|x| - i, |y| - j), so for each place there is a greatest size of partner.
+   Rows without a partner of fitting size at a fitting place end here.  Rows of a
+   frequent shingle are dealt out by set as well, and kept.
+3. Each set left picks the shingle that most others have.  Sets with the same
+   pick meet in blocks of bounded size, each a prefix tree: a set that looks for
+   partners walks it, carries the overlap so far to all sets below, and leaves a
+   subtree as soon as the elements still to come, of either side, can't reach the
+   overlap needed, or when all sets below are in its class already.  Of each block
+   a few leaders meet again, in blocks, until one is left.  This joins large groups
+   of near copies in proportion to their size.
+4. A pair may still be in two classes.  Shingles whose sets are of one class are
+   done.  Of the others, sets outside the shingle's largest class meet the rest, as
+   bitmaps: each shingle flips one bit, so bitmaps of similar sets differ in at
+   most (|x| + |y|) / 9 bits.  Sets that pass, grouped with those they pass with,
+   go to prefix trees again; groups that several shingles give are joined once.
+
+Only narrow rows move in these steps; texts of sets that have candidates are
+brought out once, and come to a block together with its narrow rows.  Equal sets
+are one node, whatever the number of documents, and verification is by 64-bit
+hashes of shingles: two sets of 1,000 shingles have one too many in common by
+chance once in 10**13 pairs.  Classes are found over sets; documents with several
+texts (rows that repeat a doc_id) join the classes of each.  A text with a null
+doc_id is a node as well and can join others, but gives no row.  Documents
+without words or text have an empty set and no links.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import connected_components, documents, released, stored
+from .common import connected_components, discard, documents, released, stored
 from .shingles import shingle_hashes, words_of
 
 K, PERCENT = 5, 80
-#: Sets in a block, and shingles in it at most; numbers of sets beyond which shingles count alike.
-BLOCK_SETS, BLOCK_SHINGLES, MANY = 1000, 1_000_000, 1 << 16
+#: Sets in a block, and shingles in it at most.
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 1_000_000
+#: Buckets in which shingles are counted, as a power of two; sets of a shingle that are dealt together.
+BUCKET_BITS, TOGETHER = 22, 1 << 16
+#: Leaders of a block.
+LEADERS = 4
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -70,8 +76,13 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def widest(n, place, percent: int = PERCENT):
+    """The greatest size of a partner whose first common shingle lies at this place of a set of n."""
+    return (100 + percent) * (n - place) // percent - n
+
+
 class Classes:
-    """Union-find over the sets of a block pair."""
+    """Union-find over the sets of a block."""
 
     def __init__(self, n: int):
         self.parent = list(range(n))
@@ -90,42 +101,41 @@ class Classes:
 
 
 class Trie:
-    """Ordered sets as paths; a path without branches is kept as one array.  ``sizes`` are those of
-    whole sets; the items are what sets share, in the global order."""
+    """Ordered sets as paths; a path without branches is kept as one array."""
 
-    def __init__(self, percent: int, classes: Classes, sizes: list[int]):
-        self.percent, self.classes, self.sizes = percent, classes, sizes
-        # a node: [path, children by first element, sets that end here, least size, most size, most items, members]
-        self.root: list = [(), {}, [], 1 << 60, 0, 0, []]
-        self.items: dict[int, int] = {}
+    def __init__(self, percent: int, classes: Classes):
+        self.percent, self.classes = percent, classes
+        # a node: [path, children by first element, sets that end here, least size, most size, members]
+        self.root: list = [(), {}, [], 1 << 60, 0, []]
+        self.sizes: dict[int, int] = {}
 
     def add(self, name: int, items: list[int]) -> None:
-        n, m, node, i = self.sizes[name], len(items), self.root, 0
-        self.items[name] = m
+        n, node, i = len(items), self.root, 0
+        self.sizes[name] = n
         while True:
-            old = node[3:6]
-            node[3], node[4], node[5] = min(node[3], n), max(node[4], n), max(node[5], m)
-            node[6].append(name)
+            old = node[3:5]
+            node[3], node[4] = min(node[3], n), max(node[4], n)
+            node[5].append(name)
             path = node[0]
             k = 0
-            while k < len(path) and i < m and path[k] == items[i]:
+            while k < len(path) and i < n and path[k] == items[i]:
                 k += 1
                 i += 1
             if k < len(path):  # split the path where the sets part
-                below = [path[k:], node[1], node[2], *old, node[6][:-1]]
+                below = [path[k:], node[1], node[2], *old, node[5][:-1]]
                 node[0], node[1], node[2] = path[:k], {path[k]: below}, []
-            if i == m:
+            if i == n:
                 node[2].append(name)
                 break
             nxt = node[1].get(items[i])
             if nxt is None:
-                node[1][items[i]] = [tuple(items[i:]), {}, [name], n, n, m, [name]]
+                node[1][items[i]] = [tuple(items[i:]), {}, [name], n, n, [name]]
                 break
             node = nxt
 
     def partners(self, name: int, items: list[int]) -> Iterator[int]:
         """Sets of the trie that are similar to this one and not yet in its class."""
-        n, m, p = self.sizes[name], len(items), self.percent
+        n, p = len(items), self.percent
         rank = {x: i for i, x in enumerate(items)}  # place in the probe
         find, least_size = self.classes.find, -(-p * n // 100)
         most_size = 100 * n // p
@@ -136,12 +146,12 @@ class Trie:
             if node[3] > most_size or node[4] < least_size:
                 continue
             own = find(name)
-            members = node[6]
+            members = node[5]
             if find(members[0]) == own and all(find(x) == own for x in members):
                 continue
             # for sets of size s >= smallest below, overlap must reach p (n + s) / (100 + p)
             need = -(-p * (n + max(node[3], least_size)) // (100 + p))
-            big = node[5]
+            big = node[4]
             dead = False
             for x in node[0]:
                 depth += 1
@@ -149,10 +159,10 @@ class Trie:
                 if j is not None:
                     common += 1
                     at = j + 1
-                elif common + min(m - at, big - depth) < need:
+                elif common + min(n - at, big - depth) < need:
                     dead = True
                     break
-            if dead or common + min(m - at, big - depth) < need:
+            if dead or common + min(n - at, big - depth) < need:
                 continue
             for x in node[2]:
                 if similar(common, n, self.sizes[x], p) and find(x) != find(name):
@@ -160,216 +170,365 @@ class Trie:
             stack += [(child, common, depth, at) for child in node[1].values()]
 
 
-def join_block(sets: list[list[int]], probes: list[int], targets: list[int], percent: int = PERCENT, known: list[tuple[int, int]] = (), sizes: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join the classes of ``sets`` as far as probe-target pairs go; not all pairs, but
-    no two sets with a link are left in different classes.  With equal lists, the pairs within."""
+def join_block(sets: list[list[int]], percent: int = PERCENT, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links among ``sets``, each in the global order; not all of them, but no two sets with a link are left
+    in different classes.  ``known`` has the classes that the sets are in."""
     classes = Classes(len(sets))
-    for a, b in known:
-        classes.join(a, b)
-    sizes = sizes or [len(s) for s in sets]
-    trie = Trie(percent, classes, sizes)
+    first: dict[int, int] = {}
+    for i, c in enumerate(known or ()):
+        classes.join(first.setdefault(c, i), i)
+    trie = Trie(percent, classes)
     out: list[tuple[int, int]] = []
-    if probes == targets:
-        for i in sorted(targets, key=lambda i: (sizes[i], i)):
-            if trie.root[6]:
-                for j in trie.partners(i, sets[i]):
-                    if classes.join(i, j):
-                        out.append((i, j))
-            trie.add(i, sets[i])
-        return out
-    for j in targets:
-        trie.add(j, sets[j])
-    for i in probes:
-        if trie.root[6]:
+    for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
+        if trie.root[5]:
             for j in trie.partners(i, sets[i]):
                 if classes.join(i, j):
                     out.append((i, j))
+        trie.add(i, sets[i])
     return out
 
 
-ROWS = "token long, set long, n long"
-SHARED = "token long, set long, df long, n long"
+# The global order
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, set, 0) for the shingles of sets, once for sets that come again in the task, and
-    (doc_id, set, size) for each document, with size -1 for an empty set."""
-    names = ["token", "set", "n"]
-    seen: set[int] = set()
+def bucket_of(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.intp)
+
+
+def in_order(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: by class of frequency, then by hash."""
+    c = classes[bucket_of(s)]
+    often = c > 0
+    if not often.any():
+        return s
+    high = np.flatnonzero(often)
+    return np.concatenate([s[~often], s[high[np.argsort(c[high], kind="stable")]]])
+
+
+LIGHT = "doc_id long, hash long, set long, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, hash, set, size) for each row, and (bucket, null, null, count) for buckets that stand out in
+    the task: those above the mean by eight times its root and 16."""
+    names = [x.split()[0] for x in LIGHT.split(", ")]
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
-            sizes, keys, parts, owners = [], [], [], []
-            for t in some.column(1).to_pylist():
+            sets = [shingle_set(t) for t in some.column(2).to_pylist()]
+            np.add.at(counts, bucket_of(np.concatenate(sets)), 1)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], names=names)
+    mean = counts.mean()
+    often = np.flatnonzero(counts > mean + 8 * mean**0.5 + 16)
+    if len(often):
+        none = pa.nulls(len(often), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(often), none, none, pa.array(counts[often])], names=names)
+
+
+def frequency_classes(found: DataFrame) -> np.ndarray:
+    """The class of each bucket; a table of a fixed size, from at most as many rows."""
+    table = found.where("set is null").groupBy(F.col("doc_id").alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    if table.num_rows:
+        out[table.column("bucket").to_numpy()] = np.log2(table.column("n").to_numpy()).astype(np.uint8)
+    return out
+
+
+# Prefixes
+
+PREFIXES = "token long, set long, n int, place int, salt int"
+SHARED = "token long, set long, n int, place int, sets int"
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], classes: np.ndarray, percent: int, together: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The prefix of each set, once for sets that come again soon in the task.  Shingles have 48 bits
+    here; an equal one by chance makes a candidate only.  Frequent ones are salted by set."""
+    names = [x.split()[0] for x in PREFIXES.split(", ")]
+    salts = np.array([max(0, c - together.bit_length() + 1) for c in range(256)])
+    seen: set[int] = set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            tokens, keys, sizes, bounds, cls = [], [], [], [], []
+            for t in batch.column(0).slice(at, 2000).to_pylist():
                 s = shingle_set(t)
                 k = set_key(s)
-                sizes.append(len(s) or -1)
+                if not len(s) or k in seen:
+                    continue
+                if len(seen) >= most:
+                    seen.clear()
+                seen.add(k)
+                p = in_order(s, classes)[: prefix_length(len(s), percent)]
+                tokens.append(p)
+                cls.append(classes[bucket_of(p)])
                 keys.append(k)
-                if len(s) and k not in seen:
-                    seen.add(k)
-                    parts.append((s >> np.uint64(16)).view(np.int64))
-                    owners.append(k)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=names)
-            if parts:
-                sets = np.repeat(np.array(owners, np.int64), [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(sets), pa.array(np.zeros(len(sets), np.int64))], names=names)
-
-
-def sift(batches: Iterator[tuple[np.ndarray, np.ndarray]], many: int = MANY) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From (token, set) in order to (token, set, number of sets) where a token has two sets or
-    more.  Holds the sets of one token, up to ``many``: beyond, the number is ``many``."""
-    token = last = None
-    held: list[np.ndarray] = []
-    n = 0
-    over = False
-
-    def close() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if n and (n > 1 or over):
-            s = np.concatenate(held)
-            yield np.full(len(s), token), s, np.full(len(s), many if over else min(n, many))
-
-    for t, s in batches:
-        if not len(t):
+                sizes.append(len(s))
+                bounds.append(len(p))
+            if not tokens:
+                continue
+            of = np.repeat(np.arange(len(keys)), bounds)
+            place = np.arange(len(of)) - np.repeat(np.cumsum([0, *bounds[:-1]]), bounds)
+            key = np.array(keys, np.int64)[of]
+            salt = np.where(salts[np.concatenate(cls)] > 0, 1 + (key & ((1 << salts[np.concatenate(cls)]) - 1)), 0)
+            columns = ((np.concatenate(tokens) >> np.uint64(16)).view(np.int64), key, np.array(sizes, np.int32)[of], place.astype(np.int32), salt.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+
+def partnered(token: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in the order of (token, n), whole tokens only: which have a partner of fitting size at a
+    fitting place, and how many rows their token has.  Of a pair of sizes a <= b, the larger must have b >= a as
+    a possible partner's size, which only places early enough allow; those rows are called open."""
+    first = np.r_[True, token[1:] != token[:-1]]
+    group = np.cumsum(first) - 1
+    size = np.bincount(group)[group]
+    reach = widest(n.astype(np.int64), place, percent)
+    open_ = reach >= n
+    top = np.int64(1) << 32
+    key = group * top + n
+    low = np.searchsorted(key, group * top + -(-percent * n.astype(np.int64) // 100))
+    high = np.searchsorted(key, group * top + np.minimum(np.minimum(reach, 100 * n.astype(np.int64) // percent), top - 1), side="right")
+    opens = np.r_[0, np.cumsum(open_)]
+    among = np.where(open_, high - low - 1, np.maximum(0, opens[np.maximum(high, low)] - opens[low]))
+    return among > 0, size
+
+
+def sift(batches: Iterator[tuple[np.ndarray, ...]], percent: int = PERCENT, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
+    """From (token, set, n, place, salt) in the order of token, n and set to (token, set, n, place, rows of the
+    token) of rows that have a partner.  A token with more than ``most`` rows is passed on as it comes."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows, flowing = 0, None
+
+    def close(part: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+        token, key, n, place, salt = part
+        if len(token):
+            fresh = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
+            token, key, n, place, salt = (x[fresh] for x in part)
+            good, size = partnered(token, n, place, percent)
+            good |= salt > 0
+            yield token[good], key[good], n[good], place[good], np.where(salt[good] > 0, most, size[good])
+
+    for batch in batches:
+        token = batch[0]
+        if not len(token):
             continue
-        fresh = np.r_[t[0] != token or s[0] != last, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
-        end, last = t[-1], s[-1]
-        t, s = t[fresh], s[fresh]
-        if not len(t):
+        if flowing is not None:
+            cut = int(np.searchsorted(token, flowing, side="right")) if token[0] == flowing else 0
+            if cut:
+                yield (*(x[:cut] for x in batch[:4]), np.full(cut, most))
+                batch = tuple(x[cut:] for x in batch)
+                token = batch[0]
+                if not len(token):
+                    continue
+            flowing = None
+        held.append(batch)
+        rows += len(token)
+        if rows < 1 << 16:
             continue
-        cut = int(np.searchsorted(t, token, side="right")) if token is not None and t[0] == token else 0
-        if cut:
-            held.append(s[:cut])
-            n += cut
-        if cut < len(t):
-            yield from close()
-            first = np.flatnonzero(np.r_[True, t[cut + 1 :] != t[cut:-1]]) + cut
-            size = np.diff(np.r_[first, len(t)])
-            whole = np.repeat(size, size)
-            inner = np.arange(cut, len(t)) < first[-1]
-            keep = inner & (whole > 1)
-            if keep.any():
-                yield t[cut:][keep], s[cut:][keep], np.minimum(whole[keep], many)
-            held, n, over = [s[first[-1] :]], int(size[-1]), False
-        token = end
-        if n > many or over and n:
-            over = True
-            x = np.concatenate(held)
-            yield np.full(len(x), token), x, np.full(len(x), many)
-            held, n = [], 0
-    yield from close()
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["token", "set", "df", "n"]
-    light: list[pa.RecordBatch] = []
-
-    def tokens() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))
+        yield from close(tuple(x[:cut] for x in whole))
+        held, rows = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
+        if rows > most:
+            flowing = held[0][0][-1]
+            yield (*held[0][:4], np.full(rows, most))
+            held, rows = [], 0
+    if held:
+        yield from close(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in SHARED.split(", ")]
+    for part in sift((tuple(c.to_numpy() for c in b.columns) for b in batches), percent):
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(part, kinds, strict=True)], names=names)
+
+
+# Bitmaps
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """64-bit words in which each shingle flips one bit; about two to four bits a shingle."""
+    bits = 64 << max(0, (max(1, len(s) // 32) - 1).bit_length())
+    out = np.bincount(((s >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1
+    return np.packbits(out.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of a and of b differ; the longer ones are folded to the shorter."""
+    while a.shape[1] > b.shape[1]:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+    while b.shape[1] > a.shape[1]:
+        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    out = np.zeros((len(a), len(b)), np.int32)
+    for j in range(a.shape[1]):
+        out += np.bitwise_count(a[:, j, None] ^ b[None, :, j])
+    return out
+
+
+def close_pairs(n: np.ndarray, reach: np.ndarray, cls: np.ndarray, maps: list[np.ndarray], probes: np.ndarray, targets: np.ndarray, percent: int = PERCENT, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a probe and a target, as positions, that may be similar and are in different classes."""
+    by: dict[int, list[int]] = defaultdict(list)
+    for j in targets.tolist():
+        by[len(maps[j])].append(j)
+    for width, of in by.items():
+        of = np.array(of)
+        theirs = np.stack([maps[j] for j in of.tolist()])
+        mine: dict[int, list[int]] = defaultdict(list)
+        fit = (100 * n[of].max() >= percent * n[probes]) & (percent * n[of].min() <= 100 * n[probes])
+        for i in probes[fit].tolist():
+            mine[len(maps[i])].append(i)
+        for own in mine.values():
+            for at in range(0, len(own), rows):
+                some = np.array(own[at : at + rows])
+                a, b = n[some][:, None], n[of][None, :]
+                good = (cls[some][:, None] != cls[of][None, :]) & (percent * a <= 100 * b) & (percent * b <= 100 * a)
+                good &= (b <= reach[some][:, None]) & (a <= reach[of][None, :])
+                if good.any():
+                    # |x| + |y| - 2 common, with common >= p (|x| + |y|) / (100 + p)
+                    good &= differing(np.stack([maps[i] for i in some.tolist()]), theirs) * (100 + percent) <= (100 - percent) * (a + b)
+                    x, y = np.nonzero(good)
+                    if len(x):
+                        yield some[x], of[y]
+
+
+# The join
+
+
+def _texts(source: DataFrame, light: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set, n, text, bits) of the wanted sets, each from one document: that with the smallest id and hash."""
+    first = light.join(wanted, "set").groupBy("set").agg(F.min(F.struct("doc_id", "hash")).alias("x")).select("set", F.col("x.doc_id").alias("d"), F.col("x.hash").alias("h"))
+    # by merging at every size, so that what moves stays in proportion
+    rows = source.withColumn("j", F.coalesce("doc_id", "hash")).join(first.withColumn("j", F.coalesce("d", "h")).hint("merge"), "j").where("hash = h and d <=> doc_id").select("set", "t")
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            is_token = pc.equal(batch.column(2), 0)
-            own = batch.filter(pc.invert(is_token))
-            if own.num_rows:
-                light.append(own)
-            batch = batch.filter(is_token)
-            yield batch.column(0).to_numpy(), batch.column(1).to_numpy()
-
-    for t, s, df in sift(tokens()):
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s), pa.array(df.astype(np.int64)), pa.array(np.zeros(len(t), np.int64))], names=names)
-        while light:
-            x = light.pop()
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.zeros(x.num_rows, np.int64)), x.column(2)], names=names)
-    while light:
-        x = light.pop()
-        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.zeros(x.num_rows, np.int64)), x.column(2)], names=names)
-
-
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document."""
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sets = [shingle_set(t) for t in some.column(1).to_pylist()]
+                # a text whose 64-bit hash is that of another is not the one looked for
+                mine = np.array([set_key(s) == k for s, k in zip(sets, some.column(0).to_pylist(), strict=True)], bool)
+                some = some.filter(pa.array(mine))
+                sets = [s for s, ok in zip(sets, mine, strict=True) if ok]
+                bits = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(map(len, sets)), pa.int64()), some.column(1), bits], names=["set", "n", "text", "bits"])
+
+    return rows.mapInArrow(one, "set long, n long, text string, bits binary").dropDuplicates(["set"])
+
+
+def _needed(block_sets: int) -> Column:
+    """Blocks for a group of sets."""
+    return F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, block_sets: int = BLOCK_SETS, together: int = TOGETHER, by_id: bool = True) -> DataFrame:
+    """(doc_id, hash, set, n, class) for each row, where the hash is that of the text and the class is the smallest
+    set that links reach; null for empty sets.  With ``by_id`` texts of the same id are linked."""
     spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    # one shuffle brings equal shingles together; a stream over them needs no group as a whole
+    sc = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(source.mapInArrow(_rows, ROWS).repartition(parts, "token").sortWithinPartitions("token", "set").mapInArrow(_shared, SHARED), "jaccard-shared")
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("hash", F.xxhash64("t"))
+    found = stored(source.select("doc_id", "hash", "t").mapInArrow(_count, LIGHT), "jaccard-light")
+    light = found.where("set is not null")
+    classes = sc.broadcast(frequency_classes(found))  # of a fixed size: 2 ** BUCKET_BITS bytes
+
+    prefixes = source.select("t").mapInArrow(lambda b: _prefixes(b, classes.value, percent, together), PREFIXES)
+    ordered = prefixes.repartition(parts, "token", "salt").sortWithinPartitions("token", "n", "set")
+    shared = stored(ordered.mapInArrow(lambda b: _shared(b, percent), SHARED), "jaccard-shared")
+    del prefixes, ordered
     released(spark)
-    light = found.where("df = 0").select(F.col("token").alias("doc_id"), "set", F.greatest("n", F.lit(0)).alias("n"))
-    sets = light.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-
-    # sets of which enough shingles are shared to have one in the prefix, in the global order
-    items = found.where("df > 0").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
-    left = F.size("x") - (F.ceil(F.col("n") * percent / 100) - 1)  # shared ones in the prefix
-    full = items.join(sets.where("rep is not null"), "set").withColumn("prefix", left.cast("int")).where("prefix > 0")
-    full = stored(full.select(F.col("rep").alias("node"), "n", F.transform("x", lambda e: e["token"]).alias("items"), "prefix"), "jaccard-sets")
-    post = full.select("node", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("token"))
-    low = post.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b <> high").drop("high")
-    near = post.join(low, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    clusters = connected_components(near).withColumnRenamed("component", "cluster")
-    members = stored(full.drop("prefix").join(clusters, "node"), "jaccard-members")
-    # one block for a small cluster; else blocks of like sizes, dealt by hash
-    like = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("long")
-    members = members.withColumn("like", like)
-    needed = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("long")
-    small = members.groupBy("cluster").agg(needed.alias("whole"))
-    blocks = members.groupBy("cluster", "like").agg(needed.alias("blocks"))
-    block = F.when(F.col("whole") == 1, F.lit(0).cast("long")).otherwise(F.shiftleft(F.col("like") + 1, 32) + F.pmod(F.xxhash64("node"), F.col("blocks")))
-    full = stored(members.join(small, "cluster").join(blocks, ["cluster", "like"]).select("cluster", block.alias("block"), "node", "n", "items"), "jaccard-blocks")
-
-    unit = T.StructType.fromDDL("a long, b long")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One unit: probes against targets, or a block with itself."""
-        pdf = pdf.sort_values(["n", "node"], kind="stable").drop_duplicates(["node", "probe"])
-        nodes = pdf["node"].drop_duplicates().tolist()
-        at = {x: i for i, x in enumerate(nodes)}
-        lists: list = [None] * len(nodes)
-        ns = [0] * len(nodes)
-        known: dict[int, int] = {}
-        links: list[tuple[int, int]] = []
-        probes, targets = [], []
-        for node, n, items, probe, own in zip(pdf["node"], pdf["n"], pdf["items"], pdf["probe"], pdf["class"], strict=True):
-            i = at[node]
-            lists[i], ns[i] = items.tolist(), n
-            (probes if probe else targets).append(i)
-            if own in known:
-                links.append((known[own], i))
-            else:
-                known[own] = i
-        if not probes:
-            probes = targets
-        found = join_block(lists, probes, targets, percent, links, ns)
-        return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype="int64")
-
-    def joined(rows: DataFrame) -> DataFrame:
-        """rows: cluster, u, v (blocks of the unit), probe, node, n, items, class."""
-        return stored(rows.groupBy("cluster", "u", "v").applyInPandas(run, unit), "jaccard-links")
-
-    def rows_of(df: DataFrame, u: str, v: str, probe: bool) -> DataFrame:
-        return df.select("cluster", F.col(u).alias("u"), F.col(v).alias("v"), F.lit(probe).alias("probe"), "node", "n", "items", "class")
-
-    # within each block, and each block against the one with most sets
-    plain = full.withColumn("class", F.col("node"))
-    sizes = stored(full.groupBy("cluster", "block").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-block-sizes")
-    heads = sizes.groupBy("cluster").agg(F.max_by("block", F.struct("k", "block")).alias("head"), F.count("*").alias("blocks")).where("blocks > 1").select("cluster", "head")
-    others = plain.join(heads, "cluster").where("block <> head")
-    to_head = sizes.join(heads, "cluster").where("block <> head").select("cluster", "head", F.col("block").alias("other"))
-    head_sets = plain.join(to_head.withColumn("block", F.col("head")), ["cluster", "block"])
-    links = joined(rows_of(plain, "block", "block", False).union(rows_of(others, "block", "head", True)).union(rows_of(head_sets, "other", "head", False)))
-
-    # then sets outside the largest class of their cluster against every block with sets of fitting size
-    known = connected_components(links).withColumnRenamed("component", "class")
-    rest = full.join(heads.select("cluster"), "cluster").join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    main = rest.groupBy("cluster", "class").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("class", F.struct("k", -F.col("class"))).alias("main"))
-    rest = stored(rest.join(main, "cluster"), "jaccard-rest")
-    stray = rest.where("class <> main")
-    parts = stray.groupBy("cluster").agg(needed.alias("parts"))
-    stray = stray.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    pairs = stray.groupBy("cluster", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(sizes, "cluster")
-    pairs = stored(pairs.where(f"100 * high >= {percent} * least and 100 * most >= {percent} * low").select("cluster", "part", "block"), "jaccard-units")
-    probes = stray.drop("block").join(pairs, ["cluster", "part"])
-    targets = rest.join(pairs, ["cluster", "block"])
-    more = joined(rows_of(probes, "part", "block", True).union(rows_of(targets, "part", "block", False)))
-    final = connected_components(links.union(more)).select(F.col("node").alias("rep"), "component")
-    of_set = sets.join(final, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
-    rows = light.join(of_set, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return rows.where("doc_id is not null")
+
+    # each set picks the shingle of most sets
+    picks = shared.groupBy("set").agg(F.max(F.struct("sets", "token")).alias("x"), F.first("n").cast("long").alias("n")).select("set", "n", F.col("x.token").alias("token"))
+    picks = stored(picks, "jaccard-picks")
+    texts = stored(_texts(source, light.where("n > 0"), picks.select("set")), "jaccard-texts")
+    released(spark)
+
+    def joined(rows: DataFrame, unit: list[str], name: str) -> DataFrame:
+        """(a, b): links within the units of ``rows(*unit, set, class)``, where n and text are taken from the texts."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.drop_duplicates("set").sort_values("set", kind="stable")
+            sets = [in_order(shingle_set(t), classes.value).tolist() for t in pdf["text"]]
+            nodes = pdf["set"].tolist()
+            links = join_block(sets, percent, pdf["class"].tolist())
+            return pd.DataFrame({"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}, dtype="int64")
+
+        whole = rows.join(texts.select("set", "text"), "set").select(*unit, "set", "class", "text")
+        return stored(whole.groupBy(*unit).applyInPandas(run, "a long, b long"), name)
+
+    # blocks of sets with the same pick, then blocks of their leaders, until each pick has one block
+    links, members, level, tables = None, picks, 0, [texts, shared, picks]
+    while True:
+        sizes = members.groupBy("token").agg(_needed(block_sets).alias("blocks"), F.count("*").alias("sets")).where("sets > 1")
+        members = members.join(sizes.drop("sets"), "token").withColumn("block", F.pmod(F.xxhash64("set", F.lit(level)), F.col("blocks")).cast("int"))
+        members = stored(members, "jaccard-blocks")
+        more = joined(members.select("token", "block", "set", F.col("set").alias("class")), ["token", "block"], "jaccard-links")
+        links = more if links is None else links.union(more)
+        tables += [members, more]
+        some = members.where("blocks > 1").withColumn("leader", F.pmod(F.xxhash64("set", F.lit(-1 - level)), F.lit(LEADERS)))
+        some = some.groupBy("token", "block", "leader").agg(F.min(F.struct(F.xxhash64("set"), "set", "n")).alias("x")).select("token", "x.set", "x.n")
+        members, level = stored(some, "jaccard-leaders"), level + 1
+        tables.append(members)
+        if not members.limit(1).count():
+            break
+
+    # pairs that are left: shingles with sets of several classes
+    known = connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("class"))
+    posts = shared.drop("sets").join(known, "set", "left").withColumn("class", F.coalesce("class", "set"))
+    posts = stored(posts, "jaccard-posts")
+    mixed = posts.groupBy("token", "class").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    mixed = mixed.groupBy("token").agg(F.max_by("class", F.struct("k", -F.col("class"))).alias("main"), F.count("*").alias("of"), F.sum("k").alias("k"), F.sum("s").alias("s")).where("of > 1")
+    blocks = F.ceil(F.greatest(F.col("k") / block_sets, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    left = posts.join(mixed.select("token", "main", blocks.alias("blocks")), "token")
+    left = left.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    # in units of one block or two: those outside the main class as probes, all as targets
+    stray = F.col("class") != F.col("main")
+    narrow = left.select("token", "block", "blocks", "set", "n", "place", "class", stray.alias("stray"))
+    full = stored(narrow.join(texts.select("set", "bits"), "set"), "jaccard-left")
+    occupied = full.where("stray").select("token", F.col("block").alias("u")).distinct()
+    targets = full.join(occupied, "token").select("token", "u", F.col("block").alias("v"), F.lit(False).alias("probe"), "set", "n", "place", "class", "bits")
+    probes = full.where("stray").select("token", F.col("block").alias("u"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("v"), F.lit(True).alias("probe"), "set", "n", "place", "class", "bits")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sets of a unit with a close one in another class, in groups that such pairs connect; a group's name is
+        made of its sets."""
+        keys, n, cls, probe = (pdf[c].to_numpy() for c in ("set", "n", "class", "probe"))
+        reach = widest(n.astype(np.int64), pdf["place"].to_numpy(), percent)
+        maps = [np.frombuffer(x, "<u8") for x in pdf["bits"]]
+        at = Classes(len(keys))
+        met: set[int] = set()
+        for x, y in close_pairs(n.astype(np.int64), reach, cls, maps, np.flatnonzero(probe), np.flatnonzero(~probe), percent):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                at.join(i, j)
+            met.update(x.tolist(), y.tolist())
+        groups: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        same: dict[int, int] = {}
+        for i in sorted(met):  # a set may be probe and target
+            at.join(same.setdefault(int(keys[i]), i), i)
+        for i in met:
+            groups[at.find(i)].add((int(keys[i]), int(cls[i])))
+        out = [(xxhash.xxh3_64_intdigest(np.array(sorted(g), np.int64).tobytes()) - (1 << 63), s, c) for g in groups.values() for s, c in g]
+        return pd.DataFrame(out, columns=["unit", "set", "class"], dtype="int64")
+
+    units = targets.union(probes).groupBy("token", "u", "v").applyInPandas(near, "unit long, set long, class long").distinct()
+    units = stored(units, "jaccard-units")
+    more = joined(units, ["unit"], "jaccard-links")
+    links = links.union(more)
+    if by_id:
+        ids = light.where("n > 0 and doc_id is not null").select("doc_id", "set").distinct()
+        low = ids.groupBy("doc_id").agg(F.min("set").alias("b"), F.max("set").alias("high")).where("b <> high").drop("high")
+        links = links.union(ids.join(low, "doc_id").select(F.col("set").alias("a"), "b"))
+    final = stored(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("class")), "jaccard-classes")
+    discard(*tables, posts, full, units, more)
+    return light.join(final, "set", "left").select("doc_id", "hash", "set", "n", F.when(F.col("n") > 0, F.coalesce("class", "set")).alias("class"))
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, **more: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row with an id."""
+    rows = set_classes(docs, key, text, percent, **more)
+    low = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component"))
+    out = rows.join(low, "class", "left").where("doc_id is not null")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,17 +551,18 @@ select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each class, that with the smallest id, with all their columns.
-    Where ids repeat, rows are told apart by id and text: of a class the least id and text stays,
-    once, and rows of an id whose texts have nothing to do with each other all stay.  Rows with a
-    null id stay."""
-    found = stored(jaccard_classes(docs, key, text).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "jaccard-kept")
-    if found.where("n > 1").limit(1).count():
-        pairs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
-        pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "jaccard-pairs")
-        classes = jaccard_classes(pairs, "pair", "t").select(F.col("doc_id").alias("pair"), "component_id")
-        first = pairs.join(classes, "pair").groupBy("component_id").agg(F.min(F.struct("k", "t")).alias("x")).select(F.col("x.k").alias("__k"), F.col("x.t").alias("__t"))
-        out = docs.join(stored(first, "jaccard-first"), (F.col(key) == F.col("__k")) & F.col(text).eqNullSafe(F.col("__t")), "left_semi").dropDuplicates([key, text])
-    else:
-        kept = found.where("doc_id = c").select(F.col("doc_id").alias("__kept"))
-        out = docs.join(kept, F.col(key) == F.col("__kept"), "left_semi")
-    return out.union(docs.where(F.col(key).isNull()))
+    Rows are told apart by id and text: of a class the least of both stays, once, and rows of an id
+    whose texts have nothing to do with each other all stay.  Rows with a null id stay, though their
+    texts can link others; so do rows without words."""
+    rows = set_classes(docs, key, text, by_id=False)
+    of = rows.where("doc_id is not null")
+    kept = of.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("x")).select("x.*")
+    kept = stored(kept.union(of.where("class is null").select("doc_id", "hash")).distinct(), "jaccard-kept")
+    again = of.join(kept, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    own = docs.where(F.col(f"`{key}`").isNotNull())
+    match = (F.col(f"`{key}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__hash"))
+    # by merging at every size, so that what moves stays in proportion
+    own = own.join(kept.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).hint("merge"), match, "left_semi")
+    if again:  # rows that repeat id and text
+        own = own.dropDuplicates([key, text])
+    return own.union(docs.where(F.col(f"`{key}`").isNull()))

@@ -114,6 +114,13 @@ def test_classes_equal_brute_force(spark, block):
 
 
 def test_jaccard_of_odd_tables(spark):
+    # a null id is no row but a link between others; two texts of one id join the classes of both
+    long = " ".join(f"n{i}" for i in range(40))
+    three = [(20, long + " x"), (None, long), (30, long[: long.index("n1 ")] + "y " + long[long.index("n1 ") :])]
+    assert {tuple(r) for r in j.jaccard_classes(spark.createDataFrame(three, "doc_id long, text string")).collect()} == {(20, 37, 20), (30, 37, 20)}
+    other = " ".join(f"m{i}" for i in range(40))
+    several = [(1, long), (1, other), (2, long + " x"), (3, other + " y")]
+    assert {(r["doc_id"], r["component_id"]) for r in j.jaccard_classes(spark.createDataFrame(several, "doc_id long, text string")).collect()} == {(1, 1), (2, 1), (3, 1)}
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "other words that are not the same")], "doc_id long, text string")
     assert sorted(tuple(r) for r in j.jaccard_classes(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 3, 2)]
     assert j.jaccard_classes(df.limit(0)).count() == 0
@@ -130,18 +137,109 @@ def test_rows_of_an_id_with_other_texts_stay(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (5, c), (7, e), (8, None), (8, b + " y")], key=str)
 
 
-def test_sift_counts_sets_of_a_shingle():
+def test_sift_keeps_every_pair_that_fits():
     rng = random.Random(4)
-    for _ in range(500):
-        rows = sorted((rng.randint(0, 6), rng.randint(0, 8)) for _ in range(rng.randint(0, 40)))
-        many = rng.choice([2, 3, 5, 100])
-        c = defaultdict(set)
-        for t, s in rows:
-            c[t].add(s)
-        a = np.array(rows, np.int64).reshape(-1, 2)
+    for _ in range(300):
+        sets = {i: (rng.randint(1, 30), i) for i in range(8)}
+        rows = sorted({(t, sets[i][0], i, rng.randrange(sets[i][0])) for t in range(4) for i in rng.sample(range(8), rng.randint(0, 6))} | {(9, 4, i, 0) for i in range(rng.choice([0, 6]))})
+        rows = [r for k, r in enumerate(rows) if k == 0 or r[:3] != rows[k - 1][:3]]
+        rows = sorted(rows + rng.sample(rows, len(rows) // 3))
+        most = rng.choice([3, 1000])
+        a = np.array(rows, np.int64).reshape(-1, 4)
         cuts = sorted(rng.randint(0, len(a)) for _ in range(rng.randint(0, 5)))
-        got = sorted(x for t, s, n in j.sift(iter([(p[:, 0], p[:, 1]) for p in np.split(a, cuts)]), many) for x in zip(t.tolist(), s.tolist(), n.tolist(), strict=True))
-        assert got == sorted((t, s, min(len(v), many)) for t, v in c.items() if len(v) > 1 for s in v)
+        got = {(t, i): k for p in j.sift(iter([(p[:, 0], p[:, 2], p[:, 1], p[:, 3], np.zeros(len(p), np.int64)) for p in np.split(a, cuts)]), 80, most) for t, i, _, _, k in zip(*(c.tolist() for c in p), strict=True)}
+        of = Counter(t for t, *_ in set(rows))
+        for t, n, i, x in rows:
+            fits = any(u == t and m != i and 80 * n <= 100 * k and 80 * k <= 100 * n and k <= j.widest(n, x) and n <= j.widest(k, y) for u, k, m, y in rows)
+            assert (t, i) in got or not fits
+            assert of[t] > 1 or (t, i) not in got
+        assert not got or max(got.values()) <= max(most, max(of.values()))
+
+
+def test_bitmaps_lose_no_similar_pair():
+    rng = np.random.default_rng(5)
+    lost = 0
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, rng.integers(2, 400)).astype(np.uint64)
+        other = base.copy()
+        other[rng.random(len(base)) < rng.random() * 0.3] += np.uint64(1)
+        x, y = np.unique(base), np.unique(np.r_[other, rng.integers(0, 1 << 63, rng.integers(0, 30)).astype(np.uint64)])
+        n = np.array([len(x), len(y)])
+        close = list(j.close_pairs(n, n * 2, np.array([0, 1]), [j.bitmap(x), j.bitmap(y)], np.array([0]), np.array([1])))
+        if j.similar(len(np.intersect1d(x, y)), *n.tolist()):
+            assert close
+        lost += not close
+    assert lost > 20
+
+
+def letters(n, seed=3):
+    """Form letters of 6 out of 40 passages each, with a few near copies among them."""
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{k}w{rng.randint(0, 10**6)}" for _ in range(20)) for k in range(40)]
+    rows = []
+    for i in range(n):
+        if i % 50 == 49:
+            words = rows[-1][1].split()
+            words[rng.randrange(len(words))] = "changed"
+            rows.append((i, " ".join(words)))
+        else:
+            rows.append((i, " ".join(rng.sample(passages, 6))))
+    return rows
+
+
+def test_form_letters_make_no_giant_units(spark, monkeypatch):
+    """Nearly all letters share passages, hardly any two are near copies."""
+    moved = {}
+    keep = j.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        if name in ("jaccard-shared", "jaccard-left", "jaccard-units"):
+            moved.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(j, "stored", stored)
+    for n in (1000, 2000):
+        rows = letters(n)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = {r["doc_id"]: r["component_id"] for r in j.jaccard_classes(df, block_sets=100).collect()}
+        sets = [frozenset(j.shingle_set(t).tolist()) for _, t in rows]
+        by = defaultdict(list)
+        for i, s in enumerate(sets):
+            for x in s:
+                by[x].append(i)
+        want = list(range(n))
+
+        def find(x):
+            while want[x] != x:
+                x = want[x]
+            return x
+
+        for i, s in enumerate(sets):
+            for m, k in Counter(m for x in s for m in by[x] if m < i).items():
+                if j.similar(k, len(s), len(sets[m])):
+                    a, b = find(i), find(m)
+                    want[max(a, b)] = min(a, b)
+        assert got == {i: find(i) for i in range(n)}
+    # rows grow in proportion, and what comes to trees by bitmaps is little
+    assert moved["jaccard-shared"][1] < 3 * moved["jaccard-shared"][0] + 1000
+    assert moved["jaccard-left"][1] < 5 * moved["jaccard-left"][0] + 1000
+    assert moved["jaccard-units"][1] < 200
+
+
+def test_a_large_group_of_near_copies_is_one_class(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(150)] = f"x{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for together in (1 << 16, 64):
+        got = {r["doc_id"]: r["component_id"] for r in j.jaccard_classes(df, block_sets=10, together=together).collect()}
+        assert got == {i: c for i, (_, c) in brute_classes(rows).items()}
 
 
 def test_positions_of_long_texts_fit_their_bits():
