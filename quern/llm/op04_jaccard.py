@@ -391,6 +391,101 @@ def close_pairs(n: np.ndarray, reach: np.ndarray, cls: np.ndarray, maps: list[np
                         yield some[x], of[y]
 
 
+def close_rows(n: np.ndarray, reach: np.ndarray, cls: np.ndarray, maps: list[np.ndarray], unit: np.ndarray, probe: np.ndarray, target: np.ndarray, small: int = 256, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for rows of whole units, in their order.  The pairs of small units are looked at together."""
+    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    size = np.diff(np.r_[first, len(unit)])
+    for a, g in zip(first[size > small].tolist(), size[size > small].tolist(), strict=True):
+        rows = np.arange(a, a + g)
+        yield from close_pairs(n, reach, cls, maps, rows[probe[rows]], rows[target[rows]], percent)
+    own = np.flatnonzero(probe & np.repeat(size <= small, size))
+    if not len(own):
+        return
+    start, g = np.repeat(first, size)[own], np.repeat(size, size)[own]
+    x = np.repeat(own, g)
+    y = np.arange(len(x)) - np.repeat(np.cumsum(g) - g, g) + np.repeat(start, g)
+    good = target[y] & (cls[x] != cls[y]) & ((x < y) | ~probe[y] | ~target[x])
+    x, y = x[good], y[good]
+    good = (percent * n[x] <= 100 * n[y]) & (percent * n[y] <= 100 * n[x]) & (n[y] <= reach[x]) & (n[x] <= reach[y])
+    x, y = x[good], y[good]
+    width = np.array([len(m) for m in maps])
+    rank = np.empty(len(maps), np.int64)
+    stacks = {}
+    for w in np.unique(width[np.r_[x, y]]).tolist():
+        of = np.flatnonzero(width == w)
+        rank[of] = np.arange(len(of))
+        stacks[w] = np.stack([maps[i] for i in of.tolist()])
+    kind = width[x] * (1 << 32) + width[y]
+    for k in np.unique(kind).tolist():
+        both = np.flatnonzero(kind == k)
+        a, b = stacks[k >> 32], stacks[k & 0xFFFFFFFF]
+        for at in range(0, len(both), 1 << 14):
+            i, m = x[both[at : at + (1 << 14)]], y[both[at : at + (1 << 14)]]
+            u, v = a[rank[i]], b[rank[m]]
+            while u.shape[1] > v.shape[1]:
+                u = u[:, : u.shape[1] // 2] ^ u[:, u.shape[1] // 2 :]
+            while v.shape[1] > u.shape[1]:
+                v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
+            near = np.bitwise_count(u ^ v).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n[i] + n[m])
+            yield i[near], m[near]
+
+
+UNIT = "unit long, set long, class long"
+
+
+def near_groups(rows: dict[str, np.ndarray], maps: list[np.ndarray], percent: int = PERCENT) -> tuple[list[int], list[int], list[int]]:
+    """(unit, set, class) of sets with a close one in another class, grouped as such pairs connect; a group's name
+    is made of its sets, so that equal groups have one."""
+    keys, cls, role = rows["set"], rows["class"], rows["role"]
+    n = rows["n"].astype(np.int64)
+    reach = widest(n, rows["place"].astype(np.int64), percent)
+    at = Classes(len(keys))
+    met: set[int] = set()
+    for x, y in close_rows(n, reach, cls, maps, rows["unit"], role > 0, role < 2, percent=percent):
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            at.join(i, j)
+        met.update(x.tolist(), y.tolist())
+    same: dict[tuple[int, int], int] = {}
+    for i in sorted(met):  # a set may stand in a unit twice, as probe and as target
+        at.join(same.setdefault((int(rows["unit"][i]), int(keys[i])), i), i)
+    groups: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    for i in met:
+        groups[at.find(i)].add((int(keys[i]), int(cls[i])))
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    for g in groups.values():
+        name = xxhash.xxh3_64_intdigest(np.array(sorted(g), np.int64).tobytes()) - (1 << 63)
+        for s, c in g:
+            for column, value in zip(out, (name, s, c), strict=True):
+                column.append(value)
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Streams rows in the order of their units (a hash that stands for token and blocks); holds whole units of
+    ``rows`` rows or one larger one."""
+    names = [x.split()[0] for x in UNIT.split(", ")]
+    held: list[pa.RecordBatch] = []
+
+    def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows:
+            columns = {c: table.column(c).to_numpy() for c in ("unit", "role", "set", "n", "place", "class")}
+            found = near_groups(columns, [np.frombuffer(x, "<u8") for x in table.column("bits").to_pylist()], percent)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        unit = table.column("unit").to_numpy()
+        cut = int(np.searchsorted(unit, unit[-1]))
+        yield from close(table.slice(0, cut))
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield from close(pa.Table.from_batches(held))
+
+
 # The join
 
 
@@ -424,12 +519,11 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
     """(doc_id, hash, set, n, class) for each row, where the hash is that of the text and the class is the smallest
     set that links reach; null for empty sets.  With ``by_id`` texts of the same id are linked."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("hash", F.xxhash64("t"))
     found = stored(source.select("doc_id", "hash", "t").mapInArrow(_count, LIGHT), "jaccard-light")
     light = found.where("set is not null")
-    classes = sc.broadcast(frequency_classes(found))  # of a fixed size: 2 ** BUCKET_BITS bytes
+    classes = spark.sparkContext.broadcast(frequency_classes(found))  # of a fixed size: 2 ** BUCKET_BITS bytes
 
     prefixes = source.select("t").mapInArrow(lambda b: _prefixes(b, classes.value, percent, together), PREFIXES)
     ordered = prefixes.repartition(parts, "token", "salt").sortWithinPartitions("token", "n", "set")
@@ -476,42 +570,27 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
     known = connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("class"))
     posts = shared.drop("sets").join(known, "set", "left").withColumn("class", F.coalesce("class", "set"))
     posts = stored(posts, "jaccard-posts")
-    mixed = posts.groupBy("token", "class").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
-    mixed = mixed.groupBy("token").agg(F.max_by("class", F.struct("k", -F.col("class"))).alias("main"), F.count("*").alias("of"), F.sum("k").alias("k"), F.sum("s").alias("s")).where("of > 1")
+    sums = [F.sum(F.xxhash64("set", F.lit(k)).bitwiseAND(0xFFFFFFFF)).alias(f"h{k}") for k in range(4)]
+    names = [f"h{k}" for k in range(4)]
+    mixed = posts.groupBy("token", "class").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.sum("place").alias("places"), *sums)
+    main = F.max_by("class", F.struct("k", -F.col("class"))).alias("main")
+    mixed = mixed.groupBy("token").agg(main, F.count("*").alias("of"), *[F.sum(c).alias(c) for c in ("k", "s", "places", *names)]).where("of > 1")
+    # of shingles with the same sets, known by sums of hashes, the first in the order has the earliest places in all
     blocks = F.ceil(F.greatest(F.col("k") / block_sets, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    left = posts.join(mixed.select("token", "main", blocks.alias("blocks")), "token")
-    left = left.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    # in units of one block or two: those outside the main class as probes, all as targets
-    stray = F.col("class") != F.col("main")
-    narrow = left.select("token", "block", "blocks", "set", "n", "place", "class", stray.alias("stray"))
-    full = stored(narrow.join(texts.select("set", "bits"), "set"), "jaccard-left")
-    occupied = full.where("stray").select("token", F.col("block").alias("u")).distinct()
-    targets = full.join(occupied, "token").select("token", "u", F.col("block").alias("v"), F.lit(False).alias("probe"), "set", "n", "place", "class", "bits")
-    probes = full.where("stray").select("token", F.col("block").alias("u"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("v"), F.lit(True).alias("probe"), "set", "n", "place", "class", "bits")
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sets of a unit with a close one in another class, in groups that such pairs connect; a group's name is
-        made of its sets."""
-        keys, n, cls, probe = (pdf[c].to_numpy() for c in ("set", "n", "class", "probe"))
-        reach = widest(n.astype(np.int64), pdf["place"].to_numpy(), percent)
-        maps = [np.frombuffer(x, "<u8") for x in pdf["bits"]]
-        at = Classes(len(keys))
-        met: set[int] = set()
-        for x, y in close_pairs(n.astype(np.int64), reach, cls, maps, np.flatnonzero(probe), np.flatnonzero(~probe), percent):
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                at.join(i, j)
-            met.update(x.tolist(), y.tolist())
-        groups: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        same: dict[int, int] = {}
-        for i in sorted(met):  # a set may be probe and target
-            at.join(same.setdefault(int(keys[i]), i), i)
-        for i in met:
-            groups[at.find(i)].add((int(keys[i]), int(cls[i])))
-        out = [(xxhash.xxh3_64_intdigest(np.array(sorted(g), np.int64).tobytes()) - (1 << 63), s, c) for g in groups.values() for s, c in g]
-        return pd.DataFrame(out, columns=["unit", "set", "class"], dtype="int64")
-
-    units = targets.union(probes).groupBy("token", "u", "v").applyInPandas(near, "unit long, set long, class long").distinct()
-    units = stored(units, "jaccard-units")
+    mixed = mixed.groupBy("k", "s", *names).agg(F.min(F.struct("places", "token", "main")).alias("x")).select("x.token", "x.main", blocks.alias("blocks"))
+    left = posts.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    # in units of one block or two: those outside the main class as probes (role 2), all as targets (0), or both (1)
+    left = left.withColumn("stray", F.col("class") != F.col("main")).drop("main")
+    full = stored(left.join(texts.select("set", "bits"), "set"), "jaccard-left")
+    own = ["role", "set", "n", "place", "class", "bits"]
+    unit = lambda u, v: F.xxhash64("token", u, v).alias("unit")
+    one = full.where("blocks = 1").select(unit(F.lit(0), F.lit(0)), F.col("stray").cast("int").alias("role"), *own[1:])
+    several = full.where("blocks > 1")
+    occupied = several.where("stray").select("token", F.col("block").alias("u")).distinct()
+    targets = several.join(occupied, "token").select(unit(F.col("u"), F.col("block")), F.lit(0).alias("role"), *own[1:])
+    probes = several.where("stray").withColumn("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(unit(F.col("block"), F.col("v")), F.lit(2).alias("role"), *own[1:])
+    rows = one.union(targets).union(probes).repartition(parts, "unit").sortWithinPartitions("unit")
+    units = stored(rows.mapInArrow(lambda b: _near(b, percent), UNIT).distinct(), "jaccard-units")
     more = joined(units, ["unit"], "jaccard-links")
     links = links.union(more)
     if by_id:
