@@ -45,11 +45,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, documents, released, stored
-from .shingles import shingle_hashes, words_of
+from .shingles import shingle_sets
 
 K, PERCENT = 5, 80
 #: Sets in a block, and shingles in it at most.
@@ -61,7 +61,7 @@ LEADERS = 4
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), K))
+    return shingle_sets([text], K)[0]
 
 
 def set_key(s: np.ndarray) -> int:
@@ -216,7 +216,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
-            sets = [shingle_set(t) for t in some.column(2).to_pylist()]
+            sets = shingle_sets(some.column(2).to_pylist(), K)
             np.add.at(counts, bucket_of(np.concatenate(sets)), 1)
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], names=names)
     mean = counts.mean()
@@ -250,8 +250,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], classes: np.ndarray, percent: i
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             tokens, keys, sizes, bounds, cls = [], [], [], [], []
-            for t in batch.column(0).slice(at, 2000).to_pylist():
-                s = shingle_set(t)
+            for s in shingle_sets(batch.column(0).slice(at, 2000).to_pylist(), K):
                 k = set_key(s)
                 if not len(s) or k in seen:
                     continue
@@ -489,30 +488,34 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int, rows: int = 4096) ->
 # The join
 
 
+TEXTS = "set long, n long, token long, block int, blocks int, text string, bits binary"
+
+
 def _texts(source: DataFrame, light: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, n, text, bits) of the wanted sets, each from one document: that with the smallest id and hash."""
-    first = light.join(wanted, "set").groupBy("set").agg(F.min(F.struct("doc_id", "hash")).alias("x")).select("set", F.col("x.doc_id").alias("d"), F.col("x.hash").alias("h"))
+    """``wanted(set, n, token, block, blocks)`` with texts and bitmaps, each from one document: that with the
+    smallest id and hash."""
+    first = light.select("set", "doc_id", "hash").join(wanted, "set").groupBy(*wanted.columns).agg(F.min(F.struct("doc_id", "hash")).alias("x"))
+    first = first.select(*wanted.columns, F.col("x.doc_id").alias("d"), F.col("x.hash").alias("h"))
     # by merging at every size, so that what moves stays in proportion
-    rows = source.withColumn("j", F.coalesce("doc_id", "hash")).join(first.withColumn("j", F.coalesce("d", "h")).hint("merge"), "j").where("hash = h and d <=> doc_id").select("set", "t")
+    rows = source.withColumn("j", F.coalesce("doc_id", "hash")).join(first.withColumn("j", F.coalesce("d", "h")).hint("merge"), "j").where("hash = h and d <=> doc_id").select(*wanted.columns, "t")
+    names = [x.split()[0] for x in TEXTS.split(", ")]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat id and text come together
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                sets = [shingle_set(t) for t in some.column(1).to_pylist()]
-                # a text whose 64-bit hash is that of another is not the one looked for
-                mine = np.array([set_key(s) == k for s, k in zip(sets, some.column(0).to_pylist(), strict=True)], bool)
-                some = some.filter(pa.array(mine))
-                sets = [s for s, ok in zip(sets, mine, strict=True) if ok]
-                bits = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(map(len, sets)), pa.int64()), some.column(1), bits], names=["set", "n", "text", "bits"])
-
-    return rows.mapInArrow(one, "set long, n long, text string, bits binary").dropDuplicates(["set"])
-
+                sets = shingle_sets(some.column("t").to_pylist(), K)
+                keep = []
+                for s, k in zip(sets, some.column("set").to_pylist(), strict=True):
+                    # a text whose 64-bit hash is that of another is not the one looked for
+                    keep.append(k not in seen and set_key(s) == k)
+                    if keep[-1]:
+                        seen.add(k)
+                bits = pa.array([bitmap(s).tobytes() for s, ok in zip(sets, keep, strict=True) if ok], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.filter(pa.array(keep, pa.bool_())).columns, bits], names=names)
 
-def _needed(block_sets: int) -> Column:
-    """Blocks for a group of sets."""
-    return F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return rows.mapInArrow(one, TEXTS)
 
 
 def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, block_sets: int = BLOCK_SETS, together: int = TOGETHER, by_id: bool = True) -> DataFrame:
@@ -531,40 +534,45 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
     del prefixes, ordered
     released(spark)
 
-    # each set picks the shingle of most sets
+    # each set picks the shingle of most sets, and a block of its sets
     picks = shared.groupBy("set").agg(F.max(F.struct("sets", "token")).alias("x"), F.first("n").cast("long").alias("n")).select("set", "n", F.col("x.token").alias("token"))
     picks = stored(picks, "jaccard-picks")
-    texts = stored(_texts(source, light.where("n > 0"), picks.select("set")), "jaccard-texts")
+
+    def blocked(members: DataFrame, level: int) -> DataFrame:
+        sizes = members.groupBy("token").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        return members.join(sizes, "token").select("set", "n", "token", F.pmod(F.xxhash64("set", F.lit(level)), F.col("blocks")).cast("int").alias("block"), "blocks")
+
+    texts = stored(_texts(source, light.where("n > 0"), blocked(picks, 0)), "jaccard-texts")
     released(spark)
 
     def joined(rows: DataFrame, unit: list[str], name: str) -> DataFrame:
-        """(a, b): links within the units of ``rows(*unit, set, class)``, where n and text are taken from the texts."""
+        """(a, b): links within the units of ``rows(*unit, set, class, text)``."""
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.drop_duplicates("set").sort_values("set", kind="stable")
-            sets = [in_order(shingle_set(t), classes.value).tolist() for t in pdf["text"]]
             nodes = pdf["set"].tolist()
-            links = join_block(sets, percent, pdf["class"].tolist())
+            links = []
+            if len(nodes) > 1:
+                sets = [in_order(s, classes.value).tolist() for s in shingle_sets(pdf["text"], K)]
+                links = join_block(sets, percent, pdf["class"].tolist())
             return pd.DataFrame({"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}, dtype="int64")
 
-        whole = rows.join(texts.select("set", "text"), "set").select(*unit, "set", "class", "text")
-        return stored(whole.groupBy(*unit).applyInPandas(run, "a long, b long"), name)
+        return stored(rows.select(*unit, "set", "class", "text").groupBy(*unit).applyInPandas(run, "a long, b long"), name)
 
-    # blocks of sets with the same pick, then blocks of their leaders, until each pick has one block
-    links, members, level, tables = None, picks, 0, [texts, shared, picks]
+    # the blocks of a shingle, then blocks of their leaders, until each shingle has one block
+    members, level, tables = texts, 0, [texts, shared, picks]
+    links = joined(texts.withColumn("class", F.col("set")), ["token", "block"], "jaccard-links")
     while True:
-        sizes = members.groupBy("token").agg(_needed(block_sets).alias("blocks"), F.count("*").alias("sets")).where("sets > 1")
-        members = members.join(sizes.drop("sets"), "token").withColumn("block", F.pmod(F.xxhash64("set", F.lit(level)), F.col("blocks")).cast("int"))
-        members = stored(members, "jaccard-blocks")
-        more = joined(members.select("token", "block", "set", F.col("set").alias("class")), ["token", "block"], "jaccard-links")
-        links = more if links is None else links.union(more)
-        tables += [members, more]
         some = members.where("blocks > 1").withColumn("leader", F.pmod(F.xxhash64("set", F.lit(-1 - level)), F.lit(LEADERS)))
         some = some.groupBy("token", "block", "leader").agg(F.min(F.struct(F.xxhash64("set"), "set", "n")).alias("x")).select("token", "x.set", "x.n")
-        members, level = stored(some, "jaccard-leaders"), level + 1
-        tables.append(members)
-        if not members.limit(1).count():
+        some, level = stored(some, "jaccard-leaders"), level + 1
+        tables.append(some)
+        if not some.limit(1).count():
             break
+        members = stored(blocked(some, level), "jaccard-blocks")
+        more = joined(members.join(texts.select("set", "text"), "set").withColumn("class", F.col("set")), ["token", "block"], "jaccard-links")
+        links = links.union(more)
+        tables += [members, more]
 
     # pairs that are left: shingles with sets of several classes
     known = connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("class"))
@@ -581,7 +589,7 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
     left = posts.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     # in units of one block or two: those outside the main class as probes (role 2), all as targets (0), or both (1)
     left = left.withColumn("stray", F.col("class") != F.col("main")).drop("main")
-    full = stored(left.join(texts.select("set", "bits"), "set"), "jaccard-left")
+    full = stored(left.hint("merge").join(texts.select("set", "bits"), "set"), "jaccard-left")
     own = ["role", "set", "n", "place", "class", "bits"]
     unit = lambda u, v: F.xxhash64("token", u, v).alias("unit")
     one = full.where("blocks = 1").select(unit(F.lit(0), F.lit(0)), F.col("stray").cast("int").alias("role"), *own[1:])
@@ -591,7 +599,7 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
     probes = several.where("stray").withColumn("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(unit(F.col("block"), F.col("v")), F.lit(2).alias("role"), *own[1:])
     rows = one.union(targets).union(probes).repartition(parts, "unit").sortWithinPartitions("unit")
     units = stored(rows.mapInArrow(lambda b: _near(b, percent), UNIT).distinct(), "jaccard-units")
-    more = joined(units, ["unit"], "jaccard-links")
+    more = joined(units.hint("merge").join(texts.select("set", "text"), "set"), ["unit"], "jaccard-links")
     links = links.union(more)
     if by_id:
         ids = light.where("n > 0 and doc_id is not null").select("doc_id", "set").distinct()
