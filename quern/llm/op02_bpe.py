@@ -16,8 +16,16 @@ left edge of u.  A token that starts at the new p has u as prefix in either, so
 the next rule to move p has a higher rank and a v that starts with u.  The
 longest such chain of |u| is the bound.
 
-Texts are encoded whole, each in the task that reads it, without a shuffle.  A
-null or empty text has no tokens.  Repeated rows give repeated rows.
+A text goes through in pieces: white space is a certain boundary, so the buffer
+flushes there, and what a word came to is kept as a memo.  Ids leave as they become
+certain, are hashed at once and pass on to the decoder, a state machine that turns
+ids into text piece by piece; neither ids nor decoded text are held whole.  A run
+without white space is normalised whole.
+
+Texts are encoded whole, each in the task that reads it, without a shuffle.  A null
+or empty text has no tokens.  A null id stays null.  Repeated rows give repeated
+rows; extra columns are ignored by ``digests`` and kept by ``encode``, but for one
+with the name of its result.
 """
 
 from __future__ import annotations
@@ -94,7 +102,10 @@ class BpeModel:
         self.bytes = [t.encode() if i in special else bytes(of[c] for c in (t[: -len(self.end)] if self.end and t.endswith(self.end) else t)) + (b" " if self.end and t.endswith(self.end) else b"") for i, t in enumerate(self.tokens)]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        if any(len(t.split()) != 1 or t != t.strip() for t in self.special):
+            raise ValueError("special tokens with white space would span certain boundaries")
+        self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.plain_decoder = not spec.get("decoder")
         self.words: dict[str, bytes] = {}
         self.chunks = _Chunks(self, cache_size)
         self.cache_size = cache_size
@@ -168,18 +179,15 @@ class BpeModel:
             yield self.merge([*held[:-1], self.last[b]])
 
     def word(self, word: str) -> bytes:
-        """Ids of one word as little-endian 32-bit integers."""
+        """Ids of one word as little-endian 32-bit integers, as the transducer emits them."""
         out = self.words.get(word)
         if out is None:
             raw = word.encode()
-            if len(raw) > 2048:
-                return b"".join(np.array(x, "<u4").tobytes() for x in self.stream_word(raw[i : i + 1024] for i in range(0, len(raw), 1024)))
-            ids = [self.inner[b] for b in raw]
-            ids[-1] = self.last[raw[-1]]
-            out = b"".join(x.to_bytes(4, "little") for x in self.merge(ids))
-            if len(self.words) >= self.cache_size:
-                self.words.clear()
-            self.words[word] = out
+            out = b"".join(np.array(x, "<u4").tobytes() for x in self.stream_word(raw[i : i + 1024] for i in range(0, len(raw), 1024)))
+            if len(raw) <= 64:
+                if len(self.words) >= self.cache_size:
+                    self.words.clear()
+                self.words[word] = out
         return out
 
     def normal(self, text: str) -> str:
@@ -195,22 +203,47 @@ class BpeModel:
         chunks = self.chunks
         return b"".join([chunks[c] for c in text.split()])
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers; strings of special tokens
-        in the text become their ids, none is added."""
-        if not text:
-            return b""
-        if self.special_pattern is None or "<|" not in text:
+    def section(self, text: str) -> bytes:
+        """Ids of text between certain boundaries; strings of special tokens become their ids, none is added."""
+        if self.special_pattern is None:
             return self._plain(text)
         out, at = [], 0
         for m in self.special_pattern.finditer(text):
             out += [self._plain(text[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return b"".join([*out, self._plain(text[at:])]) if out else self._plain(text)
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers."""
+        return b"".join(Transducer(self).run(text))
 
     def decode(self, ids: Iterable[int]) -> str:
-        """As the tokenizers library does for a file that names no decoder."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        """The whole text of some ids."""
+        machine = TextDecoder(self)
+        return machine.feed(ids) + machine.finish()
+
+
+class Transducer:
+    """Text in pieces to ids: ``feed`` gives those that no later piece can change."""
+
+    def __init__(self, model: BpeModel, piece: int = 1 << 16):
+        self.model, self.piece, self.held = model, piece, ""
+
+    def feed(self, piece: str) -> bytes:
+        held = self.held + piece
+        cut = 1 + max(held.rfind(" "), held.rfind("\n"))
+        self.held = held[cut:]
+        return self.model.section(held[:cut]) if cut else b""
+
+    def finish(self) -> bytes:
+        out, self.held = self.model.section(self.held), ""
+        return out
+
+    def run(self, text: str | None) -> Iterator[bytes]:
+        """The ids of a whole text, piece by piece."""
+        for at in range(0, len(text or ""), self.piece):
+            yield self.feed(text[at : at + self.piece])
+        yield self.finish()
 
 
 class _Chunks(dict):
@@ -229,18 +262,28 @@ class _Chunks(dict):
 
 
 class TextDecoder:
-    """Ids to readable text, piece by piece: a state machine over bytes that holds back an
-    incomplete character only, and turns ends of words into single spaces."""
+    """Ids to text, piece by piece.  For a file that names no decoder tokens stand as they are with
+    single spaces between, as in the tokenizers library; the state is whether any came yet.
+    Otherwise, or with ``readable``, a state machine over bytes that holds back an incomplete
+    character only, and turns ends of words into single spaces."""
 
-    def __init__(self, model: BpeModel):
+    def __init__(self, model: BpeModel, readable: bool = False):
         self.model = model
+        self.bytes = readable or not model.plain_decoder
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.begun = False
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join(map(self.model.bytes.__getitem__, ids)))
+        if self.bytes:
+            return self.state.decode(b"".join(map(self.model.bytes.__getitem__, ids)))
+        out = " ".join(map(self.model.tokens.__getitem__, ids))
+        if out and self.begun:
+            out = " " + out
+        self.begun |= bool(out)
+        return out
 
     def finish(self) -> str:
-        return self.state.decode(b"", True)
+        return self.state.decode(b"", True) if self.bytes else ""
 
 
 def model_of(path: str) -> BpeModel:
@@ -271,13 +314,17 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", i
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         parts = []
         for t in batch.column(text).to_pylist():
-            raw = model.encode(t)
-            back = model.decode(np.frombuffer(raw, "<u4").tolist())
-            out["n_tokens"].append(len(raw) // 4)
-            out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-            if ids:
-                parts.append(raw)
+            n, coded, plain, machine, kept = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder(model), []
+            for raw in Transducer(model).run(t):
+                n += len(raw) // 4
+                coded.update(raw)
+                plain.update(machine.feed(np.frombuffer(raw, "<u4").tolist()).encode())
+                if ids:
+                    kept.append(raw)
+            plain.update(machine.finish().encode())
+            for k, v in zip(out, (n, coded.hexdigest(), plain.hexdigest()), strict=True):
+                out[k].append(v)
+            parts.append(b"".join(kept))
         columns = {key: batch.column(key), **out}
         if ids:
             offsets = np.zeros(len(parts) + 1, np.int32)

@@ -99,6 +99,44 @@ def test_streamed_words_equal_whole_ones(bpe):
         assert got == bpe.merge([*(bpe.inner[b] for b in raw[:-1]), bpe.last[raw[-1]]])
 
 
+def test_every_token_comes_from_the_transducer(library, monkeypatch):
+    """No token is made beside ``stream_word``, and it never holds more than the lookahead and a block."""
+    model = s2.BpeModel(s2.default_vocabulary())
+    made, most = [], 0
+    stream, merge = model.stream_word, model.merge
+
+    def watched(ids):
+        nonlocal most
+        most = max(most, len(ids))
+        return merge(ids)
+
+    def recorded(pieces, block=1024):
+        for x in stream(pieces, block):
+            made.extend(x)
+            yield x
+
+    monkeypatch.setattr(model, "stream_word", recorded)
+    monkeypatch.setattr(model, "merge", watched)
+    text = "Plain words, some twice: words. " + "ab" * 40_000 + " end"
+    ids = np.frombuffer(model.encode(text), "<u4").tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert set(ids) == set(made) and len(made) == len(ids) - 1  # a word that comes again is made once
+    assert most <= model.lookahead + 2 * 1024
+
+
+def test_texts_in_any_pieces_have_the_same_ids(bpe, library):
+    rng = random.Random(41)
+    parts = ["word", " ", "\n", "\x1c", "<|endoftext|>", "é", "e\u0301", "don't", "12", "\u2003", "Σ", "x" * 50]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        want = library.encode(t, add_special_tokens=False).ids
+        for piece in (1, 3, 1000):
+            raw = list(s2.Transducer(bpe, piece).run(t))
+            assert np.frombuffer(b"".join(raw), "<u4").tolist() == want
+            machine = s2.TextDecoder(bpe)
+            assert "".join([machine.feed(np.frombuffer(r, "<u4").tolist()) for r in raw]) + machine.finish() == library.decode(want, skip_special_tokens=False)
+
+
 def test_a_small_merge_list_is_stable_within_its_lookahead():
     merges = [("a", "b"), ("b", "c"), ("ab", "ab"), ("c", "ab"), ("abab", "c")]
     rules = {m: i for i, m in enumerate(merges)}
@@ -133,10 +171,10 @@ def test_a_small_merge_list_is_stable_within_its_lookahead():
 def test_bytes_decode_to_the_same_text_in_any_pieces(bpe):
     text = "naïve 漢字 test 😀 end"
     ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
-    whole = s2.TextDecoder(bpe)
+    whole = s2.TextDecoder(bpe, readable=True)
     expected = whole.feed(ids) + whole.finish()
     assert expected.split() == "naïve 漢字 test 😀 end".split()
-    d = s2.TextDecoder(bpe)
+    d = s2.TextDecoder(bpe, readable=True)
     assert "".join(d.feed([i]) for i in ids) + d.finish() == expected
 
 
