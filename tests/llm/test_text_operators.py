@@ -247,13 +247,43 @@ def test_the_license_plan_has_no_python(spark):
 
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(7)
-    b = s10.Benchmark([(i, " ".join(f"w{rng.integers(0, 400)}" for _ in range(30))) for i in range(50)])
-    queries = np.array([b.prints[rng.integers(0, 50)] ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 40), replace=False)) for _ in range(500)], np.uint64)
-    at, items = b.within(queries, b.windows[0])
-    want = {(i, j) for i, q in enumerate(queries.tolist()) for j, p in enumerate(b.prints) if (q ^ p).bit_count() <= b.radius}
+    b = s10.Benchmark([(i, " ".join(f"w{rng.integers(0, 400)}" for _ in range(30))) for i in range(50)] + [(99, "one two three four five six")])
+    queries = np.array([b.prints[rng.integers(0, 50)] ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 40), replace=False)) for _ in range(1500)], np.uint64)
+    w = b.sizes[0]
+    at, items = b.within(queries, w)
+    want = {(i, j) for i, q in enumerate(queries.tolist()) for j, p in enumerate(b.prints) if b.sizes[j] == w and (q ^ p).bit_count() <= s10.RADIUS}
     assert set(zip(at.tolist(), items.tolist(), strict=True)) == want
 
 
+def test_block_index_leaves_out_random_pairs_and_keeps_similar_ones():
+    rng = np.random.default_rng(17)
+    b = s10.Benchmark([(i, " ".join(f"w{rng.integers(0, 10**6)}" for _ in range(40))) for i in range(200)])
+    queries = rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 1000).astype(np.uint64)
+    assert len(b.met(queries, b.windows[0])[0]) < 0.05 * 1000 * 200
+    held = n = 0
+    while n < 2000:  # similarity of 0.8 at least, mostly near the limit
+        size = int(rng.integers(8, 120))
+        own = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        other = own.copy()
+        other[rng.choice(size, int(rng.integers(1, max(2, size // 9 + 1))), replace=False)] += np.uint64(1)
+        if s10.weighted_similarity(Counter(own.tolist()), Counter(other.tolist())) >= 0.8:
+            x, y = (int(s10.simhash(s10.signs(z).sum(0))) for z in (own, other))
+            held += (x ^ y).bit_count() <= s10.RADIUS
+            n += 1
+    assert held >= 0.97 * n
+
+
+def test_very_long_texts_are_slid_over_in_pieces(monkeypatch):
+    items = [(1, " ".join(f"a{i}" for i in range(30))), (2, " ".join(f"b{i}" for i in range(9)))]
+    b = s10.Benchmark(items)
+    text = " ".join([items[1][1], "x " * 50, items[0][1] + " " + items[0][1], "y " * 70, items[1][1]])
+    want = b.match(text)
+    assert [i for i, *_ in want] == [1, 2]
+    for n in (1, 7, 40):
+        monkeypatch.setattr(s10, "STRETCH", n)
+        assert b.match(text) == want
+
+
 def test_matches_equal_brute_force(spark):
     rng = random.Random(8)
     items = [(i, " ".join(f"t{rng.randint(0, 300)}" for _ in range(rng.randint(3, 40)))) for i in range(12)] + [(50, None), (51, "")]
@@ -267,7 +297,7 @@ def test_matches_equal_brute_force(spark):
             at = rng.randint(0, len(words))
             words[at:at] = own
         docs.append((i, " ".join(words)))
-    docs += [(200, None), (201, ""), (None, items[0][1]), (202, "w " * 30_000)]
+    docs += [(200, None), (201, ""), (None, items[0][1]), (202, "w " * 30_000), (203, "w " * 30_000 + items[1][1] + " w" * 30_000)]
 
     def brute(text):
         w, out = s10.words_of(text), set()
@@ -290,7 +320,7 @@ def test_matches_equal_brute_force(spark):
     for r in found:
         got.setdefault(r["doc_id"], set()).add(r["item_id"])
     for i, t in docs:
-        assert got.get(i, set()) == (brute(t) if len(t or "") < 10_000 else set()), (i, t)
+        assert got.get(i, set()) == (brute(t) if len(t or "") < 10_000 else brute(items[1][1]) if i == 203 else set()), (i, t)
     kept = {r["doc_id"] for r in s10.drop_contaminated(df, bench).collect()}
     assert kept == {i for i, t in docs if not got.get(i)}
     assert s10.find_contamination(df, bench.limit(0)).count() == 0 and s10.find_contamination(df.limit(0), bench).count() == 0
