@@ -13,8 +13,10 @@ that passages which many documents share come last.
    min(|x| - i, |y| - j), so for each place there is a greatest size of partner.
    Rows without a partner of fitting size at a fitting place end here.  Rows of a
    frequent shingle are dealt out by set as well, and kept.
-3. Each set left picks the shingle that most others have.  Sets with the same
-   pick meet in blocks of bounded size, each a prefix tree: a set that looks for
+3. Sets have bitmaps, in which each shingle flips one bit, so those of similar sets
+   differ in at most (|x| + |y|) / 9 bits.  Each set left picks the shingle that most
+   others have, and sets with the same pick meet in blocks of bounded size.  Those
+   with a close bitmap beside them make a prefix tree: a set that looks for
    partners walks it, carries the overlap so far to all sets below, and leaves a
    subtree as soon as the elements still to come, of either side, can't reach the
    overlap needed, or when all sets below are in its class already.  Of each block
@@ -22,9 +24,8 @@ that passages which many documents share come last.
    of near copies in proportion to their size.
 4. A pair may still be in two classes.  Shingles whose sets are of one class are
    done.  Of the others, sets outside the shingle's largest class meet the rest, as
-   bitmaps: each shingle flips one bit, so bitmaps of similar sets differ in at
-   most (|x| + |y|) / 9 bits.  Sets that pass, grouped with those they pass with,
-   go to prefix trees again; groups that several shingles give are joined once.
+   bitmaps.  Sets that pass, grouped with those they pass with, go to prefix trees
+   again; groups that several shingles give are joined once.
 
 Only narrow rows move in these steps; texts of sets that have candidates are
 brought out once, and come to a block together with its narrow rows.  Equal sets
@@ -42,7 +43,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -459,30 +459,60 @@ def near_groups(rows: dict[str, np.ndarray], maps: list[np.ndarray], percent: in
     return out
 
 
-def _near(batches: Iterator[pa.RecordBatch], percent: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Streams rows in the order of their units (a hash that stands for token and blocks); holds whole units of
-    ``rows`` rows or one larger one."""
-    names = [x.split()[0] for x in UNIT.split(", ")]
+def whole_units(batches: Iterator[pa.RecordBatch], rows: int = 4096, most: int = 8 << 20) -> Iterator[pa.Table]:
+    """Tables of whole units from rows in the order of ``unit``: at least so many rows or bytes, or the rest."""
     held: list[pa.RecordBatch] = []
-
-    def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows:
-            columns = {c: table.column(c).to_numpy() for c in ("unit", "role", "set", "n", "place", "class")}
-            found = near_groups(columns, [np.frombuffer(x, "<u8") for x in table.column("bits").to_pylist()], percent)
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
-
+    n = size = 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n < rows and size < most:
             continue
         table = pa.Table.from_batches(held)
         unit = table.column("unit").to_numpy()
         cut = int(np.searchsorted(unit, unit[-1]))
-        yield from close(table.slice(0, cut))
-        held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield from close(pa.Table.from_batches(held))
+        if cut:
+            yield table.slice(0, cut)
+        table = table.slice(cut)
+        held, n, size = table.combine_chunks().to_batches(), table.num_rows, table.nbytes
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in UNIT.split(", ")]
+    for table in whole_units(batches):
+        columns = {c: table.column(c).to_numpy() for c in ("unit", "role", "set", "n", "place", "class")}
+        found = near_groups(columns, [np.frombuffer(x, "<u8") for x in table.column("bits").to_pylist()], percent)
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
+
+
+def unit_links(table: pa.Table, classes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Links within units of (unit, set, n, class, text, bits).  A set without a close bitmap of another class in
+    its unit has no part in its prefix tree."""
+    unit, key, n, cls = (table.column(c).to_numpy() for c in ("unit", "set", "n", "class"))
+    all_ = np.ones(len(unit), bool)
+    met = np.zeros(len(unit), bool)
+    for x, y in close_rows(n, widest(n, 0, percent), cls, [np.frombuffer(b, "<u8") for b in table.column("bits").to_pylist()], unit, all_, all_, percent=percent):
+        met[x] = met[y] = True
+    rows = np.flatnonzero(met)
+    if not len(rows):
+        return
+    texts = table.column("text").take(pa.array(rows)).to_pylist()
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(unit[rows][1:] != unit[rows][:-1]) + 1):
+        of = {int(key[rows[i]]): i for i in part.tolist()}  # a set may come twice
+        sets = [in_order(s, classes).tolist() for s in shingle_sets((texts[i] for i in of.values()), K)]
+        nodes = list(of)
+        for i, j in join_block(sets, percent, [int(cls[rows[i]]) for i in of.values()]):
+            yield nodes[i], nodes[j]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], classes: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    for table in whole_units(batches):
+        found = list(unit_links(table, classes, percent))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
 # The join
@@ -545,23 +575,17 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
     texts = stored(_texts(source, light.where("n > 0"), blocked(picks, 0)), "jaccard-texts")
     released(spark)
 
-    def joined(rows: DataFrame, unit: list[str], name: str) -> DataFrame:
-        """(a, b): links within the units of ``rows(*unit, set, class, text)``."""
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.drop_duplicates("set").sort_values("set", kind="stable")
-            nodes = pdf["set"].tolist()
-            links = []
-            if len(nodes) > 1:
-                sets = [in_order(s, classes.value).tolist() for s in shingle_sets(pdf["text"], K)]
-                links = join_block(sets, percent, pdf["class"].tolist())
-            return pd.DataFrame({"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}, dtype="int64")
+    def joined(rows: DataFrame) -> DataFrame:
+        """(a, b): links within the units of ``rows(unit, set, n, class, text, bits)``."""
+        rows = rows.select("unit", "set", "n", "class", "text", "bits").repartition(parts, "unit").sortWithinPartitions("unit")
+        return stored(rows.mapInArrow(lambda b: _linked(b, classes.value, percent), "a long, b long"), "jaccard-links")
 
-        return stored(rows.select(*unit, "set", "class", "text").groupBy(*unit).applyInPandas(run, "a long, b long"), name)
+    alone = F.col("set").alias("class")
+    pick = F.xxhash64("token", "block").alias("unit")
 
     # the blocks of a shingle, then blocks of their leaders, until each shingle has one block
     members, level, tables = texts, 0, [texts, shared, picks]
-    links = joined(texts.withColumn("class", F.col("set")), ["token", "block"], "jaccard-links")
+    links = joined(texts.select(pick, "set", "n", alone, "text", "bits"))
     while True:
         some = members.where("blocks > 1").withColumn("leader", F.pmod(F.xxhash64("set", F.lit(-1 - level)), F.lit(LEADERS)))
         some = some.groupBy("token", "block", "leader").agg(F.min(F.struct(F.xxhash64("set"), "set", "n")).alias("x")).select("token", "x.set", "x.n")
@@ -570,7 +594,7 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
         if not some.limit(1).count():
             break
         members = stored(blocked(some, level), "jaccard-blocks")
-        more = joined(members.join(texts.select("set", "text"), "set").withColumn("class", F.col("set")), ["token", "block"], "jaccard-links")
+        more = joined(members.select(pick, "set", alone).join(texts.select("set", "n", "text", "bits"), "set"))
         links = links.union(more)
         tables += [members, more]
 
@@ -599,7 +623,7 @@ def set_classes(docs: DataFrame, key: str, text: str, percent: int = PERCENT, bl
     probes = several.where("stray").withColumn("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(unit(F.col("block"), F.col("v")), F.lit(2).alias("role"), *own[1:])
     rows = one.union(targets).union(probes).repartition(parts, "unit").sortWithinPartitions("unit")
     units = stored(rows.mapInArrow(lambda b: _near(b, percent), UNIT).distinct(), "jaccard-units")
-    more = joined(units.hint("merge").join(texts.select("set", "text"), "set"), ["unit"], "jaccard-links")
+    more = joined(units.hint("merge").join(texts.select("set", "n", "text", "bits"), "set"))
     links = links.union(more)
     if by_id:
         ids = light.where("n > 0 and doc_id is not null").select("doc_id", "set").distinct()
