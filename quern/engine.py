@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ class Function:
     """A named function: a query over its input, an expression, or any builder of values."""
 
     apply: Callable[[Scope, list[Value]], Value]
+    state: dict = field(default_factory=dict)
 
 
 class Engine:

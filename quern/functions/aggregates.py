@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..dialect import tree as t
 from ..dialect.lexer import QueryError
 from ..plans.values import Atom, Open, Row, Value
-from .arithmetic import number
+from .arithmetic import divide, logarithm, number
 
 NAN = float("nan")
 
@@ -90,17 +90,18 @@ def build(scope, e: t.Call) -> Value:
             return Atom(F.array_join(F.transform(rows, lambda r: r["v"]), str(sep.const)))
         return Atom(F.aggregate(rows, F.lit(None).cast("string"), lambda acc, r: F.when(acc.isNull(), r["v"]).otherwise(F.concat(acc, r["s"], r["v"]))))
     if name == "pivot":
-        pairs = F.array_sort(F.collect_list(F.struct(args[0].column().cast("string").alias("key"), args[1].column().alias("value"))))
-        names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-        # of several values of a name the largest stays
-        return Open(F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["key"] == n), -1)["value"])))
+        key = args[0].column().cast("string")
+        pairs = F.array_sort(F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("key"), args[1].column().alias("value")))))
+        # of several values of a name the largest stays, the last before another name; null names have no column
+        ends = F.zip_with(pairs, F.slice(pairs, F.lit(2), F.greatest(F.size(pairs), F.lit(1))), lambda p, n: F.when(n.isNull() | (n["key"] != p["key"]), p))
+        return Open(F.map_from_entries(F.filter(ends, lambda p: p.isNotNull())))
     if name == "likelihood_ratio":
         yes = scope.boolean(e.args[1])
 
         def ratio(c: Column) -> Column:
-            a = F.count(F.when(yes & c.isNotNull(), 1)) / F.count(F.when(yes, 1))
-            b = F.count(F.when(~yes & c.isNotNull(), 1)) / F.count(F.when(~yes, 1))
-            return F.ln(a / b)
+            a = divide(F.count(F.when(yes & c.isNotNull(), 1)), F.count(F.when(yes, 1)))
+            b = divide(F.count(F.when(~yes & c.isNotNull(), 1)), F.count(F.when(~yes, 1)))
+            return logarithm(divide(a, b))
 
         return Row({k: Atom(ratio(v.column())) for k, v in args[0].leaves().items()})
     one = ONE.get(name)

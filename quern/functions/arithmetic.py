@@ -45,6 +45,11 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF)).when(a.isNotNull(), F.lit(float("nan")))).otherwise(F.try_divide(a, b))
 
 
+def logarithm(c: Column) -> Column:
+    """The natural logarithm, of 0 -inf and of less NaN."""
+    return F.when(c > 0, F.ln(c)).when(c == 0, F.lit(-INF)).when(c.isNotNull(), F.lit(float("nan")))
+
+
 def unary(scope, op: str, x: Value) -> Value:
     if isinstance(x, Row):
         return Row({k: unary(scope, op, v) for k, v in x.leaves().items()})
@@ -96,7 +101,7 @@ def binary(scope, op: str, x: Value, y: Value) -> Value:
     if isinstance(ka, (*WHOLE, T.BooleanType)) and isinstance(kb, (*WHOLE, T.BooleanType)):
         a, b = a.cast("long"), b.cast("long")
         if op == "%":
-            return Atom(a % b)
+            return Atom(F.try_mod(a, b))
     else:
         a, b = a.cast("double"), b.cast("double")
         if op == "%":
@@ -105,16 +110,12 @@ def binary(scope, op: str, x: Value, y: Value) -> Value:
 
 
 def plain(op: str, a: Column, b: Column) -> Column:
-    if op == "+":
-        return a + b
-    if op == "-":
-        return a - b
-    if op == "*":
-        return a * b
+    """Whole numbers beyond 63 bits, and remainders of 0, are null."""
     if op == "/":
         return divide(a, b)
-    if op == "%":
-        return a % b
+    known = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "%": F.try_mod}
+    if op in known:
+        return known[op](a, b)
     raise QueryError(f"no {op} for embeddings")
 
 

@@ -74,8 +74,7 @@ def each(f: Callable[[Column], Column], scope, x: Value, to_double: bool = True)
     return Atom(f(col.cast("double") if to_double else col))
 
 
-def _log(c: Column) -> Column:
-    return F.when(c > 0, F.ln(c)).when(c == 0, F.lit(-INF)).when(c.isNotNull(), F.lit(NAN))
+_log = a.logarithm
 
 
 UNARY: dict[str, Callable[[Column], Column]] = {
@@ -87,7 +86,7 @@ for _name, _f in UNARY.items():
     FUNCTIONS[_name] = lambda scope, x, _f=_f: each(_f, scope, x)
 
 for _names, _f in {
-    ("pow", "power"): lambda x, y: F.pow(x, y), ("atan2",): F.atan2, ("quantize",): lambda x, y: F.round(x / y) * y,
+    ("pow", "power"): lambda x, y: F.pow(x, y), ("atan2",): F.atan2, ("quantize",): lambda x, y: F.round(a.divide(x, y)) * y,
 }.items():
     for _name in _names:
         FUNCTIONS[_name] = lambda scope, x, y, _f=_f: each(lambda c: _f(c, y.column().cast("double")), scope, x)
@@ -110,7 +109,7 @@ def log(scope, x, y=None):
     if y is None:
         return each(lambda c: _log(c) / math.log(10), scope, x)
     base = x.column().cast("double")
-    return each(lambda c: _log(c) / F.ln(base), scope, y)
+    return each(lambda c: a.divide(_log(c), _log(base)), scope, y)
 
 
 @function("pi")
@@ -146,8 +145,9 @@ def clamp(scope, x, low, high):
 
 def _wilson(trials: Column, good: Column, side: int) -> Column:
     z = 1.2815515655446004  # fixed value: the normal quantile at 0.9
-    n, p = trials.cast("double"), good.cast("double") / trials.cast("double")
-    return (p + z * z / (2 * n) + side * z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    n, p = trials.cast("double"), a.divide(good, trials)
+    share = lambda x, m: a.divide(F.lit(x), m)
+    return a.divide(p + share(z * z, 2 * n) + side * z * F.sqrt(a.divide(p * (1 - p) + share(z * z, 4 * n), n)), 1 + share(z * z, n))
 
 
 @function("binomial_ub_80")
@@ -173,9 +173,23 @@ text("length", F.char_length)
 text("levenshtein_distance", F.levenshtein)
 text("remove_prefix", lambda s, p: F.when(F.startswith(s, p), F.substr(s, F.char_length(p) + 1)).otherwise(s))
 text("remove_suffix", lambda s, p: F.when(F.endswith(s, p), F.substr(s, F.lit(1), F.char_length(s) - F.char_length(p))).otherwise(s))
-text("regex_search", lambda s, p: F.regexp_like(s, p))
-text("regex_match", lambda s, p: F.regexp_like(s, F.concat(F.lit("^(?:"), p, F.lit(")\\z"))))
-text("regex_replace", lambda s, p, r: F.regexp_replace(s, p, F.regexp_replace(F.regexp_replace(r, F.lit(r"\\(\d)"), F.lit(r"\$$1")), F.lit(r"\$&"), F.lit(r"\$0"))))
+def pattern(name: str, f: Callable[..., Column]) -> None:
+    """A constant pattern is looked at while the query is analysed, where ``try`` catches its errors."""
+
+    def checked(scope, *args):
+        if len(args) > 1 and isinstance(args[1], Atom) and isinstance(args[1].const, str):
+            try:
+                scope.df.sparkSession._jvm.java.util.regex.Pattern.compile(args[1].const)
+            except Exception as why:  # the Java side's error
+                raise QueryError(f"bad pattern {args[1].const!r}") from why
+        return Atom(f(*[x.column().cast("string") for x in args]))
+
+    FUNCTIONS[name] = checked
+
+
+pattern("regex_search", lambda s, p: F.regexp_like(s, p))
+pattern("regex_match", lambda s, p: F.regexp_like(s, F.concat(F.lit("^(?:"), p, F.lit(")\\z"))))
+pattern("regex_replace", lambda s, p, r: F.regexp_replace(s, p, F.regexp_replace(F.regexp_replace(r, F.lit(r"\\(\d)"), F.lit(r"\$$1")), F.lit(r"\$&"), F.lit(r"\$0"))))
 
 
 @function("blob_length")
@@ -301,7 +315,7 @@ def fetcher(scope, x):
 def parse_json(scope, x, options=None):
     """A row with open names: dotted paths to texts; numbers are spelled as JSON has them."""
     how = option(options, "arrays", "parse")
-    skip = bool(option(options, "ignoreErrors", False))
+    skip = bool(option(options, "ignoreErrors", False)) or getattr(scope, "trying", False)
     return Open(udfs.flat_json(x.column(), F.lit(how), F.lit(skip)))
 
 
@@ -549,8 +563,8 @@ def normalize(scope, x, p):
     v = vector(scope, x)
     n = _norm(v, float(const(p, "the order of the norm")))
     if isinstance(x, Row):
-        return Row({k: Atom(c.column() / n) for k, c in x.leaves().items()})
-    return Emb(F.transform(v, lambda e: e / n))
+        return Row({k: Atom(a.divide(c.column(), n)) for k, c in x.leaves().items()})
+    return Emb(F.transform(v, lambda e: a.divide(e, n)))
 
 
 def _depth(kind: T.DataType) -> int:
@@ -702,10 +716,15 @@ def _try(scope, e):
     """Errors while a query is analysed give the alternative; expressions themselves are built so
     that bad values give nulls, which take it too."""
     other = scope.value(e.args[1]) if len(e.args) > 1 else None
+    before, scope.trying = getattr(scope, "trying", False), True
     try:
         x = scope.value(e.args[0])
     except (QueryError, ValueError) as why:
         return other or Atom(F.lit(str(why)))
+    finally:
+        scope.trying = before
+    if isinstance(x, Open):  # a row of open names: the alternative, if a value, stands under the name "error"
+        return x if other is None or isinstance(other, Row) else Open(F.coalesce(x.col, F.create_map(F.lit("error"), other.column().cast("string"))))
     if other is None or not isinstance(x, Atom):
         return x
     cols = a.alike(scope, [x.column(), other.column()])

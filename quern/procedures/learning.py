@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
@@ -12,11 +13,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dialect.lexer import QueryError
 from ..engine import Function
+from ..functions.arithmetic import divide
 from ..functions.registry import vector as vector_of
 from ..plans.scope import Scope
 from ..plans.table import ROW, Table, q
 from ..plans.values import Atom, Emb, Row
+from .scoring import SENT, as_function, neighbors_of
 from .tabular import input_table
 
 
@@ -46,7 +50,7 @@ def _distance(x: Column, y: Column, metric: str) -> Column:
     if metric == "cosine":
         nx = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
         ny = F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, e: s + e * e))
-        return 1 - dot / (nx * ny)
+        return 1 - divide(dot, nx * ny)
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
 
 
@@ -203,18 +207,26 @@ def neighbors(engine, dataset: str, functionName: str | None = None, vectorColum
     if functionName:
 
         def apply(scope, args):
+            """The neighbours of each row's vector, or of the named row."""
             v = args[0].fields
-            coords = vector_of(scope, v["coords"]) if isinstance(v["coords"], (Emb, Row)) else None
-            if coords is None:
+            if isinstance(v["coords"], (Emb, Row)):
+                coords = vector_of(scope, v["coords"])
+            else:
                 name = v["coords"].const
                 coords = _literal(table.df.where(q(ROW) == str(name)).select(q(column)).first()[0])
-            point = scope.df.select(coords.alias("x")).first()["x"]
             k = int(v["numNeighbors"].const) if "numNeighbors" in v else numNeighbors
             most = v["maxDistance"].const if "maxDistance" in v else maxDistance
-            d = _distance(q(column).cast("array<double>"), _literal(point), metric)
-            found = table.df.select(q(ROW), d.alias("d"))
-            found = (found.where(F.col("d") <= float(most)) if most is not None else found).orderBy("d", ROW).limit(k).collect()
-            return scope.constant_value({"neighbors": [r[ROW] for r in found], "distances": [float(r["d"]) for r in found]})
+            find = engine.functions[functionName].state.get("find")
+            if find is None:
+                # the points go to all tasks, so their size is checked; a table of queries has no such bound
+                bytes_ = table.df.agg(F.sum(8 * F.size(q(column)) + F.octet_length(q(ROW).cast("string")))).first()[0] or 0
+                if bytes_ > SENT:
+                    raise QueryError(f"{dataset} is too large for a function of neighbours: ask with a table of queries")
+                rows = table.df.where(q(column).isNotNull()).select(q(ROW).cast("string").alias("r"), q(column).cast("array<double>").alias("v")).toArrow()
+                points = np.array(rows.column("v").to_pylist(), float)
+                find = engine.functions[functionName].state["find"] = neighbors_of(engine.spark, rows.column("r").to_pylist(), points, metric)
+            found = find(coords, k, most)
+            return Row({"neighbors": Emb(found["neighbors"]), "distances": Emb(found["distances"])})
 
         engine.functions[functionName] = Function(apply)
     if queries is None:
@@ -268,6 +280,9 @@ class Classifier:
         """Adds ``score``: the chance of true, the value, or chances by class."""
         if self.model is None:
             return df.withColumn("score", F.lit(0.0))
+        if isinstance(self.model, C.OneVsRestModel):  # its own transform knows no names with points
+            p = as_function(df.sparkSession, self.model)(vector_to_array("__x"))
+            return df.withColumn("score", p[1] if self.mode == "boolean" else F.map_from_arrays(F.array(*map(F.lit, self.classes)), p))
         out = self.model.transform(df)
         if self.mode == "regression":
             return out.withColumn("score", F.col("prediction"))
@@ -316,18 +331,23 @@ def classifier(engine, trainingData: str, functionName: str | None = None, algor
 
 
 def _scorer(engine, model: Classifier):
-    """Linear models become column arithmetic; others take one batch prediction of constant input."""
+    """Linear models become column arithmetic; others a function over batches of rows."""
+    state: dict = {}
 
     def apply(scope, args):
         x = _input_vector(scope, args[0].fields.get("features", args[0]) if isinstance(args[0], Row) else args[0], [c.removeprefix("features.") for c in model.columns])
         inner = model.model
-        if inner is not None and hasattr(inner, "coefficients") and (model.mode != "categorical"):
+        if inner is None:
+            return Row({"score": Atom(F.lit(0.0))})
+        if model.mode != "categorical" and hasattr(inner, "coefficients"):
             dot = F.aggregate(F.zip_with(x, _literal(inner.coefficients.toArray()), lambda a, b: a * b), F.lit(float(inner.intercept)), lambda s, e: s + e)
             return Row({"score": Atom(dot if model.mode == "regression" else 1 / (1 + F.exp(-dot)))})
-        point = scope.df.select(x.alias("x")).first()["x"]
-        df = engine.spark.range(1).withColumn("__x", array_to_vector(_literal(point)))
-        score = model.score(df).select("score").first()["score"]
-        return scope.constant_value({"scores": score} if isinstance(score, dict) else {"score": float(score)})
+        if "f" not in state:
+            state["f"] = as_function(engine.spark, inner)
+        chances = state["f"](x)
+        if model.mode == "categorical":
+            return Row({"scores": Row({c: Atom(F.get(chances, F.lit(i))) for i, c in enumerate(model.classes)})})
+        return Row({"score": Atom(F.get(chances, F.lit(0 if model.mode == "regression" else 1)))})
 
     return apply
 
