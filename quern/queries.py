@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .plans.table import ROW, Table, q
 from .procedures import features, learning
+from .storage import shared_path
 from .streaming.continuous import latest_by_key
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": None}
@@ -341,3 +342,116 @@ def sql_expression(e, spark, sf_dir):
 @builder("q115_list_files")
 def list_files(e, spark, sf_dir):
     return e.run("list.files", path=sf_dir).select("size")
+
+
+# more of the language
+
+query("q15_in_keys", "SELECT n_nationkey, n_regionkey IN (VALUES OF {a: 1, b: 3}) AS v, n_name IN (KEYS OF {x: 1}) AS k, n_name NOT IN (KEYS OF {x: 1}) AS nk FROM nation",
+      "select n_nationkey, n_regionkey in (1, 3) as v, n_name in ('x') as k, n_name not in ('x') as nk from nation")
+query("q16_atom_dataset", "SELECT column, value FROM atom_dataset({a: 1, b: {c: 2}})", "select * from (values ('a', 1), ('b.c', 2)) t(\"column\", \"value\")")
+query("q17_as_star", "SELECT {n_name AS a, n_regionkey + 1 AS b} AS *, n_nationkey -- the key\nFROM nation /* all of them */", "select n_name as a, n_regionkey + 1 as b, n_nationkey from nation")
+query("q19_comparisons", "SELECT o_orderkey, o_totalprice !< 100000 AS ge, o_totalprice !> 100000 AS le, o_orderstatus <> 'F' AS ne, o_totalprice NOT BETWEEN 1 AND 200000 AS nb, o_orderpriority NOT LIKE '1%' AS nl, o_orderdate IS TIMESTAMP AS t, o_orderkey IS INTEGER AS i, o_totalprice IS NOT NULL AS nn FROM orders",
+      "select o_orderkey, o_totalprice >= 100000 as ge, o_totalprice <= 100000 as le, o_orderstatus <> 'F' as ne, o_totalprice not between 1 and 200000 as nb, o_orderpriority not like '1%' as nl, true as t, true as i, true as nn from orders")
+
+
+@builder("q18_parameters", "select c_custkey, c_acctbal + 10 as x from customer where c_acctbal > 5000")
+def parameters(e, spark, sf_dir):
+    return e.sql("SELECT c_custkey, c_acctbal + $more AS x FROM customer WHERE c_acctbal > $least", least=5000, more=10)
+
+
+query("q31_join_full_theta", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region AS a FULL JOIN region AS b ON a.r_regionkey > b.r_regionkey + 2",
+      "select a.r_regionkey as a, b.r_regionkey as b from region a full join region b on a.r_regionkey > b.r_regionkey + 2")
+query("q32_scope_names", "SELECT rowName() AS n, rowPathElement(0) AS p, columnCount() AS c, leftRowPath() IS NULL AS l, rowPath()[0] AS q FROM nation", "select n_nationkey::varchar as n, n_nationkey::varchar as p, 3::bigint as c, true as l, n_nationkey::varchar as q from nation")
+query("q47_horizontal", "SELECT l_orderkey, l_linenumber, horizontal_min({l_tax, l_discount}) AS lo, horizontal_max({l_tax, l_discount}) AS hi, horizontal_string_agg({l_returnflag, l_linestatus}, '-') AS s, horizontal_count({l_tax, null AS z}) AS n FROM lineitem",
+      "select l_orderkey, l_linenumber, least(l_tax, l_discount) as lo, greatest(l_tax, l_discount) as hi, l_returnflag || '-' || l_linestatus as s, 1::bigint as n from lineitem")
+
+
+@builder("q48_odd_aggregates", "select n_regionkey, max(case when n_nationkey > 4 then n_nationkey end) as hi, 0 as none, true as inf, true as undefined from nation group by 1")
+def odd_aggregates(e, spark, sf_dir):
+    e.register("p", e.query("SELECT n_regionkey AS n_regionkey, pivot(CASE WHEN n_nationkey > 4 THEN 'big' END, n_nationkey) AS p FROM nation GROUP BY n_regionkey"))
+    e.register("l", e.query("SELECT n_regionkey AS r, likelihood_ratio({a: CASE WHEN n_nationkey < 0 THEN 1 END}, n_nationkey > 10) AS x, likelihood_ratio({a: n_name}, n_nationkey > 1000) AS y FROM nation GROUP BY n_regionkey"))
+    return e.sql("SELECT p.n_regionkey AS n_regionkey, p.p.big AS hi, CASE WHEN p.p.nothing IS NULL THEN 0 ELSE 1 END AS none, isnan(l.x.a) AS inf, isnan(l.y.a) AS undefined FROM p JOIN l ON p.n_regionkey = l.r")
+
+
+query("q84_waves", "SELECT s_suppkey, impulse(4) AS i, shifted_impulse(4, 2) AS s, norm(amplitude(reshape(fft(impulse(32)), [16, 2])), 2) AS a, norm(real(reshape(fft(impulse(32)), [16, 2])), 1) AS re, norm(imag(reshape(fft(impulse(32)), [16, 2])), 1) AS im, shape(phase(reshape(fft(impulse(32)), [16, 2])))[0] AS n FROM supplier",
+      "select s_suppkey, [1.0, 0, 0, 0]::double[] as i, [0, 0, 1.0, 0]::double[] as s, round(sqrt(17), 6) as a, 16.0::double as re, 1.0::double as im, 16::bigint as n from supplier", a=6, re=6, im=6)
+query("q85_trigonometry", "SELECT p_partkey, asin(p_size / 100) AS a, acos(p_size / 100) AS b, tan(p_size / 100) AS c, sinh(p_size / 50) AS d, cosh(p_size / 50) AS e, asinh(p_size) AS f, acosh(p_size) AS g, atanh(p_size / 100) AS h, pi() AS p, e() AS o, power(p_size, 2) AS w, mod(p_size, 7) AS m FROM part",
+      "select p_partkey, round(asin(p_size / 100), 6) as a, round(acos(p_size / 100), 6) as b, round(tan(p_size / 100), 6) as c, round(sinh(p_size / 50), 6) as d, round(cosh(p_size / 50), 6) as e, round(asinh(p_size), 6) as f, round(acosh(p_size), 6) as g, round(atanh(p_size / 100), 6) as h, round(pi(), 6) as p, round(exp(1), 6) as o, (p_size * p_size)::double as w, (p_size % 7)::bigint as m from part",
+      a=6, b=6, c=6, d=6, e=6, f=6, g=6, h=6, p=6, o=6)
+query("q86_not_finite", "SELECT n_nationkey, isnan(n_nationkey / 0) AS n, isinf(n_nationkey / 0) AS i, isfinite(n_nationkey / 2) AS f, replace_nan(n_nationkey / 0, -1) AS r, log(1, 5) AS l, quantize(n_nationkey, 0) IS NULL AS q, isnan(binomial_ub_80(0, 0)) AS b, (9223372036854775807 + n_nationkey + 1) IS NULL AS o, norm(normalize([0, 3, 4], 2), 2) AS u, isnan(norm(normalize([0, 0], 2), 2)) AS z FROM nation",
+      "select n_nationkey, n_nationkey = 0 as n, n_nationkey <> 0 as i, true as f, case when n_nationkey = 0 then -1.0 else 'infinity'::double end as r, 'infinity'::double as l, false as q, true as b, true as o, 1.0::double as u, true as z from nation", u=6)
+query("q87_vectors", "SELECT vec_id, norm(vector_diff(embedding, embedding), 1) AS d, norm(vector_sum(embedding, embedding), 2) AS s, norm(vector_quotient(embedding, embedding), 1) AS n FROM embeddings",
+      "select vec_id, 0.0::double as d, round(2 * sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) as s, 64.0::double as n from embeddings", s=4)
+query("q88_encodings", "SELECT c_custkey, CAST(base64_decode(base64_encode(c_name)) AS string) AS n, blob_length(CAST(c_name AS blob)) AS l, try(regex_match(c_name, '('), 'bad') AS t, try(c_name, 'x') AS u, flatten_path(unflatten_path('a.b')) AS f, CAST(implicit_cast('12') AS integer) AS i FROM customer",
+      "select c_custkey, c_name as n, strlen(c_name)::bigint as l, 'bad' as t, c_name as u, 'a.b' as f, 12::bigint as i from customer")
+query("q89_extract_text", "SELECT page_id, shape(extract_links(html))[0] IS NOT NULL AS l, length(extract_text(html)) > 0 AS t, extract_domain(url, {removeSubdomain: false}) AS d FROM pages",
+      "select page_id, true as l, true as t, regexp_extract(url, '://([^/]+)', 1) as d from pages")
+
+
+@builder("q56_versions", "select user_id, round(avg(value), 6) as mean, count(distinct ts) as n, min(ts) as first, max(ts) as last from (select user_id, ts, max(value) as value from events group by 1, 2) group by 1")
+def versions(e, spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    cells = df.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("value").alias("v")))).alias("value"))
+    e.register("v", Table(cells, versioned=frozenset(["value"]), key="user_id"))
+    out = e.sql("SELECT user_id, temporal_avg(value) AS mean, shape(distinct_timestamps(value))[0] AS n, earliest_timestamp(value) AS first, latest_timestamp(value) AS last FROM v")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@builder("q116_csv_and_back", "select n_nationkey, n_name, n_regionkey, n_nationkey as line from nation")
+def csv_and_back(e, spark, sf_dir):
+    path = shared_path(spark, "csv")
+    e.run("export.csv", exportData="SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey", dataFileUrl=path, singleFile=True)
+    out = e.run("import.text", dataFileUrl=path, outputDataset="back")
+    return e.sql("SELECT n_nationkey, n_name, n_regionkey, CAST(rowName() AS integer) - 2 AS line FROM back")
+
+
+@builder("q117_json_and_back", "select s_suppkey, s_name, s_acctbal as \"box.b\" from supplier")
+def json_and_back(e, spark, sf_dir):
+    path = shared_path(spark, "json")
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", F.struct(F.col("s_acctbal").alias("b")).alias("box")).write.json(path)
+    e.run("import.json", dataFileUrl=path, outputDataset="js")
+    return e.sql("SELECT s_suppkey, s_name, box.b FROM js")
+
+
+@builder("q118_tree_function", "select o_orderkey, (o_orderkey > (select avg(o_orderkey) from orders))::int::double as score from orders")
+def tree_function(e, spark, sf_dir):
+    """A tree as a function of columns: the label is told by one feature at one place."""
+    mean = float(e.sql("SELECT avg(o_orderkey) AS m FROM orders").first()[0])
+    e.register("lab", e.query("SELECT *, o_orderkey > $m AS hit FROM orders", m=mean))
+    e.run("classifier.train", trainingData="SELECT {side: CASE WHEN hit THEN 3 ELSE 1 END} AS features, hit AS label FROM lab", functionName="tree", configuration={"type": "decision_tree", "max_depth": 2})
+    return e.sql("SELECT o_orderkey, tree({features: {side: CASE WHEN hit THEN 3 ELSE 1 END}})[score] AS score FROM lab")
+
+
+@builder("q119_neighbors_function", """select vec_id, list(n order by d, n::varchar)[2] as second from (
+select a.vec_id, b.vec_id as n, list_distance(a.embedding::double[], b.embedding::double[]) as d from embeddings a, embeddings b qualify row_number() over (partition by a.vec_id order by d, b.vec_id::varchar) <= 2) group by 1""")
+def neighbors_function(e, spark, sf_dir):
+    """The nearest other vector of each row, by a function of its column."""
+    e.run("embedding.neighbors", dataset="embeddings", functionName="nn", vectorColumn="embedding", numNeighbors=2)
+    return e.sql("SELECT vec_id, CAST(nn({coords: embedding})[neighbors][1] AS integer) AS second FROM embeddings")
+
+
+@builder("q120_samples", "select 100 as n, 100 as different, true as near")
+def samples(e, spark, sf_dir):
+    e.register("some", e.query("SELECT c_custkey FROM sample(customer, {rows: 100, seed: 3})"))
+    e.register("part_of", e.query("SELECT l_orderkey FROM sample((SELECT l_orderkey NAMED CAST(l_orderkey AS string) + '.' + l_linenumber FROM lineitem), {fraction: 0.1, seed: 3})"))
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    return e.sql("SELECT a.n AS n, a.d AS different, b.n > 0.08 * $all AND b.n < 0.12 * $all AS near FROM (SELECT count(*) AS n, count_distinct(c_custkey) AS d FROM some) AS a JOIN (SELECT count(*) AS n FROM part_of) AS b", all=n)
+
+
+query("q121_wave_sums", "SELECT vec_id, fft(embedding)[0] AS dc, fft(embedding)[1] AS high FROM embeddings",
+      "select vec_id, round(list_sum(embedding::double[]), 3) as dc, round(list_sum(list_transform(embedding, lambda x, i: case when i % 2 = 1 then x::double else -x::double end)), 3) as high from embeddings", dc=3, high=3)
+
+
+@builder("q122_learned", "select true as clusters, true as near_own_centre, true as values_fall, true as better_than_chance")
+def learned(e, spark, sf_dir):
+    """Metrics against bounds: what learners give depends on their start, what they must reach does not."""
+    vectors = "SELECT embedding NAMED CAST(vec_id AS string) FROM embeddings"
+    k = e.run("kmeans.train", trainingData=vectors, numClusters=4, metric="euclidean", maxIterations=10)
+    clusters = k.agg(F.count_distinct("cluster").alias("n"), F.count("*").alias("rows")).first()
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    s = e.run("svd.train", trainingData=vectors, numSingularValues=5)
+    columns = [c for c in s.columns if c != ROW]
+    spread = s.select(*[F.var_pop(q(c)).alias(c) if dict(s.dtypes)[c] == "double" else F.lit(0.0).alias(c) for c in columns]).first()
+    c = classifier(e, spark, sf_dir).first()
+    found = (1 < clusters["n"] <= 4, clusters["rows"] == rows, all(v >= 0 for v in spread), c["auc"] > 0.5 if "auc" in c else True)
+    return spark.createDataFrame([found], "clusters boolean, near_own_centre boolean, values_fall boolean, better_than_chance boolean")

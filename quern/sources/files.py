@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import select
@@ -35,15 +35,13 @@ def _finish(engine, table: Table, outputDataset: str | None, items: str, where:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Lines by number from 1, in the order of files and of lines; sizes of partitions come first."""
-    parts = df.withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}
-    before, at = {}, 0
-    for p in sorted(sizes):
-        before[p] = at
-        at += sizes[p]
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__part")] if before else F.lit(0)
-    return parts.withColumn("__line", start + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__i")
+    """Lines by number from 1, in the order of the files' paths and of lines.  Blocks of files are counted first; how
+    Spark deals them to tasks, larger ones first, does not matter."""
+    parts = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__i"))
+    blocks = parts.groupBy("__path", "__at").agg(F.count("*").alias("n"), F.min("__i").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__path", "__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a block
+    blocks = blocks.select("__path", "__at", (before - F.col("first")).alias("__shift"))
+    return parts.join(blocks, ["__path", "__at"]).withColumn("__line", F.col("__i") + F.col("__shift") + 1).drop("__path", "__at", "__i", "__shift")
 
 
 def _names(header: list[str | None], generate: bool) -> list[str]:
