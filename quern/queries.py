@@ -373,7 +373,7 @@ def odd_aggregates(e, spark, sf_dir):
     return e.sql("SELECT p.n_regionkey AS n_regionkey, p.p.big AS hi, CASE WHEN p.p.nothing IS NULL THEN 0 ELSE 1 END AS none, isnan(l.x.a) AS inf, isnan(l.y.a) AS undefined FROM p JOIN l ON p.n_regionkey = l.r")
 
 
-query("q84_waves", "SELECT s_suppkey, impulse(4) AS i, shifted_impulse(4, 2) AS s, norm(amplitude(reshape(fft(impulse(32)), [16, 2])), 2) AS a, norm(real(reshape(fft(impulse(32)), [16, 2])), 1) AS re, norm(imag(reshape(fft(impulse(32)), [16, 2])), 1) AS im, shape(phase(reshape(fft(impulse(32)), [16, 2])))[0] AS n FROM supplier",
+query("q84_waves", "SELECT s_suppkey, impulse(4) AS i, shifted_impulse(4, 2) AS s, norm(amplitude(reshape(z, [16, 2])), 2) AS a, norm(real(reshape(z, [16, 2])), 1) AS re, norm(imag(reshape(z, [16, 2])), 1) AS im, shape(phase(reshape(z, [16, 2])))[0] AS n FROM (SELECT s_suppkey, fft(impulse(32)) AS z FROM supplier) AS w",
       "select s_suppkey, [1.0, 0, 0, 0]::double[] as i, [0, 0, 1.0, 0]::double[] as s, round(sqrt(17), 6) as a, 16.0::double as re, 1.0::double as im, 16::bigint as n from supplier", a=6, re=6, im=6)
 query("q85_trigonometry", "SELECT p_partkey, asin(p_size / 100) AS a, acos(p_size / 100) AS b, tan(p_size / 100) AS c, sinh(p_size / 50) AS d, cosh(p_size / 50) AS e, asinh(p_size) AS f, acosh(p_size) AS g, atanh(p_size / 100) AS h, pi() AS p, e() AS o, power(p_size, 2) AS w, mod(p_size, 7) AS m FROM part",
       "select p_partkey, round(asin(p_size / 100), 6) as a, round(acos(p_size / 100), 6) as b, round(tan(p_size / 100), 6) as c, round(sinh(p_size / 50), 6) as d, round(cosh(p_size / 50), 6) as e, round(asinh(p_size), 6) as f, round(acosh(p_size), 6) as g, round(atanh(p_size / 100), 6) as h, round(pi(), 6) as p, round(exp(1), 6) as o, (p_size * p_size)::double as w, (p_size % 7)::bigint as m from part",
@@ -439,7 +439,7 @@ def samples(e, spark, sf_dir):
 
 
 query("q121_wave_sums", "SELECT vec_id, fft(embedding)[0] AS dc, fft(embedding)[1] AS high FROM embeddings",
-      "select vec_id, round(list_sum(embedding::double[]), 3) as dc, round(list_sum(list_transform(embedding, lambda x, i: case when i % 2 = 1 then x::double else -x::double end)), 3) as high from embeddings", dc=3, high=3)
+      "select vec_id, round(list_sum(embedding::double[]), 3) + 0.0 as dc, round(list_sum(list_transform(embedding, lambda x, i: case when i % 2 = 1 then x::double else -x::double end)), 3) + 0.0 as high from embeddings", dc=3, high=3)
 
 
 @builder("q122_learned", "select true as clusters, true as near_own_centre, true as values_fall, true as better_than_chance")
