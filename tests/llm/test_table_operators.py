@@ -282,11 +282,46 @@ def test_topk_of_queries_that_repeat_an_id(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(6)
-    x = np.floor(rng.normal(0, 500, (300, 16)))
-    m2 = float((x * x).sum(1).max())
-    p = k.PivotTable(x[:5], m2)
-    for q in x[:20]:
-        assert (p.bounds(p.rows(x), q) >= x @ q).all()
+    x = np.floor(rng.normal(0, 500, (300, 16)) * rng.choice([1, 1, 20, 1e12], (300, 1)))
+    n2 = (x * x).sum(1)
+    p = k.PivotTable(k.far_apart(x, 12))
+    for pivots in (p, k.PivotTable(k.far_apart(np.r_[x[:3], x[:3] * 2, x[:1] + x[1:2]], 12))):
+        rows = k.Rows(np.arange(300), x, n2, pivots.rows(x, n2), pivots)
+        for i in range(20):
+            q = k.Query(i, x[i], pivots)
+            assert (pivots.alone(rows.table, n2, q.far, q.q2) >= x @ q.q).all()
+            assert (pivots.together(*rows.span, q) >= x @ q.q).all()
+
+
+def test_most_rows_of_clusters_are_not_evaluated():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1000, (40, 32))
+    x = np.floor(centres[rng.integers(0, 40, 6000)] + rng.normal(0, 120, (6000, 32)))
+    x[0] *= 30  # a vector of large norm spoils no other's bound
+    ids, n2 = np.arange(len(x)), (x * x).sum(1)
+    some = rng.choice(len(x), 600, replace=False)
+    p = k.PivotTable(k.far_apart(x[some], 24))
+    rows = k.Rows(ids, x, n2, p.rows(x, n2), p)
+    asked = [(int(i), x[i]) for i in rng.choice(np.arange(1, len(x)), 40, replace=False)]
+    evaluated = 0
+    for (i, q), least in zip(asked, k.least_scores(ids[some], x[some], asked, 10), strict=True):
+        best, n = k.search_block(rows, k.Query(i, q, p, least), 10, [])
+        evaluated += n
+        s = (x @ q).astype(np.int64)
+        assert best == sorted((-int(s[j]), j) for j in range(len(x)) if j != i)[:10]
+    assert evaluated < 0.3 * 40 * len(x)
+
+
+def test_pivots_together_leave_out_most_random_vectors():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (20_000, 64))
+    x = np.floor(1024 * x / np.sqrt((x * x).sum(1))[:, None])
+    n2, ids = (x * x).sum(1), np.arange(len(x))
+    p = k.PivotTable(k.far_apart(x[:4096], k.PIVOTS))
+    rows = k.Rows(ids, x, n2, p.rows(x, n2), p)
+    asked = [(i, x[i]) for i in range(5000, 5020)]
+    evaluated = sum(k.search_block(rows, k.Query(i, q, p, t), 10, [])[1] for (i, q), t in zip(asked, k.least_scores(ids[:4096], x[:4096], asked, 10), strict=True))
+    assert evaluated < 0.2 * 20 * len(x)
 
 
 # dedup
