@@ -12,7 +12,8 @@ from ..plans.values import Emb, Open, Row, Value
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order.  Spark keeps the first of each key in a task before it deals
+    rows out (WindowGroupLimit), so a frequent key sends one row a task."""
     w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)]))
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 

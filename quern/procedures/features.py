@@ -11,6 +11,7 @@ from ..plans import select
 from ..plans.scope import Scope
 from ..plans.table import ROW, Table, q
 from ..plans.values import Atom, Open, Row
+from ..storage import stored
 from .tabular import input_table
 
 IDF = {
@@ -94,19 +95,33 @@ def _ordered(engine, data: str, orderBy: str | None):  # noqa: N803
     return table, scope, [*keys, (F.xxhash64(q(ROW)), True), (q(ROW), True)]
 
 
+def _sums_before(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each row the sums over the rows of its key that come before it.  Rows are dealt in ranges of key and
+    order; a range adds what the ranges before it hold of the key, so a frequent key takes many tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(n, F.col(key), *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__part", key).agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
+    parts = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = totals.select(F.col("__part").alias("__p"), F.col(key).alias("__k"), *[F.coalesce(F.sum(f"__t{i}").over(parts), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))])
+    within = Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(totals, (F.col("__part") == F.col("__p")) & F.col(key).eqNullSafe(F.col("__k")))
+    return out.select(*df.columns, *[(F.col(f"__b{i}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for i, (name, c) in enumerate(sums.items())])
+
+
 def stats_table(engine, trainingData: str, outcomes: list[tuple[str, str]], select: str = "*", outputDataset: str | None = None, functionName: str | None = None, orderBy: str | None = None, **_: object) -> DataFrame:  # noqa: N803
     """For each column, how often its value was seen before, and with each outcome."""
     table, scope, order = _ordered(engine, trainingData, orderBy)
     columns = engine.select_items(table, select)
     hits = [(name, scope.boolean(parse_expr(text))) for name, text in outcomes]
-    df = table.df.select(q(ROW), *[c.alias(f"__c{i}") for i, (_, c) in enumerate(columns)], *[F.coalesce(h.cast("long"), F.lit(0)).alias(f"__h{i}") for i, (_, h) in enumerate(hits)], *[c.alias(f"__o{i}") for i, (c, _) in enumerate(order)])
-    sort = [F.col(f"__o{i}").asc() if up else F.col(f"__o{i}").desc() for i, (_, up) in enumerate(order)]
-    out = [q(ROW)]
+    sort = [f"__o{i}" for i in range(len(order))]
+    down = [F.col(c).asc() if up else F.col(c).desc() for c, (_, up) in zip(sort, order, strict=True)]
+    df = table.df.select(q(ROW), *[c.alias(f"__c{i}") for i, (_, c) in enumerate(columns)], *[F.coalesce(h.cast("long"), F.lit(0)).alias(f"__h{i}") for i, (_, h) in enumerate(hits)], *[c.alias(s) for s, (c, _) in zip(sort, order, strict=True)])
+    result, names = df, []
     for i, (name, _) in enumerate(columns):
-        before = Window.partitionBy(f"__c{i}").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
-        out.append(F.count(F.lit(1)).over(before).alias(f"trial-{name}"))
-        out += [F.coalesce(F.sum(f"__h{j}").over(before), F.lit(0)).alias(f"{o}-{name}") for j, (o, _) in enumerate(hits)]
-    result = df.select(*out)
+        sums = {f"trial-{name}": F.lit(1)} | {f"{o}-{name}": F.col(f"__h{j}") for j, (o, _) in enumerate(hits)}
+        result = _sums_before(result, f"__c{i}", down, sums)
+        names += sums
+    result = result.select(q(ROW), *map(q, names))
     if outputDataset:
         engine.register(outputDataset, result)
     if functionName:

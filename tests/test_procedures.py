@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.plans.table import ROW
+from quern.procedures import learning
 from quern.streaming.continuous import Continuous
 
 
@@ -129,3 +130,43 @@ def test_permuter_and_serial(engine, spark):
     out = engine.run("permuter.run", procedure={"type": "transform", "params": {"inputData": "n"}}, permutations={"outputDataset": ["p1", "p2"]})
     assert len(out) == 2 and engine.table("p2").df.count() == 3
     assert len(engine.run("serial", steps=[{"type": "null"}, {"type": "transform", "params": {"inputData": "SELECT id FROM n"}}])) == 2
+
+
+def test_models_as_functions_of_columns(engine, spark):
+    """Every row gets its own score, that of the model's batch prediction."""
+    engine.register("cols", spark.createDataFrame([(str(i), float(i), i >= 50, "abc"[i // 34]) for i in range(100)], f"{ROW} string, x double, hit boolean, kind string"))
+    for kind in ("decision_tree", "bagging", "boosting", "naive_bayes", "glz", "onevsall"):
+        model = engine.run("classifier.train", trainingData="SELECT {x} AS features, kind AS label FROM cols", functionName="f", configuration={"type": kind}, mode="categorical")
+        got = {r["x"]: [r["s.a"], r["s.b"], r["s.c"]] for r in engine.sql("SELECT x, f({features: {x}})[scores] AS s FROM cols").collect()}
+        _, df, _ = learning._training(engine, "SELECT {x} AS features, kind AS label, x AS x FROM cols")
+        for r in model.score(df).select("x", "score").collect():
+            assert got[r["x"]] == pytest.approx([r["score"][k] for k in "abc"], abs=1e-6), kind
+    engine.run("classifier.train", trainingData="SELECT {x} AS features, hit AS label FROM cols", functionName="t", configuration={"type": "decision_tree"})
+    assert {r["x"]: r["s"] for r in engine.sql("SELECT x, t({features: {x}})[score] AS s FROM cols").collect()} == {float(i): float(i >= 50) for i in range(100)}
+
+
+def test_neighbors_of_each_row(engine, spark):
+    engine.register("line", spark.createDataFrame([(str(i), [float(i), 0.0]) for i in range(5)] + [("none", None)], f"{ROW} string, v array<double>"))
+    engine.run("embedding.neighbors", dataset="line", functionName="nn", numNeighbors=2)
+    got = [tuple(r) for r in engine.sql("SELECT rowName() AS k, nn({coords: v})[neighbors] AS n FROM line").collect()]
+    assert sorted(got, key=str) == sorted([("0", ["0", "1"]), ("1", ["1", "0"]), ("2", ["2", "1"]), ("3", ["3", "2"]), ("4", ["4", "3"]), ("none", None)], key=str)
+
+
+def test_rolling_sums_of_a_frequent_key(engine, spark):
+    engine.register("hot", spark.range(500).selectExpr("cast(id as string) as `_rowName`", "if(id % 50 = 0, null, if(id % 10 = 0, 'rare', 'often')) as k", "id as t"))
+    out = engine.run("statsTable.train", trainingData="SELECT k, t FROM hot", select="k", outcomes=[("even", "t % 2 = 0")], orderBy="t")
+    seen = {}
+    want = {}
+    for i in range(500):
+        k = None if i % 50 == 0 else "rare" if i % 10 == 0 else "often"
+        n, e = seen.get(k, (0, 0))
+        want[str(i)] = (n, e)
+        seen[k] = (n + 1, e + (i % 2 == 0))
+    assert {r[ROW]: (r["trial-k"], r["even-k"]) for r in out.collect()} == want
+
+
+def test_lines_are_numbered_in_the_order_of_files(engine, tmp_path):
+    (tmp_path / "a.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(3)))
+    (tmp_path / "b.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(100, 5000)))
+    out = engine.run("import.json", dataFileUrl=str(tmp_path), limit=4)
+    assert sorted(r["a"] for r in out.collect()) == [0, 1, 2, 100]
