@@ -671,9 +671,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     kept = stored(kept.union(of.where("class is null").select("doc_id", "hash")).distinct(), "jaccard-kept")
     again = of.join(kept, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     own = docs.where(F.col(f"`{key}`").isNotNull())
-    match = (F.col(f"`{key}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__hash"))
+    mark = max((len(c) for c in docs.columns), default=0) * "_"  # longer than any other name
+    kept = kept.select(F.col("doc_id").alias(mark + "id"), F.col("hash").alias(mark + "hash"))
+    match = (F.col(f"`{key}`").cast("long") == F.col(mark + "id")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col(mark + "hash"))
     # by merging at every size, so that what moves stays in proportion
-    own = own.join(kept.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).hint("merge"), match, "left_semi")
+    own = own.join(kept.hint("merge"), match, "left_semi")
     if again:  # rows that repeat id and text
         own = own.dropDuplicates([key, text])
     return own.union(docs.where(F.col(f"`{key}`").isNull()))

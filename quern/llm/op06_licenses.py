@@ -17,7 +17,9 @@ containment 0.8 holds an anchor.  Only texts and windows with an anchor go on.
 
 The templates are a parameter, sent to all tasks as literals of the plan.  A null
 or empty text matches nothing; so does a template without words.  Rows that
-repeat a doc_id give one row for each license found in any of them.  Nothing is
+repeat a doc_id, and rows with a null one, give one row for each license found in
+any of them; of windows that match alike the first counts.  Other columns don't
+matter, whatever their names.  Nothing is
 grouped but matches, so common texts make no hot task beyond their matches.
 """
 

@@ -27,8 +27,9 @@ out.  Character references are decoded once; white space within a block becomes
 one space; blocks follow in page order, each on a line.  br is white space.
 
 Wrappers are broadcast when their total size is below a limit, and joined by host
-otherwise.  Null html gives an empty text; a null url has the empty host.
-Repeated rows give repeated rows; extra columns are ignored.
+otherwise.  Null html gives an empty text; a null url has the empty host, a null
+page_id stays null.  Repeated rows give repeated rows and count once; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ where they are much more frequent in toxic documents.
 Two bounds, both parameters: the scorer is fitted on at most ``sample`` documents,
 and its toxic head on at most ``labelled`` rows of ``labels``, chosen by hash.
 Everything else covers every document.  Texts are read whole.  A null or empty
-text has no votes and is scored as good.  Repeated rows count and are scored each.
+text has no votes and is scored as good; a null doc_id has no label and stays null.
+Repeated rows count and are scored each, equal texts alike.  Rows of ``labels`` that
+repeat a doc_id count as toxic if one of them says so.  Other columns don't matter,
+whatever their names, and stay in ``keep_good``.
 """
 
 from __future__ import annotations
@@ -257,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
     chosen: dict[int, int] = {}
     if labels is not None:
         rows = labels.select(F.col("doc_id").cast("long").alias("d"), F.col("toxic").cast("int").alias("t")).where("d is not null and t is not null")
+        rows = rows.groupBy("d").agg(F.max("t").alias("t"))
         chosen = {r["d"]: int(r["t"] > 0) for r in rows.orderBy(F.xxhash64("d"), "d").limit(labelled).collect()}
     total = docs.count()
     cut = int(min(1.0, sample / max(1, total)) * (1 << 32))
@@ -289,6 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
     shape, shape_bias = logistic(values, of, y)
     known = seen.where("kind = 2")
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if sum(n.values()) > 2 * labelled:  # rows that repeat labelled ids: what comes to the driver stays bounded
+        known = stored(known.dropDuplicates(["y", "features"]).limit(2 * labelled), "quality-labelled")
+        n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     telling = _candidates(known, n.get(1, 0), n.get(0, 0))
     some = spark.sparkContext.broadcast(np.array(sorted(telling), np.int64))
 

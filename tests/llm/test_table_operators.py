@@ -459,3 +459,53 @@ def test_pipeline_keeps_clean_documents(spark):
     last = p.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() and last.where("size(ids) <> n_tokens").count() == 0
     assert sorted(r["doc_id"] for r in p.run(spark, sf).collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, empty and very long texts, repeated rows, null ids, an item of the benchmark and columns that clash."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id = 0 or length(text) > 60").orderBy("item_id").first()["text"]
+    clean = base.where("doc_id = 0").first()["text"] or "a b c"
+    rng = random.Random(12)
+    words = clean.split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    odd = [(9001, None), (9002, ""), (9003, prose(60_000)), (9004, prose(40)), (9004, None), (None, prose(30)), (None, None), (9005, prose(50) + " " + item + " " + prose(50)), (9006, prose(30) + " password=abcdefgh12 " + prose(30))]
+    odd += [odd[3], odd[3]]
+    extra = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("odd"), "n_chars": F.length("text").cast("long")})
+    docs = base.select("doc_id", "text", "lang", "source", "n_chars").union(extra)
+    docs = docs.withColumns({"component_id": F.lit(1), "keep": F.lit("x"), "ids": F.lit(2.5), "item_id": F.lit(3), "hash": F.lit(4), "set": F.lit(5), "n": F.lit(6), "__id": F.lit(7)})
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        before = [(r["doc_id"], r["text"]) for r in now.collect()]
+        now = common.stored(stage(spark, now, str(tmp_path)), "t")
+        after = Counter((r["doc_id"], r["text"]) for r in now.collect())
+        assert now.columns == docs.columns, name
+        if name.startswith("quality"):
+            assert after[9001, None] == 1 and after[9002, ""] == 1 and after[None, None] == 1
+        if name.startswith("n-gram"):
+            assert sum(n for (i, t), n in after.items() if i == 9004 and t) == min(1, sum(i == 9004 and bool(t) for i, t in before)) and after[9004, None] == 1 and after[None, None] == 1
+            ids = {i for i, t in before if i is not None}
+            classes = brute_classes([(i, t) for i, t in dict(before).items() if i in ids and i < 9000])
+            assert {i for i, _ in after if i is not None and i < 9000} == {i for i, (_, c) in classes.items() if c == i}
+        if name.startswith("benchmark"):
+            assert 9005 not in {i for i, _ in after} and after[9001, None] == 1
+        if name.startswith("secret"):
+            assert all("password=abcdefgh12" not in (t or "") for _, t in after)
+            assert len(before) == sum(after.values())
+    last = p.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert len(last) == now.count() and {r["n_tokens"] for r in last if r["doc_id"] in (9001, 9002)} == {0}
+    assert Counter(r["doc_id"] for r in p.run(spark, str(tmp_path)).collect()) == Counter(r["doc_id"] for r in last)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
