@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,6 +206,17 @@ def in_order(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[high[np.argsort(c[high], kind="stable")]]])
 
 
+def by_bytes(batch: pa.RecordBatch, column: int | str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have so many bytes at most, or that are one row: what is made of them at a time
+    stays small, whatever the lengths of texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 LIGHT = "doc_id long, hash long, set long, n long"
 
 
@@ -214,8 +226,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in LIGHT.split(", ")]
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
+        for some in by_bytes(batch, 2):
             sets = shingle_sets(some.column(2).to_pylist(), K)
             np.add.at(counts, bucket_of(np.concatenate(sets)), 1)
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], names=names)
@@ -248,9 +259,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], classes: np.ndarray, percent: i
     salts = np.array([max(0, c - together.bit_length() + 1) for c in range(256)])
     seen: set[int] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
+        for some in by_bytes(batch, 0):
             tokens, keys, sizes, bounds, cls = [], [], [], [], []
-            for s in shingle_sets(batch.column(0).slice(at, 2000).to_pylist(), K):
+            for s in shingle_sets(some.column(0).to_pylist(), K):
                 k = set_key(s)
                 if not len(s) or k in seen:
                     continue
@@ -533,8 +544,7 @@ def _texts(source: DataFrame, light: DataFrame, wanted: DataFrame) -> DataFrame:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # rows that repeat id and text come together
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in by_bytes(batch, "t"):
                 sets = shingle_sets(some.column("t").to_pylist(), K)
                 keep = []
                 for s, k in zip(sets, some.column("set").to_pylist(), strict=True):

@@ -20,7 +20,7 @@ class _Hashes(dict):
     """Word to hash, filled on demand and emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
