@@ -388,13 +388,13 @@ query("q89_extract_text", "SELECT page_id, shape(extract_links(html))[0] IS NOT
       "select page_id, true as l, true as t, regexp_extract(url, '://([^/]+)', 1) as d from pages")
 
 
-@builder("q56_versions", "select user_id, round(avg(value), 6) as mean, count(distinct ts) as n, min(ts) as first, max(ts) as last from (select user_id, ts, max(value) as value from events group by 1, 2) group by 1")
+@builder("q56_versions", "select user_id, round(avg(value), 3) as mean, count(distinct ts) as n, min(ts) as first, max(ts) as last from (select user_id, ts, max(value) as value from events group by 1, 2) group by 1")
 def versions(e, spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     cells = df.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("value").alias("v")))).alias("value"))
     e.register("v", Table(cells, versioned=frozenset(["value"]), key="user_id"))
     out = e.sql("SELECT user_id, temporal_avg(value) AS mean, shape(distinct_timestamps(value))[0] AS n, earliest_timestamp(value) AS first, latest_timestamp(value) AS last FROM v")
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", F.round("mean", 3))
 
 
 @builder("q116_csv_and_back", "select n_nationkey, n_name, n_regionkey, n_nationkey as line from nation")
