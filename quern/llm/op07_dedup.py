@@ -14,8 +14,8 @@ make a *run*.  Runs, not strings, are what moves:
    comparison of bytes.  This is a stream over rows sorted by anchor; it holds the
    runs of one anchor, and of a frequent one no more than a bounded number.
 3. Shards of such runs are sorted by their suffixes: suffixes are classified, the
-   leftmost-smaller substrings sorted and named, and the array is induced from
-   them; permuted common prefixes then tell which neighbours share ``least`` bytes,
+   leftmost-smaller substrings sorted and named, their names sorted recursively, and
+   the array is induced from them; permuted common prefixes then tell which neighbours share ``least`` bytes,
    and each such group keeps its earliest string.
 4. An anchor with more different runs than a shard should hold is not gathered:
    its strings are compared by 128-bit hash, combined before the shuffle.
@@ -127,7 +127,7 @@ def shard_spans(pieces: list[tuple[int, int, bytes]], least: int = LEAST) -> lis
     """(run's name, from, to) of the bytes that go, of runs (name, first string, bytes) in order."""
     # no mark is needed between runs: strings that would cross are left out below
     text = b"".join(p for _, _, p in pieces)
-    sa = suffix_array(np.frombuffer(text, np.uint8), least)
+    sa = suffix_array(np.frombuffer(text, np.uint8))
     same = permuted_prefixes(text, sa, least)
     inside = np.zeros(len(text), bool)
     at = 0

@@ -1,9 +1,19 @@
-"""Suffix arrays by induced sorting, in whole-array steps, and permuted common prefixes."""
+"""Suffix arrays by induced sorting and permuted common prefixes.
+
+Suffixes are classified, the leftmost-smaller substrings sorted and named, the string of names sorted
+in the same way, and the array induced from that order [Nong, Zhang, Chan, "Linear Suffix Array
+Construction by Almost Pure Induced-Sorting", 2009].
+"""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
+#: Symbols up to which buckets are swept as whole arrays.
+SWEPT = 1024
+
 
 def s_types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last symbol must be the only least one."""
@@ -91,47 +101,41 @@ def _same_pieces(t: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray
     return same
 
 
-def rank_names(names: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffix order of a string of names: names are ranked in pairs, then pairs of pairs, until
-    all differ or ``depth`` names are compared.  It stands for the recursion, whose alphabet is too
-    large to sweep by buckets; only names that still have equals are ranked again."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    sorted_names = names[order]
-    # rank: the first place of the group, so that ranks of finished names never change
-    fresh = np.r_[True, sorted_names[1:] != sorted_names[:-1]]
-    first = np.flatnonzero(fresh)
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = np.repeat(first, np.diff(np.r_[first, n]))
-    step = 1
-    open_ = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))  # places in the order that share a group
-    while len(open_) and (depth is None or step < depth):
-        who = order[open_]
-        key = rank[who] * (n + 2) + rank[np.minimum(who + step, n)] + 1
-        by = np.argsort(key, kind="stable")
-        key, who = key[by], who[by]
-        order[open_] = who
-        fresh = np.r_[True, key[1:] != key[:-1]]
-        first = np.flatnonzero(fresh)
-        rank[who] = np.repeat(open_[first], np.diff(np.r_[first, len(who)]))
-        open_ = open_[~(fresh & np.r_[fresh[1:], True])]
-        step *= 2
-    return order
-
-
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffix array of small non-negative integers, an end mark below all others implied.
-    With ``depth``, suffixes are in order as far as their first ``depth`` symbols tell."""
-    if not len(text):
-        return np.empty(0, np.int64)
-    t = np.r_[text.astype(np.int64) + 1, 0].astype(np.uint16 if text.max() < 60_000 else np.int64)
-    symbols = int(t.max()) + 1
+def induce_wide(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """As ``induce``, for alphabets too large to sweep by buckets: the array is scanned place by place.
+    ``lms`` may be in any order within a symbol."""
+    n = len(t)
+    symbol, smaller = array("i", t.astype(np.int32).tobytes()), is_s.astype(np.uint8).tobytes()
+    low, high = array("i", starts[:-1].astype(np.int32).tobytes()), array("i", starts[1:].astype(np.int32).tobytes())
+    sa = array("i", b"\xff" * (4 * n))
+    for p in reversed(lms.tolist()):
+        c = symbol[p]
+        high[c] -= 1
+        sa[high[c]] = p
+    for i in range(n):
+        p = sa[i] - 1
+        if p >= 0 and not smaller[p]:
+            c = symbol[p]
+            sa[low[c]] = p
+            low[c] += 1
+    high = array("i", starts[1:].astype(np.int32).tobytes())
+    for i in range(n - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and smaller[p]:
+            c = symbol[p]
+            high[c] -= 1
+            sa[high[c]] = p
+    return np.frombuffer(sa, np.int32).astype(np.int64)
+
+
+def _array_of(t: np.ndarray, symbols: int) -> np.ndarray:
+    """The suffix array of t, whose last symbol is its only 0 and whose symbols are below ``symbols``.
+    Each call sorts at most half as many suffixes as the one before, so all take linear time."""
     starts = np.r_[0, np.cumsum(np.bincount(t, minlength=symbols))]
+    step = induce if symbols <= SWEPT else induce_wide
     is_s = s_types(t)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    by_symbol = lms[np.argsort(t[lms], kind="stable")]
-    sa = induce(t, is_s, by_symbol, starts)
+    sa = step(t, is_s, lms[np.argsort(t[lms], kind="stable")], starts)
     is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
     pieces = sa[is_lms[sa]]  # sorted by their piece up to the next such position
@@ -142,8 +146,17 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     name = np.empty(len(t), np.int64)
     name[pieces] = np.cumsum(fresh) - 1
     names = name[lms]
-    order = np.argsort(names, kind="stable") if fresh.all() else rank_names(names, None if depth is None else depth // 2 + 2)
-    return induce(t, is_s, lms[order], starts)[1:]
+    # the end mark is such a position, the least and by itself: names end as texts do
+    order = np.argsort(names) if fresh.all() else _array_of(names, int(names.max()) + 1)
+    return step(t, is_s, lms[order], starts)
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The suffix array of small non-negative integers, an end mark below all others implied."""
+    if not len(text):
+        return np.empty(0, np.int64)
+    t = np.r_[text.astype(np.int64) + 1, 0].astype(np.uint16 if text.max() < 60_000 else np.int64)
+    return _array_of(t, int(t.max()) + 1)[1:]
 
 
 def permuted_prefixes(text: bytes, sa: np.ndarray, least: int) -> np.ndarray:
