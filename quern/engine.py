@@ -60,6 +60,12 @@ class Engine:
         names = self.spark.createDataFrame([(r,) for r, _ in rows], "row string")
         return self.register(name, Table.of_cells(df, sorted({c[1] for c in cells}), names))
 
+    def create_dataset(self, name: str, kind: str, **config: object):
+        """A view by its settings (joined, merged, union, transposed, sampled), or a recorder of a new dataset."""
+        from .sources.recorder import create
+
+        return create(self, name, kind, **config)
+
     def table(self, name: str) -> Table:
         if name not in self.tables:
             raise QueryError(f"no dataset {name!r}")

@@ -749,7 +749,17 @@ def _sensor(scope, e):
     return scope.constant_value(scope.engine.sensors[const(scope.value(e.args[0]), "the sensor's name")]())
 
 
+def _of_file(column: str, name: str):
+    def value(scope, e):
+        if column not in scope.df.columns:
+            raise QueryError(f"{name}() is only known while a text file is read")
+        return Atom(q(column))
+
+    return value
+
+
 SPECIAL: dict[str, Callable] = {
+    "linenumber": _of_file("__line", "lineNumber"), "lineoffset": _of_file("__offset", "lineOffset"), "filetimestamp": _of_file("__modified", "fileTimestamp"), "datafileurl": _of_file("__url", "dataFileUrl"),
     "rowname": _row_name, "rowpath": _row_path, "rowpathelement": _row_part, "rowhash": lambda scope, e: Atom(F.xxhash64(_row_name(scope, e).col)),
     "columncount": lambda scope, e: horizontal_count(scope, scope.whole()),
     "leftrowname": _side("__left"), "rightrowname": _side("__right"), "leftrowpath": lambda scope, e: Emb(udfs.path_parts(_side("__left")(scope, e).col)), "rightrowpath": lambda scope, e: Emb(udfs.path_parts(_side("__right")(scope, e).col)),

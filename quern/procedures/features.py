@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dialect.lexer import QueryError
 from ..dialect.parser import parse_expr, parse_order
 from ..engine import Function
 from ..plans import select
@@ -132,24 +134,71 @@ def stats_table(engine, trainingData: str, outcomes: list[tuple[str, str]], sele
     return result
 
 
+#: Values of a column whose counts a function sends along.
+MOST_VALUES = 2_000_000
+
+
+def _lookup(table: DataFrame):
+    """A function from a column of strings to the numbers that a table (v, ...) has for them, or null.  The table is
+    read when it is first asked; its size is checked."""
+    found: list = []
+
+    def of(x: Column) -> Column:
+        if not found:
+            import numpy as np
+
+            rows = table.limit(MOST_VALUES + 1).toArrow()
+            if rows.num_rows > MOST_VALUES:
+                raise QueryError("too many values to send along; join the procedure's result")
+            numbers = np.column_stack([np.array(c.to_pylist(), float) for c in rows.columns[1:]])
+            shared = table.sparkSession.sparkContext.broadcast((dict(zip(rows.column(0).to_pylist(), range(rows.num_rows), strict=True)), numbers))
+
+            @F.pandas_udf("array<double>")
+            def find(values: pd.Series) -> pd.Series:
+                at, numbers = shared.value
+                return pd.Series([numbers[at[v]] if v in at else None for v in values.where(values.notna(), None)], dtype=object)
+
+            found.append(find)
+        return found[0](x)
+
+    return of
+
+
 def _counts(tables: dict[str, DataFrame], outcomes: list[str]):
-    """Final counts of a value, by column.  Tables are sent along when they are small."""
+    """Final counts of a value, by column."""
+    of = {name: _lookup(df.select("v", "trial", *[q(o) for o in outcomes])) for name, df in tables.items()}
 
     def apply(scope, args):
         keys = args[0].fields.get("keys", args[0])
         out: dict[str, object] = {}
         for name, v in keys.fields.items():
-            rows = tables[name].limit(5001).collect() if name in tables else []
-            if len(rows) > 5000:
-                raise ValueError("too many values for a function; join the procedure's result")
-            for what in ("trial", *outcomes):
-                m = F.create_map(*[F.lit(x) for r in rows for x in (r["v"], r[what])]) if rows else None
-                out[f"{what}-{name}"] = Atom(F.coalesce(F.try_element_at(m, v.column().cast("string")), F.lit(0)) if m is not None else F.lit(0))
+            row = of[name](v.column().cast("string")) if name in of else None
+            for i, what in enumerate(("trial", *outcomes)):
+                out[f"{what}-{name}"] = Atom(F.coalesce(F.get(row, F.lit(i)).cast("long"), F.lit(0)) if row is not None else F.lit(0))
         return Row({"counts": Row(out)})
 
     return apply
 
 
+def _statistics(tables: dict[str, DataFrame], outcomes: list[str], statistics: tuple[str, ...]):
+    """Statistics of each outcome over all rows with a value, by column: none is a count of 0 and no numbers."""
+    of = {name: _lookup(df) for name, df in tables.items()}
+
+    def apply(scope, args):
+        given = args[0].fields.get("features", args[0])
+        out: dict[str, object] = {}
+        for j, o in enumerate(outcomes):
+            for name, v in given.fields.items():
+                if name in of:
+                    row = of[name](v.column().cast("string"))
+                    for k, s in enumerate(statistics):
+                        x = F.get(row, F.lit(j * len(statistics) + k))
+                        out[f"{o}.{name}.{s}"] = Atom(F.coalesce(x.cast("long"), F.lit(0)) if s == "count" else F.coalesce(x, F.lit(float("nan"))))
+        return Row({"stats": Row(out)})
+
+    return apply
+
+
 def bag_of_words(engine, trainingData: str, outcomes: list[tuple[str, str]], select: str = "*", outputDataset: str | None = None, **_: object) -> DataFrame:  # noqa: N803
     """For each word, in how many rows it occurs, and with each outcome."""
     table = input_table(engine, trainingData).with_row_name()
@@ -165,8 +214,9 @@ def bag_of_words(engine, trainingData: str, outcomes: list[tuple[str, str]], sel
     return out
 
 
-def dist_table(engine, trainingData: str, outcomes: list[tuple[str, str]], select: str = "*", outputDataset: str | None = None, statistics: tuple[str, ...] = ("count", "avg", "std", "min", "max", "last", "sum"), windowSize: int | None = None, orderBy: str | None = None, **_: object) -> DataFrame:  # noqa: N803
-    """For each column, statistics of each outcome over earlier rows with the same value."""
+def dist_table(engine, trainingData: str, outcomes: list[tuple[str, str]], select: str = "*", outputDataset: str | None = None, statistics: tuple[str, ...] = ("count", "avg", "std", "min", "max", "last", "sum"), windowSize: int | None = None, orderBy: str | None = None, functionName: str | None = None, **_: object) -> DataFrame:  # noqa: N803
+    """For each column, statistics of each outcome over earlier rows with the same value; with ``functionName``
+    also a function that gives those of all rows."""
     table, scope, order = _ordered(engine, trainingData, orderBy)
     columns = engine.select_items(table, select)
     values = [(name, scope.column(parse_expr(text)).cast("double")) for name, text in outcomes]
@@ -177,6 +227,13 @@ def dist_table(engine, trainingData: str, outcomes: list[tuple[str, str]], selec
     for i, (name, _) in enumerate(columns):
         before = Window.partitionBy(f"__c{i}").orderBy(*[c.asc() if up else c.desc() for c, up in order]).rowsBetween(first, -1)
         out += [fns[s](f"__v{j}").over(before).alias(f"{o}.{name}.{s}") for j, (o, _) in enumerate(values) for s in statistics]
+    if functionName:
+        # the last row is that with the greatest order; numbers and times are turned round where it descends
+        place = F.struct(*[c if up else -F.unix_micros(c) if scope.type(c).typeName().startswith("timestamp") else -c for c, up in order])
+        last = lambda v: F.max_by(v, F.when(v.isNotNull(), place))
+        whole = {"count": F.count, "avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "last": last}
+        known = {name: df.groupBy(F.col(f"__c{i}").cast("string").alias("v")).agg(*[whole[s](F.col(f"__v{j}")).cast("double").alias(f"__s{j}_{s}") for j in range(len(values)) for s in statistics]) for i, (name, _) in enumerate(columns)}
+        engine.functions[functionName] = Function(_statistics(known, [o for o, _ in values], tuple(statistics)))
     result = df.select(*out)
     if outputDataset:
         engine.register(outputDataset, result)

@@ -159,3 +159,45 @@ def test_json_and_tokens(engine):
     assert one(engine, "tokenize('a b c a', {splitChars: ' '})") == {"a": 2, "b": 1, "c": 1}
     assert one(engine, "tokenize('a,b,c', {ngramRange: [2, 2]})") == {"a_b": 1, "b_c": 1}
     assert one(engine, """tokenize('a,"b,c"', {quoteChar: '"'})""") == {"a": 1, "b,c": 1}
+
+
+def test_recorder(engine):
+    """Cells by row and by column, in several bouts; times have the resolution asked for."""
+    from quern.sources.recorder import Recorder
+
+    rec = engine.create_dataset("rec", "sparse.mutable", timeQuantumSeconds=60)
+    rec.record_row("r1", [("x", 1, dt.datetime(2020, 1, 1, 0, 0, 59)), ("y", None, T(1))])
+    rec.record_columns([("x", [("r2", 5, dt.datetime(2020, 1, 1, 0, 2, 1))]), ("z", [("r1", True, T(1))])])
+    rec.record_rows([("empty", [])])
+    rec.commit()
+    assert sorted(rows(engine.sql("SELECT rowName() AS n, x, z FROM rec")), key=str) == [("empty", None, None), ("r1", 1, 1), ("r2", 5, None)]
+    cells = {(r["row"], r["column"]): r["ts"] for r in engine.table("rec").cells().collect()}
+    assert engine.table("rec").df.count() == 3 and cells.keys() == {("r1", "x"), ("r1", "z"), ("r2", "x")}
+    assert cells["r1", "x"] == dt.datetime(2020, 1, 1) and cells["r2", "x"] == dt.datetime(2020, 1, 1, 0, 2)
+    rec.record_row("r1", [("x", 2.5, dt.datetime(2020, 1, 2))])
+    rec.commit()
+    assert rows(engine.sql("SELECT x FROM rec WHERE rowName() = 'r1'")) == [(2.5,)]
+    small = Recorder(engine, "small", held=3)
+    small.record_rows([(str(i), [("v", "a", T(1))]) for i in range(10)])
+    assert len(small.held) < 3 and small.commit().df.count() == 10
+    Recorder(engine, "nothing").commit()
+    assert engine.table("nothing").df.count() == 0
+    with pytest.raises(QueryError):
+        engine.create_dataset("x", "no.such")
+
+
+def test_views_by_settings(joined):
+    joined.create_dataset("j", "joined", left="a", right="b", on="a.one = b.one", qualification="JOIN_RIGHT")
+    assert sorted(r[0] for r in joined.sql("SELECT rowName() AS n FROM j").collect())[:2] == ["[]-[row0]", "[row1]-[row1]"]
+    joined.create_dataset("x", "joined", left="a", right="b")
+    assert joined.sql("SELECT count(*) AS n FROM x").first()[0] == 12
+    joined.create_dataset("s", "sampled", dataset="a", rows=2, seed=3)
+    joined.create_dataset("u", "union", datasets=["a", "b"])
+    joined.create_dataset("m", "merged", datasets=["a", "b"])
+    joined.create_dataset("t", "transposed", dataset="b")
+    assert [joined.sql(f"SELECT count(*) AS n FROM {d}").first()[0] for d in "sumt"] == [2, 7, 5, 1]
+    big = joined.spark.range(20_000)
+    joined.register("p", big)
+    joined.register("q", big)
+    with pytest.raises(QueryError):
+        joined.create_dataset("no", "joined", left="p", right="q")

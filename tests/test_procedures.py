@@ -1,3 +1,4 @@
+import numpy as np
 import math
 
 import pytest
@@ -170,3 +171,53 @@ def test_lines_are_numbered_in_the_order_of_files(engine, tmp_path):
     (tmp_path / "b.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(100, 5000)))
     out = engine.run("import.json", dataFileUrl=str(tmp_path), limit=4)
     assert sorted(r["a"] for r in out.collect()) == [0, 1, 2, 100]
+
+
+def test_what_a_text_file_tells(engine, tmp_path):
+    """Names of lines count the header and what comes before it, not what is skipped by pattern."""
+    (tmp_path / "a.csv").write_text("# made up\nx,y\n1,a\n2,b\n3,c\n")
+    get = lambda **more: [tuple(r) for r in engine.run("import.text", dataFileUrl=str(tmp_path / "a.csv"), preHeaderOffset=1, select="x, lineNumber() AS n, lineOffset() AS o, dataFileUrl() AS u, fileTimestamp() IS TIMESTAMP AS t", named="'r' + lineNumber()", **more).orderBy("x").collect()]
+    url = str(tmp_path / "a.csv")
+    assert get() == [(1, 3, 0, url, True, "r3"), (2, 4, 0, url, True, "r4"), (3, 5, 0, url, True, "r5")]
+    assert [r[0] for r in get(offset=1, limit=1)] == [2]
+    (tmp_path / "b.csv").write_text("1,2.5\n\n7,x\n")
+    df = engine.run("import.text", dataFileUrl=str(tmp_path / "b.csv"), headers=["i", "s"], outputDataset="b")
+    assert df.dtypes[:2] == [("i", "int"), ("s", "string")] and [r[ROW] for r in df.orderBy("i").collect()][0] == "1"
+    (tmp_path / "c.csv").write_text("skip me\ni,s,v\n1,2.5,\n7,3,\n")
+    df = engine.run("import.text", dataFileUrl=str(tmp_path / "c.csv"), skipLineRegex="skip.*")
+    assert dict(df.dtypes) == {"i": "int", "s": "double", "v": "string", ROW: "string"} and sorted(tuple(r)[:3] for r in df.collect()) == [(1, 2.5, None), (7, 3.0, None)]
+    (tmp_path / "d.csv").write_text("skip me\ni,s\n1,2\n7\n")
+    assert engine.run("import.text", dataFileUrl=str(tmp_path / "d.csv"), skipLineRegex="skip.*", ignoreBadLines=True).count() == 1
+    with pytest.raises(Exception, match="number of fields"):
+        engine.run("import.text", dataFileUrl=str(tmp_path / "d.csv"), skipLineRegex="skip.*").collect()
+    (tmp_path / "e.txt").write_text("")
+    assert engine.run("import.text", dataFileUrl=str(tmp_path / "e.txt"), skipLineRegex="x").count() == 0
+
+
+def test_vectors_in_the_binary_format(engine, tmp_path):
+    words = {"sun": [1.5, -2.0, 0.25], "rain": [3.0, 4.0, 5.0], "wind": [0.0, 1e10, -7.5]}
+    (tmp_path / "v.bin").write_bytes(b"3 3\n" + b"".join(w.encode() + b" " + np.array(v, "<f4").tobytes() + b"\n" for w, v in words.items()))
+    out = engine.run("import.word2vec", dataFileUrl=str(tmp_path / "v.bin"), outputDataset="vec")
+    assert {r[ROW]: r["vector"] for r in out.collect()} == words
+    assert [r[ROW] for r in engine.run("import.word2vec", dataFileUrl=str(tmp_path / "v.bin"), offset=1, limit=1, binary=True).collect()] == ["rain"]
+    (tmp_path / "v.txt").write_text("2 2\na 1 2\nb 3 4.5\n")
+    assert {r[ROW]: r["vector"] for r in engine.run("import.word2vec", dataFileUrl=str(tmp_path / "v.txt"), named="upper(word)").collect()} == {"A": [1.0, 2.0], "B": [3.0, 4.5]}
+
+
+def test_statistics_of_all_rows(engine, spark):
+    engine.register("bids", spark.createDataFrame([("a.com", 1.0, 1), ("b.com", 2.0, 2), ("a.com", 9.0, 3), (None, 4.0, 4)], "host string, price double, t int"))
+    for order, last in (("t", 9.0), ("t DESC", 1.0)):
+        engine.run("experimental.distTable.train", trainingData="SELECT host, price, t FROM bids", select="host", outcomes=[("price", "price")], statistics=("count", "avg", "std", "min", "max", "last"), functionName="get", orderBy=order)
+        got = engine.apply("get", features={"host": "a.com"})["stats"]
+        assert list(got.values()) == pytest.approx([2, 5.0, 32**0.5, 1.0, 9.0, last]) and list(got)[0] == "price.host.count"
+    got = engine.apply("get", features={"host": "none", "other": 1})["stats"]
+    assert got["price.host.count"] == 0 and math.isnan(got["price.host.avg"]) and len(got) == 6
+    rows = engine.sql("SELECT t, get({features: {host}})[stats] AS s FROM bids").orderBy("t").collect()
+    assert [r["s.price.host.count"] for r in rows] == [2, 1, 2, 1]
+
+
+def test_counts_of_many_values(engine, spark):
+    engine.register("many", spark.range(12_000).selectExpr("cast(id % 6000 as string) as k", "id"))
+    engine.run("statsTable.train", trainingData="SELECT k, id FROM many", select="k", outcomes=[("low", "id < 6000")], functionName="counts", orderBy="id")
+    got = engine.sql("SELECT counts({keys: {k}})[counts] AS c FROM many").groupBy("`c.trial-k`", "`c.low-k`").count().collect()
+    assert [tuple(r) for r in got] == [(2, 1, 12_000)]
