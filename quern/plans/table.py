@@ -59,12 +59,12 @@ class Table:
         return df.select(q(ROW).alias("row"), F.explode(F.concat(*entries)).alias("e")).select("row", "e.column", "e.value", "e.ts").where("value is not null")
 
     @staticmethod
-    def of_cells(cells: DataFrame, columns: list[str] | None = None, empty_rows: DataFrame | None = None) -> Table:
+    def of_cells(cells: DataFrame, columns: list[str] | None = None, empty_rows: DataFrame | None = None, timed: bool = False) -> Table:
         """From (row, column, value, ts) to columns.  Names are looked up once unless given; a cell
-        with several versions makes its column one of versions."""
+        with several versions makes its column one of versions, and so does ``timed``, which keeps all times."""
         if columns is None:
             columns = sorted(r[0] for r in cells.select("column").distinct().collect())
-        many = cells.groupBy("row", "column").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+        many = timed or cells.groupBy("row", "column").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
         if many:
             value = F.array_sort(F.collect_list(F.struct("ts", F.col("value").alias("v"))))
         else:

@@ -24,8 +24,8 @@ class Recorder:
     """Takes cells (column, value, time) of rows, or (row, value, time) of columns.
 
     Cells are kept in the shared folder beyond a bounded number, and can be read after ``commit``, which
-    may follow each of several bouts of recording.  With ``timeQuantumSeconds`` times are rounded down
-    to its multiples.  Cells without a value are left out, but their rows stay.  A dataset's values have
+    may follow each of several bouts of recording.  With ``timeQuantumSeconds`` cells keep their times,
+    rounded down to its multiples.  Cells without a value are left out, but their rows stay.  A dataset's values have
     one type: whole numbers, numbers, or strings.
     """
 
@@ -71,7 +71,7 @@ class Recorder:
             cells = cells.withColumn("ts", F.timestamp_micros(F.floor(F.unix_micros("ts") / micros).cast("long") * micros))
         cells = cells.distinct()
         kind = ("bigint", "double", "string")[cells.agg(F.max("number")).first()[0] or 0]
-        return self.engine.register(self.name, Table.of_cells(cells.select("row", "column", F.col("value").cast(kind).alias("value"), "ts"), None, names))
+        return self.engine.register(self.name, Table.of_cells(cells.select("row", "column", F.col("value").cast(kind).alias("value"), "ts"), None, names, bool(self.quantum)))
 
 
 def _joined(engine, left: str, right: str, on: str | None = None, qualification: str = "JOIN_INNER") -> Table:
