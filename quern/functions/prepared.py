@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from ..dialect.lexer import QueryError
 from ..dialect.parser import parse, parse_items
 from ..plans.values import Atom, Emb, Open, Row, Value
+from .stemming import stem
 
 # Common English words without content.
 STOP_WORDS = frozenset("a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so such that the their them then there these they this to us was we were what when where which who will with you your".split())
@@ -95,18 +96,6 @@ def filter_stopwords(engine, language: str = "english", words: list[str] | None
     return apply
 
 
-def stem(word: str) -> str:
-    """A light English stemmer: plural, past and progressive endings."""
-    w = word.lower()
-    for end, new, least in (("sses", "ss", 2), ("ies", "i", 2), ("ingly", "", 3), ("edly", "", 3), ("ing", "", 3), ("ed", "", 3), ("ly", "", 3), ("s", "", 3)):
-        if w.endswith(end) and len(w) - len(end) >= least and not (end == "s" and w.endswith(("ss", "us", "is"))):
-            w = w[: len(w) - len(end)] + new
-            if len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz" and end in ("ing", "ed"):
-                w = w[:-1]
-            break
-    return w
-
-
 @pandas_udf(T.MapType(T.StringType(), T.LongType()))
 def _stem_bag(bags: pd.Series) -> pd.Series:
     def one(bag):
@@ -114,7 +103,9 @@ def _stem_bag(bags: pd.Series) -> pd.Series:
             return None
         out: dict[str, int] = {}
         for w, n in dict(bag).items():
-            out[stem(w)] = out.get(stem(w), 0) + int(n or 0)
+            if n is not None:
+                w = stem(w)
+                out[w] = out.get(w, 0) + int(n)
         return out
 
     return bags.map(one)
@@ -125,16 +116,33 @@ def _stem_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else " ".join(stem(w) for w in x.split()))
 
 
+def _english(language: str) -> None:
+    if language != "english":
+        raise QueryError(f"no stemmer for {language!r}")
+
+
 def stemmer(engine, language: str = "english"):
+    """The words of a bag by their stems, counts added; a string counts as 1."""
+    _english(language)
+
+    def count(scope, c):
+        return F.when(c.isNotNull(), F.lit(1)).cast("bigint") if scope.type(c).typeName() == "string" else c.cast("bigint")
+
     def apply(scope, args):
         v = _inputs(args).get("words", args[0])
-        col = v.col if isinstance(v, Open) else F.create_map(*[c for k, x in v.fields.items() for c in (F.lit(k), x.column().cast("bigint"))])
-        return Row({"words": Open(_stem_bag(col.cast("map<string,bigint>")))})
+        if isinstance(v, Open):
+            strings = scope.type(v.col).simpleString().endswith(",string>")
+            col = F.transform_values(v.col, lambda _, c: F.when(c.isNotNull(), F.lit(1)).cast("bigint")) if strings else v.col.cast("map<string,bigint>")
+        else:
+            col = F.create_map(*[c for k, x in v.fields.items() for c in (F.lit(k), count(scope, x.column()))])
+        return Row({"words": Open(_stem_bag(col))})
 
     return apply
 
 
 def stemmerdoc(engine, language: str = "english"):
+    """A text with each of its words by its stem."""
+    _english(language)
     return lambda scope, args: Row({"document": Atom(_stem_text(_inputs(args)["document"].column()))})
 
 

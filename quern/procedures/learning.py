@@ -237,6 +237,12 @@ def neighbors(engine, dataset: str, functionName: str | None = None, vectorColum
 
 # classifiers: the settings' names are fixed values
 
+#: Links between a linear score and the chance of true, as families of generalised linear models.
+LINKS = {
+    "logit": {"family": "binomial", "link": "logit"}, "probit": {"family": "binomial", "link": "probit"}, "comp_log_log": {"family": "binomial", "link": "cloglog"},
+    "linear": {"family": "gaussian", "link": "identity"}, "log": {"family": "poisson", "link": "log"},
+}
+
 
 def _estimator(conf: dict, mode: str, classes: int):
     kind = conf.get("type", "glz")
@@ -251,9 +257,16 @@ def _estimator(conf: dict, mode: str, classes: int):
     if kind in ("boosting", "boosted_stumps"):
         if regression or classes == 2:
             return (R.GBTRegressor if regression else C.GBTClassifier)(maxIter=conf.get("max_iterations", 20), maxDepth=1 if kind == "boosted_stumps" else depth, seed=1, **common)
-        return C.RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=1, **common)
+        return C.OneVsRest(classifier=_estimator(conf, mode, 2), **common)
     if kind == "glz":
         reg = conf.get("regularization_factor", 1e-5)
+        link = conf.get("link_function", "logit")
+        if link not in LINKS:
+            raise QueryError(f"unknown link function {link!r}")
+        if link != "logit" and not regression:
+            if classes != 2:
+                raise QueryError("links other than logit are for two classes")
+            return R.GeneralizedLinearRegression(regParam=reg, predictionCol="prediction", maxIter=50, **LINKS[link], **common)
         if regression:
             return R.GeneralizedLinearRegression(regParam=reg, family="gaussian", **common)
         return C.LogisticRegression(regParam=reg, **common)
@@ -284,7 +297,7 @@ class Classifier:
             p = as_function(df.sparkSession, self.model)(vector_to_array("__x"))
             return df.withColumn("score", p[1] if self.mode == "boolean" else F.map_from_arrays(F.array(*map(F.lit, self.classes)), p))
         out = self.model.transform(df)
-        if self.mode == "regression":
+        if self.mode == "regression" or self.mode == "boolean" and isinstance(self.model, R.GeneralizedLinearRegressionModel):
             return out.withColumn("score", F.col("prediction"))
         if "probability" in out.columns:
             p = vector_to_array("probability")
@@ -339,7 +352,8 @@ def _scorer(engine, model: Classifier):
         inner = model.model
         if inner is None:
             return Row({"score": Atom(F.lit(0.0))})
-        if model.mode != "categorical" and hasattr(inner, "coefficients"):
+        linked = model.mode == "boolean" and isinstance(inner, R.GeneralizedLinearRegressionModel)
+        if model.mode != "categorical" and hasattr(inner, "coefficients") and not linked:
             dot = F.aggregate(F.zip_with(x, _literal(inner.coefficients.toArray()), lambda a, b: a * b), F.lit(float(inner.intercept)), lambda s, e: s + e)
             return Row({"score": Atom(dot if model.mode == "regression" else 1 / (1 + F.exp(-dot)))})
         if "f" not in state:
@@ -412,13 +426,17 @@ def probabilizer(engine, trainingData: str, functionName: str | None = None, lin
     """Fits a curve from scores to chances, on (score, label)."""
     table = input_table(engine, trainingData)
     df = table.df.select(F.array(q("score").cast("double")).alias("s"), q("label").cast("boolean").cast("int").cast("double").alias("__y")).withColumn("__x", array_to_vector("s"))
-    model = C.LogisticRegression(featuresCol="__x", labelCol="__y").fit(df)
+    if link not in LINKS:
+        raise QueryError(f"unknown link function {link!r}")
+    plain = link == "logit"
+    model = (C.LogisticRegression(featuresCol="__x", labelCol="__y") if plain else R.GeneralizedLinearRegression(featuresCol="__x", labelCol="__y", maxIter=50, **LINKS[link])).fit(df.select("__x", "__y").where("__y is not null"))
     slope, intercept = float(model.coefficients[0]), float(model.intercept)
     if functionName:
+        curve = None if plain else as_function(engine.spark, model)
 
         def apply(scope, args):
             x = args[0].fields["score"].column().cast("double")
-            return Row({"prob": Atom(1 / (1 + F.exp(-(x * slope + intercept))))})
+            return Row({"prob": Atom(1 / (1 + F.exp(-(x * slope + intercept))) if plain else F.get(curve(F.array(x)), F.lit(1)))})
 
         engine.functions[functionName] = Function(apply)
     return {"slope": slope, "intercept": intercept}

@@ -4,6 +4,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quern.dialect.lexer import QueryError
+from quern.functions.stemming import stem
 from quern.plans.table import ROW
 from quern.procedures import learning
 from quern.streaming.continuous import Continuous
@@ -221,3 +223,42 @@ def test_counts_of_many_values(engine, spark):
     engine.run("statsTable.train", trainingData="SELECT k, id FROM many", select="k", outcomes=[("low", "id < 6000")], functionName="counts", orderBy="id")
     got = engine.sql("SELECT counts({keys: {k}})[counts] AS c FROM many").groupBy("`c.trial-k`", "`c.low-k`").count().collect()
     assert [tuple(r) for r in got] == [(2, 1, 12_000)]
+
+
+def test_links(engine, spark):
+    """Each link's function of columns gives the model's own chances; the curve of a probabilizer rises."""
+    rows = [(str(i), i / 40 - 1, bool((i * 7) % 80 < i)) for i in range(80)]
+    engine.register("curve", spark.createDataFrame(rows, f"{ROW} string, x double, hit boolean"))
+    seen = set()
+    for link in ("logit", "probit", "comp_log_log", "linear"):
+        model = engine.run("classifier.train", trainingData="SELECT {x} AS features, hit AS label FROM curve", functionName="f", configuration={"type": "glz", "link_function": link})
+        got = {r["x"]: r["s"] for r in engine.sql("SELECT x, f({features: {x}})[score] AS s FROM curve").collect()}
+        _, df, _ = learning._training(engine, "SELECT {x} AS features, hit AS label, x AS x FROM curve")
+        for r in model.score(df).select("x", "score").collect():
+            assert got[r["x"]] == pytest.approx(r["score"], abs=1e-6), link
+        assert got[max(got)] > got[0.0] > got[-1.0]
+        seen.add(round(got[-1.0], 6))
+    assert len(seen) == 4
+    for link in ("logit", "probit"):
+        engine.run("probabilizer.train", trainingData="SELECT x AS score, hit AS label FROM curve", functionName="p", link=link)
+        assert 0 < engine.apply("p", score=-1.0)["prob"] < 0.2 < 0.8 < engine.apply("p", score=1.0)["prob"] < 1
+    with pytest.raises(QueryError):
+        engine.run("classifier.train", trainingData="SELECT {x} AS features, hit AS label FROM curve", configuration={"type": "glz", "link_function": "cube"})
+
+
+# fixed values: words and stems of the algorithm's published sample
+STEMS = """consign consign consigned consign consignment consign consistency consist consolation consol consolatory consolatori consolidate consolid consolingly consol conspicuous conspicu conspiracy conspiraci
+constable constabl constancy constanc knackeries knackeri knaves knave knavish knavish knightly knight knitted knit knives knive knotty knotti generically generic communication communic hopping hop hoping hope
+cries cri ties tie gas gas this this gaps gap kiwis kiwi dying die skies sky news news relational relat agreed agre feed feed controlling control boyish boyish say say innings inning luxuriated luxuri dog's dog""".split()
+
+
+def test_stems(engine):
+    assert {w: stem(w) for w in STEMS[::2]} == dict(zip(STEMS[::2], STEMS[1::2], strict=True))
+    assert [stem(w) for w in ("", "a", "is", "ing", "éé", "'", "I", "Yes")] == ["", "a", "is", "ing", "éé", "'", "I", "Yes"]
+    engine.create_function("st", "stemmer", language="english")
+    assert engine.apply("st", words={"potato": 2, "potatoes": 3, "none": None})["words"] == {"potato": 5}
+    assert engine.sql("SELECT st({words: {false AS potato, 3 AS potatoes, true AS carrot, 'oui' AS carrots}})[words] AS w").first()[0] == {"potato": 3, "carrot": 2}
+    engine.create_function("sd", "stemmerdoc")
+    assert engine.apply("sd", document="I like having lots")["document"] == "I like have lot"
+    with pytest.raises(QueryError):
+        engine.create_function("fr", "stemmer", language="klingon")
