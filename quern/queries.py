@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import partial
 
@@ -442,16 +443,87 @@ query("q121_wave_sums", "SELECT vec_id, fft(embedding)[0] AS dc, fft(embedding)[
       "select vec_id, round(list_sum(embedding::double[]), 3) + 0.0 as dc, round(list_sum(list_transform(embedding, lambda x, i: case when i % 2 = 1 then x::double else -x::double end)), 3) + 0.0 as high from embeddings", dc=3, high=3)
 
 
-@builder("q122_learned", "select true as clusters, true as near_own_centre, true as values_fall, true as better_than_chance")
+@builder("q122_learned", "select true as clusters, true as near_own_centre, true as orthonormal, true as better_than_chance")
 def learned(e, spark, sf_dir):
     """Metrics against bounds: what learners give depends on their start, what they must reach does not."""
     vectors = "SELECT embedding NAMED CAST(vec_id AS string) FROM embeddings"
-    k = e.run("kmeans.train", trainingData=vectors, numClusters=4, metric="euclidean", maxIterations=10)
+    k = e.run("kmeans.train", trainingData=vectors, numClusters=4, metric="euclidean", maxIterations=10, centroidsDataset="centres")
     clusters = k.agg(F.count_distinct("cluster").alias("n"), F.count("*").alias("rows")).first()
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    s = e.run("svd.train", trainingData=vectors, numSingularValues=5)
-    columns = [c for c in s.columns if c != ROW]
-    spread = s.select(*[F.var_pop(q(c)).alias(c) if dict(s.dtypes)[c] == "double" else F.lit(0.0).alias(c) for c in columns]).first()
-    c = classifier(e, spark, sf_dir).first()
-    found = (1 < clusters["n"] <= 4, clusters["rows"] == rows, all(v >= 0 for v in spread), c["auc"] > 0.5 if "auc" in c else True)
-    return spark.createDataFrame([found], "clusters boolean, near_own_centre boolean, values_fall boolean, better_than_chance boolean")
+    data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias(ROW), F.col("embedding").cast("array<double>").alias("x"))
+    # one of four centres
+    centres = F.array(*[F.struct(F.lit(int(r[ROW])).alias("i"), F.lit(r["center"]).alias("c")) for r in e.table("centres").df.collect()])
+    far = lambda c: F.aggregate(F.zip_with("x", c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    nearest = F.array_min(F.transform(centres, lambda c: F.struct(far(c).alias("d"), c["i"].alias("i"))))["i"]
+    strays = data.join(k, ROW).where(nearest != F.col("cluster")).count()
+    u = e.run("svd.train", trainingData=vectors, numSingularValues=5)
+    dot = {f"{i}{j}": F.sum(F.col("embedding")[i] * F.col("embedding")[j]) for i in range(5) for j in range(i, 5)}
+    products = u.agg(*[c.alias(n) for n, c in dot.items()]).first()
+    orthonormal = all(abs(products[n] - (n[0] == n[1])) < 1e-6 for n in dot)
+    found = (1 < clusters["n"] <= 4 and clusters["rows"] == data.count(), strays == 0, orthonormal, classifier(e, spark, sf_dir).first()["auc"] > 0.5)
+    return spark.createDataFrame([found], "clusters boolean, near_own_centre boolean, orthonormal boolean, better_than_chance boolean")
+
+
+@builder("q123_stats_function", """with s as (select event_type, count(value) as n, round(avg(value), 6) as mean, min(value) as lo, max(value) as hi, arg_max(value, (ts, event_id)) as last from events where value is not null group by 1)
+select event_id, coalesce(n, 0)::bigint as n, mean, lo, hi, last from events left join s using (event_type)""")
+def stats_function(e, spark, sf_dir):
+    e.run("experimental.distTable.train", trainingData="SELECT event_type, value, ts, event_id NAMED CAST(event_id AS string) FROM events", select="event_type", outcomes=[("v", "value")], statistics=("count", "avg", "min", "max", "last"), orderBy="ts, event_id", functionName="stats")
+    out = e.sql("SELECT event_id, stats({features: {event_type}})[stats] AS s FROM events")
+    p = "s.v.event_type"
+    return out.select("event_id", q(f"{p}.count").alias("n"), F.round(q(f"{p}.avg"), 6).alias("mean"), q(f"{p}.min").alias("lo"), q(f"{p}.max").alias("hi"), q(f"{p}.last").alias("last"))
+
+
+@builder("q124_counts_function", "select o_orderkey, count(*) over (partition by o_custkey) as n, (sum((o_totalprice > 150000)::int) over (partition by o_custkey))::bigint as high from orders")
+def counts_function(e, spark, sf_dir):
+    e.run("statsTable.train", trainingData="SELECT o_custkey, o_totalprice NAMED CAST(o_orderkey AS string) FROM orders", select="o_custkey", outcomes=[("high", "o_totalprice > 150000")], functionName="counts")
+    out = e.sql("SELECT o_orderkey, counts({keys: {o_custkey}})[counts] AS c FROM orders")
+    return out.select("o_orderkey", q("c.trial-o_custkey").alias("n"), q("c.high-o_custkey").alias("high"))
+
+
+@builder("q125_recorded", "select r_regionkey::varchar as k, r_name as name, timestamp '2024-01-01 00:01:00' + to_minutes(r_regionkey) as at from region")
+def recorded(e, spark, sf_dir):
+    """Rows and a column recorded, times to the minute; the table is as small as what a client records by hand."""
+    rec = e.create_dataset("rec", "sparse.mutable", timeQuantumSeconds=60)
+    start = dt.datetime(2024, 1, 1, 0, 1, 30)
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").collect()
+    rec.record_rows([(str(r["r_regionkey"]), []) for r in regions])
+    rec.record_column("name", [(str(r["r_regionkey"]), r["r_name"], start + dt.timedelta(minutes=r["r_regionkey"])) for r in regions])
+    rec.commit()
+    return e.sql("SELECT rowName() AS k, temporal_latest(name) AS name, latest_timestamp(name) AS at FROM rec")
+
+
+@builder("q126_joined_view", "select n_name, r_name from nation full join region on n_regionkey = r_regionkey and n_nationkey > 3")
+def joined_view(e, spark, sf_dir):
+    e.create_dataset("both", "joined", left="nation", right="region", on="nation.n_regionkey = region.r_regionkey AND nation.n_nationkey > 3", qualification="JOIN_FULL")
+    return e.sql('SELECT nation.n_name AS n_name, region.r_name AS r_name FROM both')
+
+
+@builder("q127_lines_of_a_file", "select n_nationkey, n_name, n_nationkey + 2 as line, 0 as part, true as told, true as timed from nation")
+def lines_of_a_file(e, spark, sf_dir):
+    path = shared_path(spark, "lines")
+    e.run("export.csv", exportData="SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey", dataFileUrl=path, singleFile=True)
+    return e.run("import.text", dataFileUrl=path, select=f"n_nationkey, n_name, lineNumber() AS line, lineOffset() AS part, dataFileUrl() = '{path}' AS told, fileTimestamp() > TIMESTAMP '2000-01-01' AS timed").drop(ROW)
+
+
+@builder("q128_stems", """with w as (select doc_id, unnest(string_split(text, ' ')) as w from documents) select doc_id, (count(*) filter (regexp_matches(w, '^[a-z]*[bcdfghjklmnpqrtvwxz]s$') and regexp_matches(left(w, length(w) - 2), '[aeiouy]')))::bigint as plurals from w group by 1""")
+def stems(e, spark, sf_dir):
+    """Words whose plural ending the stemmer takes off: those in a consonant and s, with a vowel before."""
+    e.create_function("sd", "stemmerdoc", language="english")
+    ends = "^[a-z]*[bcdfghjklmnpqrtvwxz]s$"
+    words = e.sql("SELECT doc_id, text FROM documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    e.register("words", words)
+    out = e.sql("SELECT doc_id, w, sd({document: w})[document] AS s FROM words")
+    return out.groupBy("doc_id").agg(F.count_if(F.col("w").rlike(ends) & ~F.col("s").endswith("s")).alias("plurals"))
+
+
+@builder("q129_links", "select link, true as rises, true as better_than_chance from (values ('comp_log_log'), ('linear'), ('logit'), ('probit')) as l(link)")
+def links(e, spark, sf_dir):
+    """Metrics against bounds: each link's chances rise with a price that makes orders urgent."""
+    data = "SELECT o_totalprice / 100000 AS price, o_totalprice + 100000 * (o_orderkey % 3) > 300000 AS hit FROM orders"
+    found = []
+    for link in ("comp_log_log", "linear", "logit", "probit"):
+        e.run("classifier.train", trainingData=f"SELECT {{price}} AS features, hit AS label FROM ({data}) AS d", configuration={"type": "glz", "link_function": link}, functionName="f")
+        scored = e.sql(f"SELECT price, hit, f({{features: {{price}}}})[score] AS score FROM ({data}) AS d")
+        e.register("scored", scored.withColumnRenamed("hit", "label"))
+        auc = e.run("classifier.test", testingData="SELECT score, label FROM scored").first()["auc"]
+        found.append((link, scored.agg(F.corr("price", "score")).first()[0] > 0.8, auc > 0.7))
+    return spark.createDataFrame(found, "link string, rises boolean, better_than_chance boolean")
