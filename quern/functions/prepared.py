@@ -13,6 +13,7 @@ from ..dialect.lexer import QueryError
 from ..dialect.parser import parse, parse_items
 from ..plans.values import Atom, Emb, Open, Row, Value
 from .stemming import stem
+from .useragents import user_agent
 
 # Common English words without content.
 STOP_WORDS = frozenset("a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so such that the their them then there these they this to us was we were what when where which who will with you your".split())
@@ -197,16 +198,6 @@ def feature_hasher(engine, numBits: int = 8, mode: str = "columns"):  # noqa: N8
     return apply
 
 
-def user_agent(engine):
-    def apply(scope, args):
-        s = _inputs(args)["ua"].column()
-        browser = F.when(s.contains("Edg/"), "Edge").when(s.contains("OPR/"), "Opera").when(s.contains("Firefox/"), "Firefox").when(s.contains("Chrome/"), "Chrome").when(s.contains("Safari/"), "Safari").otherwise("Other")
-        system = F.when(s.contains("Windows"), "Windows").when(s.contains("Android"), "Android").when(s.rlike("iPhone|iPad"), "iOS").when(s.contains("Mac OS X"), "Mac OS X").when(s.contains("Linux"), "Linux").otherwise("Other")
-        return Row({"browser": Row({"family": Atom(browser)}), "os": Row({"family": Atom(system)}), "isMobile": Atom(s.rlike("Mobile|Android|iPhone"))})
-
-    return apply
-
-
 def pos_neg(engine, statsTable: str, outcomeToUse: str, numPosNeg: int = 50, minTrials: int = 50):  # noqa: N803
     """The chances of an outcome for those words of a bag that speak most for it or most against it.
     The dataset is what statsTable.bagOfWords.train made; no more than the asked words come back."""

@@ -262,3 +262,31 @@ def test_stems(engine):
     assert engine.apply("sd", document="I like having lots")["document"] == "I like have lot"
     with pytest.raises(QueryError):
         engine.create_function("fr", "stemmer", language="klingon")
+
+
+def test_user_agents(engine, spark, tmp_path):
+    phone = "Mozilla/5.0 (iPhone; CPU iPhone OS 5_1_1 like Mac OS X) AppleWebKit/534.46 (KHTML, like Gecko) Version/5.1 Mobile/9B206 Safari/7534.48.3"
+    want = {"browser": {"family": "Mobile Safari", "version": "5.1.0"}, "os": {"family": "iOS", "version": "5.1.1"}, "device": {"brand": "Apple", "model": "iPhone"}, "isSpider": 0}
+    engine.create_function("ua", "http.useragent")
+    assert engine.apply("ua", ua=phone) == want
+    assert engine.apply("ua", ua="Mozilla/5.0 (compatible; Googlebot/2.1)")["isSpider"] == 1 and engine.apply("ua", ua="")["browser"] == {"family": "Other", "version": "0.0.0"}
+    rules = """
+user_agent_parsers:
+  - regex: '(Made)Up/(\\d+)\\.(\\d+)'
+    family_replacement: '$1 up'
+os_parsers:
+  - regex: 'toaster'
+    os_replacement: 'Bread'
+    os_v1_replacement: '7'
+device_parsers:
+  - regex: 'TOASTER ([a-z]+)'
+    regex_flag: 'i'
+    device_replacement: 'Spider'
+    brand_replacement: 'Acme'
+    model_replacement: 'T $1'
+"""
+    (tmp_path / "r.yaml").write_text(rules)
+    engine.create_function("own", "http.useragent", regexFile=str(tmp_path / "r.yaml"))
+    assert engine.apply("own", ua="MadeUp/3.4 (toaster x)") == {"browser": {"family": "Made up", "version": "3.4.0"}, "os": {"family": "Bread", "version": "7.0.0"}, "device": {"brand": "Acme", "model": "T x"}, "isSpider": 1}
+    engine.register("agents", spark.createDataFrame([(1, phone), (2, None), (3, phone)], "i int, a string"))
+    assert [r[1] for r in engine.sql("SELECT i, ua({ua: a})[browser][family] AS f FROM agents").orderBy("i").collect()] == ["Mobile Safari", None, "Mobile Safari"]
