@@ -290,3 +290,21 @@ device_parsers:
     assert engine.apply("own", ua="MadeUp/3.4 (toaster x)") == {"browser": {"family": "Made up", "version": "3.4.0"}, "os": {"family": "Bread", "version": "7.0.0"}, "device": {"brand": "Acme", "model": "T x"}, "isSpider": 1}
     engine.register("agents", spark.createDataFrame([(1, phone), (2, None), (3, phone)], "i int, a string"))
     assert [r[1] for r in engine.sql("SELECT i, ua({ua: a})[browser][family] AS f FROM agents").orderBy("i").collect()] == ["Mobile Safari", None, "Mobile Safari"]
+
+
+def test_neighbors_of_more_vectors_than_a_slice(engine, spark, monkeypatch):
+    from quern.procedures import scoring
+
+    monkeypatch.setattr(scoring, "SENT", 4096, raising=False)
+    monkeypatch.setattr(scoring, "SLICE", 4096, raising=False)
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    x[100:200] = x[7]
+    rows = [(f"n{i:03}", v.tolist()) for i, v in enumerate(x)] + [("odd", [float("nan"), 0.0, 0.0, 0.0]), ("far", [1e200, 0.0, 0.0, 0.0])]
+    engine.register("wide", spark.createDataFrame(rows, f"{ROW} string, v array<double>").repartition(3))
+    engine.run("embedding.neighbors", dataset="wide", functionName="nn", numNeighbors=3)
+    got = {r["k"]: (r["n"], r["d"]) for r in engine.sql("SELECT rowName() AS k, nn({coords: v})[neighbors] AS n, nn({coords: v})[distances] AS d FROM wide").collect()}
+    assert got["odd"] == ([], []) and got["far"][0] == ["far", "n000", "n001"]
+    for i, v in enumerate(x):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        want = sorted(range(300), key=lambda j: (d[j], j))[:3]
+        assert got[f"n{i:03}"] == ([f"n{j:03}" for j in want], [d[j] for j in want])
