@@ -308,3 +308,21 @@ def test_neighbors_of_more_vectors_than_a_slice(engine, spark, monkeypatch):
         d = np.sqrt(((x - v) ** 2).sum(1))
         want = sorted(range(300), key=lambda j: (d[j], j))[:3]
         assert got[f"n{i:03}"] == ([f"n{j:03}" for j in want], [d[j] for j in want])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bags_of_words_need_no_python(engine, spark):
+    from collections import Counter
+
+    texts = ["", " ", "b a b", "é a É é  a", None, " ".join(f"w{i * i % 977}" for i in range(5000))]
+    engine.register("txt", spark.createDataFrame([(str(i), t, i % 2) for i, t in enumerate(texts)], f"{ROW} string, text string, y int"))
+    bags = engine.query("SELECT tokenize(text, {splitChars: ' '}) AS t FROM txt").df
+    assert "Python" not in _plan(bags)
+    assert [r["t"] for r in bags.orderBy(ROW).collect()] == [None if t is None else dict(Counter(w for w in t.split(" ") if w)) for t in texts]
+    out = engine.run("statsTable.bagOfWords.train", trainingData="txt", select="tokenize(text, {splitChars: ' '}) AS t", outcomes=[("odd", "y = 1")])
+    assert "Python" not in _plan(out)
+    got = {r["word"]: (r["trial"], r["odd"]) for r in out.collect()}
+    assert got["a"] == (2, 1) and got["é"] == (1, 1) and got["w0"] == (1, 1)
