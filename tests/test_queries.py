@@ -47,3 +47,10 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_tfidf_counts_words_once_and_without_python(spark):
+    from quern.queries import QUERIES
+
+    plan = QUERIES["q105_tfidf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "split(" not in plan
