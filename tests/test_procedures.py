@@ -326,3 +326,25 @@ def test_bags_of_words_need_no_python(engine, spark):
     assert "Python" not in _plan(out)
     got = {r["word"]: (r["trial"], r["odd"]) for r in out.collect()}
     assert got["a"] == (2, 1) and got["é"] == (1, 1) and got["w0"] == (1, 1)
+
+
+def test_nearest_to_a_table_of_queries(spark):
+    x = np.random.default_rng(6).normal(size=(300, 4)).astype(np.float32)
+    x[100:200] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [None, 1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    for metric in ("euclidean", "cosine"):
+        found = learning.nearest(v, "id", "v", v.where("id % 10 = 0"), 3, metric=metric, block=7)
+        assert "MapInArrow" in _plan(found)
+        got = {}
+        for r in found.orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r["id"], r["distance"]))
+        for i in range(0, 300, 10):
+            a, b = x.astype(float), x[i].astype(float)
+            d = np.sqrt(((a - b) ** 2).sum(1)) if metric == "euclidean" else 1 - (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum()))
+            assert got[i] == [(j, d[j]) for j in sorted(range(300), key=lambda j: (d[j], j))[:3]]
+        assert got[300] == [(0, None), (1, None), (2, None)]
+    few = v.where("id >= 299")
+    assert [(r["query"], r["id"]) for r in learning.nearest(few, "id", "v", few.where("id = 299"), 3).orderBy("rank").collect()] == [(299, 299), (299, 300), (299, 301)]
+    assert {(r["query"], r["id"]) for r in learning.nearest(v, "id", "v", v.where("id in (3, 300)"), 5, 1e-9).collect()} == {(3, 3)}
+    assert learning.nearest(v, "id", "v", v.where("false"), 3, 1.0).count() == 0
