@@ -348,3 +348,17 @@ def test_nearest_to_a_table_of_queries(spark):
     assert [(r["query"], r["id"]) for r in learning.nearest(few, "id", "v", few.where("id = 299"), 3).orderBy("rank").collect()] == [(299, 299), (299, 300), (299, 301)]
     assert {(r["query"], r["id"]) for r in learning.nearest(v, "id", "v", v.where("id in (3, 300)"), 5, 1e-9).collect()} == {(3, 3)}
     assert learning.nearest(v, "id", "v", v.where("false"), 3, 1.0).count() == 0
+
+
+def test_equal_words_are_stemmed_once(engine, spark):
+    import pyarrow as pa
+
+    from quern.functions import prepared
+
+    prepared._stem.cache_clear()
+    assert prepared._stem_text.func(pa.array(["cats", None, "running cats"] * 1000)).to_pylist() == ["cat", None, "run cat"] * 1000
+    info = prepared._stem.cache_info()
+    assert (info.misses, info.hits) == (2, 1)
+    engine.register("bags", spark.createDataFrame([("1", {"cats": 2, "cat": 1, "runs": None}), ("2", None), ("3", {}), ("4", {"hoping": 1})], f"{ROW} string, b map<string,bigint>"))
+    engine.create_function("st", "stemmer")
+    assert [r["s"] for r in engine.query("SELECT st({words: b})[words] AS s FROM bags").df.orderBy(ROW).collect()] == [{"cat": 3}, None, {}, {"hope": 1}]
