@@ -54,3 +54,9 @@ def test_tfidf_counts_words_once_and_without_python(spark):
 
     plan = QUERIES["q105_tfidf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "split(" not in plan
+
+
+def test_a_count_of_one_word_needs_no_python(spark):
+    from quern.queries import QUERIES
+
+    assert "Python" not in QUERIES["q70_tokenize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
