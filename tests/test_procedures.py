@@ -328,6 +328,35 @@ def test_bags_of_words_need_no_python(engine, spark):
     assert got["a"] == (2, 1) and got["é"] == (1, 1) and got["w0"] == (1, 1)
 
 
+def test_quoted_tokens_need_no_python(engine, spark):
+    from collections import Counter
+
+    def tokens(s, chars, quote):
+        out, part, inside = [], [], False
+        for ch in s:
+            if ch in quote:
+                inside = not inside
+            elif ch in chars and not inside:
+                out.append("".join(part))
+                part = []
+            else:
+                part.append(ch)
+        return [*out, "".join(part)]
+
+    draw = np.random.default_rng(7)
+    texts = ["", '"', '""', ',"', 'a,"b,c"', 'a"b,c"d,"e', ",,", None, '"' * 20001, "a," * 20000]
+    texts += ["".join(draw.choice(list("ab,;^]-\\'\"é😀\n\x01"), draw.integers(1, 60))) for _ in range(300)]
+    engine.register("txt", spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], f"{ROW} string, text string"))
+    for chars, quote in ((",", '"'), (",;^]-", '"'), ("\\é", '"😀'), ("a,", ",b"), ("", '"')):
+        options = {"chars": chars, "quote": quote}
+        got = engine.query("SELECT tokenize(text, {splitChars: $chars, quoteChar: $quote}) AS t, token_extract(text, 1, {splitChars: $chars, quoteChar: $quote}) AS w FROM txt", **options).df
+        assert "Python" not in _plan(got)
+        for t, r in zip(texts, got.orderBy(ROW).collect(), strict=True):
+            words = None if t is None else [w for w in tokens(t, chars, quote) if w]
+            assert r["t"] == (None if t is None else dict(Counter(words))), (t, chars, quote)
+            assert r["w"] == (words[1] if words and len(words) > 1 else None), (t, chars, quote)
+
+
 def test_nearest_to_a_table_of_queries(spark):
     x = np.random.default_rng(6).normal(size=(300, 4)).astype(np.float32)
     x[100:200] = x[7]
